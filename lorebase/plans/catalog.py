@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lorebase.session import ship_package
 
-_PARTS = ("text", "incremental")
+_PARTS = ("summary",)
 
 
 def _entries() -> dict[str, tuple[Callable, str | None]]:
