@@ -6,6 +6,10 @@ depend on. They are data, stated once and in natural order; logic lives elsewher
 
 # Whitespace as Python's str.strip / \s see it, for Java and for RE2 (DuckDB).
 WS_JAVA = r"[\s\x1C-\x1F]"  # used with the (?U) flag
+WS_CHARS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005"
+    "\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 WS_RE2 = (
     r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
     r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"

@@ -17,6 +17,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lorebase.functions.arrow import arrow_function
 from lorebase import fixed
 from lorebase.functions.html import body_text
 from lorebase.functions.text import tidy
@@ -149,7 +150,7 @@ _READERS = {
 }
 
 
-@F.pandas_udf(T.StringType())
+@arrow_function(T.StringType())
 def _read(bodies: pd.Series, kinds: pd.Series) -> pd.Series:
     def one(body: bytes | None, kind: str | None) -> str | None:
         if not body or kind not in _READERS:
@@ -193,6 +194,6 @@ def file_text(body: bytes, name: str) -> str | None:
         return None
 
 
-@F.pandas_udf(T.StringType())
+@arrow_function(T.StringType())
 def parse_files(bodies: pd.Series, names: pd.Series) -> pd.Series:
     return pd.Series([file_text(bytes(b), n) for b, n in zip(bodies, names)], dtype="object")

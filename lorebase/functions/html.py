@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lorebase.functions.arrow import arrow_function
 from lorebase import fixed
 
 _SEMANTIC = frozenset(fixed.SEMANTIC_TAGS)
@@ -125,11 +126,11 @@ class _LinkedBody(HTMLParser):
             self.pieces.append(data)
 
 
-@F.pandas_udf(T.StringType())
+@arrow_function(T.StringType())
 def extract_text(pages: pd.Series) -> pd.Series:
     return pages.map(page_text, na_action="ignore")
 
 
-@F.pandas_udf(T.StringType())
+@arrow_function(T.StringType())
 def extract_title(pages: pd.Series) -> pd.Series:
     return pages.map(page_title, na_action="ignore")

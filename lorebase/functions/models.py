@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lorebase.functions.arrow import arrow_function
+
 EMBEDDING_SIZE = 64
 
 
@@ -34,7 +36,7 @@ def token_counts(text: str) -> np.ndarray:
     return counts
 
 
-@F.pandas_udf(T.ArrayType(T.FloatType()))
+@arrow_function(T.ArrayType(T.FloatType()))
 def hashed_embedding(texts: pd.Series) -> pd.Series:
     """Feature hashing: token counts in 64 slots chosen by MD5."""
     return texts.map(token_counts, na_action="ignore")
@@ -61,12 +63,12 @@ def digest(text: str, budget: int) -> str:
     return " ".join(sorted(kept, key=first.__getitem__))
 
 
-@F.pandas_udf(T.StringType())
+@arrow_function(T.StringType())
 def digest_text(texts: pd.Series, budgets: pd.Series) -> pd.Series:
     return pd.Series([None if t is None else digest(t, int(b)) for t, b in zip(texts, budgets)], dtype="object")
 
 
-@F.pandas_udf(T.StringType())
+@arrow_function(T.StringType())
 def echo_answer(prompts: pd.Series) -> pd.Series:
     """Answer port: a JSON object with the digest of the prompt, as a chat model would be asked to give."""
     import json

@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lorebase.functions.arrow import arrow_function
+
 _SEPARATORS = ("\n\n", "\n", " ", "")
 
 
@@ -66,7 +68,7 @@ def split_text(text: str, size: int, overlap: int, level: int = 0) -> list[str]:
 
 
 def _splitter(size: int, overlap: int):
-    @F.pandas_udf(T.ArrayType(T.StringType()))
+    @arrow_function(T.ArrayType(T.StringType()))
     def split(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: split_text(t, size, overlap) if t else [])
 

@@ -11,17 +11,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lorebase import fixed
+from lorebase.functions.arrow import arrow_function
 
 _WS = f"(?U){fixed.WS_JAVA}"
 
 
 def strip(col: Column) -> Column:
-    """Unicode-aware strip; Spark's ``trim`` removes spaces only."""
-    return F.regexp_replace(col, f"{_WS}+\\z|^{fixed.WS_JAVA}+", "")
+    """Unicode-aware strip; Spark's plain ``trim`` removes spaces only."""
+    return F.btrim(col, F.lit(fixed.WS_CHARS))
 
 
 def single_spaced(col: Column) -> Column:
-    return strip(F.regexp_replace(col, f"{_WS}+", " "))
+    return F.trim(F.regexp_replace(col, f"{_WS}+", " "))
 
 
 def folded(col: Column) -> Column:
@@ -30,7 +31,7 @@ def folded(col: Column) -> Column:
 
 
 def is_blank(col: Column) -> Column:
-    return F.coalesce(F.length(strip(col)) == 0, F.lit(True))
+    return ~F.coalesce(F.rlike(col, F.lit(f"(?U)[^{fixed.WS_JAVA[1:-1]}]")), F.lit(False))
 
 
 def tidy(col: Column) -> Column:
@@ -40,7 +41,7 @@ def tidy(col: Column) -> Column:
     return strip(col)
 
 
-@F.pandas_udf(T.StringType())
+@arrow_function(T.StringType())
 def unescape(texts: pd.Series) -> pd.Series:
     """All HTML entities; Spark has no built-in that knows the named ones."""
     return texts.map(html.unescape, na_action="ignore")

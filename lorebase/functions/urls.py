@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lorebase.functions.arrow import arrow_function
 from lorebase import fixed
 
 _PARTS = r"^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#;]*)(;[^?#]*)?(?:\?([^#]*))?(?:#(.*))?$"
@@ -84,7 +85,7 @@ def rewrite_internal(url: Column, base: Column) -> Column:
     return F.when((url != "") & known & internal, moved).otherwise(url)
 
 
-@F.pandas_udf(T.StringType())
+@arrow_function(T.StringType())
 def resolve(base: pd.Series, href: pd.Series) -> pd.Series:
     """Relative reference against the page address, dot segments included."""
 
@@ -99,7 +100,7 @@ def resolve(base: pd.Series, href: pd.Series) -> pd.Series:
     return pd.Series([one(b, h) for b, h in zip(base, href)], dtype="object")
 
 
-@F.pandas_udf(T.BooleanType())
+@arrow_function(T.BooleanType())
 def is_safe(urls: pd.Series) -> pd.Series:
     """http(s) only and no private, loopback, link-local or reserved address literal.
 

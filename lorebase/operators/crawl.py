@@ -14,8 +14,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lorebase.functions.arrow import arrow_function
 from lorebase import fixed
 from lorebase.functions import urls
+from lorebase.operators.dedup import keep_first
 from lorebase.session import checkpoint
 
 
@@ -36,7 +38,7 @@ def _hrefs(html: str) -> list[str]:
     return parser.found
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
+@arrow_function(T.ArrayType(T.StringType()))
 def hrefs(pages: pd.Series) -> pd.Series:
     return pages.map(_hrefs, na_action="ignore")
 
@@ -59,16 +61,20 @@ def is_html(content_type: Column) -> Column:
 def crawl(pages: DataFrame, seeds: DataFrame, page_limit: int = fixed.PAGE_LIMIT) -> DataFrame:
     """(base_url, url, html, rank) of the pages reached from every seed.
 
-    ``pages`` has (url, html) and optionally ``content_type`` and ``final_url``, the
-    address after redirects; ``seeds`` has (base_url). Unsafe seeds give nothing.
+    ``pages`` has (url, html) and optionally ``content_type``, ``final_url``, the
+    address after redirects, and ``position``, which picks one of several rows that
+    normalise to one address; ``seeds`` has (base_url). Unsafe seeds give nothing.
     """
     if "content_type" not in pages.columns:
         pages = pages.withColumn("content_type", F.lit("text/html"))
     if "final_url" not in pages.columns:
         pages = pages.withColumn("final_url", F.col("url"))
-    fetchable = pages.select(
-        urls.normalize(F.col("url")).alias("url"), urls.normalize(F.col("final_url")).alias("final_url"), "html", "content_type"
-    ).dropDuplicates(["url"])
+    if "position" not in pages.columns:
+        pages = pages.withColumn("position", F.xxhash64("url", "html"))
+    fetchable = keep_first(pages.select(
+        urls.normalize(F.col("url")).alias("url"), urls.normalize(F.col("final_url")).alias("final_url"),
+        "html", "content_type", "position",
+    ), ["url"], "position")
     frontier = (
         seeds.select("base_url").distinct().filter(urls.is_safe(F.col("base_url")))
         .select("base_url", urls.normalize(F.col("base_url")).alias("url"), F.lit(0).alias("parent_rank"), F.lit(0).alias("link_pos"))

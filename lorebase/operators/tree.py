@@ -17,6 +17,7 @@ from lorebase import fixed
 from lorebase.functions.hashing import content_key
 from lorebase.functions.text import heading, join_present, present, strip_html
 from lorebase.operators.dedup import keep_first
+from lorebase.session import checkpoint
 
 _PROFILE = "displayName string, description string, url string"
 _CALLOUT = (
@@ -188,7 +189,7 @@ def tree_documents(
     ``fetched`` (uri, fetched_text) holds the extracted bodies of links. Of equal texts,
     compared without case and white space, the first in pre-order stays.
     """
-    placed = space_paths(spaces, levels)
+    placed = checkpoint(space_paths(spaces, levels))  # read three times
     space_at = placed.select("collection", F.col("id").alias("space_id"), F.col("path").alias("_above"))
     called = callouts.join(space_at, ["collection", "space_id"]).withColumn(
         "path", F.concat("_above", F.lit("/c"), _padded(F.col("pos")))

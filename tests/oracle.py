@@ -17,6 +17,9 @@ TABLES = (
 ).split()
 
 
+TIMES = {"spark": 0.0}
+
+
 def connect(folder: str):
     import duckdb
 
@@ -46,6 +49,9 @@ def _shape(kind: str) -> str:
 
 def compare(spark_df, con, sql: str) -> str | None:
     """None when equal, else what differs."""
+    began = time.time()
+    rows = spark_df.collect()
+    TIMES.update(spark=time.time() - began, rows=len(rows))
     result = con.execute(sql)
     names = [d[0] for d in result.description]
     kinds = {d[0]: _shape(str(d[1])) for d in result.description}
@@ -56,7 +62,7 @@ def compare(spark_df, con, sql: str) -> str | None:
     got_kinds = {n: {"bigint": "long", "boolean": "bool"}.get(k, k) for n, k in got_kinds.items()}
     odd = {n: (got_kinds[n], kinds[n]) for n in names if got_kinds[n] != kinds[n]}
     order = sorted(names)
-    got = sorted(tuple(_cell(r[n]) for n in order) for r in spark_df.collect())
+    got = sorted(tuple(_cell(r[n]) for n in order) for r in rows)
     at = [names.index(n) for n in order]
     want = sorted(tuple(_cell(r[i]) for i in at) for r in want)
     if len(got) != len(want):
@@ -88,7 +94,7 @@ def main(folder: str, wanted: list[str]) -> int:
         except Exception as exc:  # report and go on
             rows, problem = "", f"{type(exc).__name__}: {str(exc)[:1500]}"
         bad += problem is not None
-        print(f"{'FAIL' if problem else 'ok  '} {name:28s} {time.time() - start:6.2f}s {rows} {problem or ''}", flush=True)
+        print(f"{'FAIL' if problem else 'ok  '} {name:28s} {time.time() - start:6.2f}s {rows} (run {TIMES['spark']:.2f}s, {TIMES.get('rows')} rows) {problem or ''}", flush=True)
     print(f"{bad} failures")
     return bad
 
