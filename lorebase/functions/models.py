@@ -76,6 +76,11 @@ def echo_answer(prompts: pd.Series) -> pd.Series:
     return prompts.map(lambda p: json.dumps({"answer": digest(p, 200)}, ensure_ascii=False), na_action="ignore")
 
 
+@arrow_function(T.StringType())
+def condensed_question(prompts: pd.Series) -> pd.Series:
+    return prompts.map(lambda p: digest(p, 400), na_action="ignore")
+
+
 @dataclass(frozen=True)
 class ModelPorts:
     """The model calls that a job uses; every member is a column function."""
@@ -84,15 +89,21 @@ class ModelPorts:
     map_text: Any = field(default=digest_text)
     reduce_text: Any = field(default=digest_text)
     answer: Any = field(default=echo_answer)
+    condense: Any = field(default=condensed_question)
 
 
 
-def with_retries(call, attempts: int, base_seconds: float, sleep) -> Any:
-    """Call again after 1x, 2x, 4x ... the base delay; time-outs and lost connections are not retried."""
+def with_retries(
+    call, attempts: int, base_seconds: float, sleep, final: tuple[type[Exception], ...] = (TimeoutError, ConnectionError, OSError)
+) -> Any:
+    """Call again after 1x, 2x, 4x ... the base delay; ``final`` errors are not retried.
+
+    The default is the rule of model calls, where time-outs and lost connections are final.
+    """
     for attempt in range(attempts):
         try:
             return call()
-        except (TimeoutError, ConnectionError, OSError):
+        except final:
             raise
         except Exception:
             if attempt == attempts - 1:

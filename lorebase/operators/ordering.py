@@ -14,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lorebase.session import checkpoint
+
 
 def _range_count(df: DataFrame) -> int:
     return max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
@@ -70,6 +72,25 @@ def positions(df: DataFrame, group: Sequence[str], order: str, out: str = "posit
     return counted.withColumn(out, F.col(out) - 1).drop("_one")
 
 
+def sorted_positions(df: DataFrame, group: str, order: str, out: str = "position", ranges: int | None = None) -> DataFrame:
+    """0-based position by any sortable ``order``: a range shuffle, range sizes, position within the range.
+
+    The range of every row is checkpointed as data, so that a rerun of a lost task cannot
+    draw other range limits.
+    """
+    ranges = ranges or _range_count(df)
+    ranged = checkpoint(df.repartitionByRange(ranges, group, order).withColumn("_range", F.spark_partition_id()))
+    sizes = ranged.groupBy(group, "_range").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(group, "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    within = Window.partitionBy(group, "_range").orderBy(order)
+    return (
+        ranged.join(offsets, [group, "_range"])
+        .withColumn(out, F.col("_offset") + F.row_number().over(within) - 1)
+        .drop("_range", "_offset")
+    )
+
+
 def batch_number(df: DataFrame, order: str, size: int, out: str = "batch_no") -> DataFrame:
     return positions(df, [], order, "_pos").withColumn(out, F.floor(F.col("_pos") / size)).drop("_pos")
 

@@ -1,0 +1,156 @@
+"""Settings from the environment or a file of KEY=value lines, with range checks."""
+
+from __future__ import annotations
+
+import logging
+import os
+from collections.abc import Mapping
+from dataclasses import dataclass, fields
+
+logger = logging.getLogger(__name__)
+
+# Providers with their default models, and distance functions.
+DEFAULT_MODELS = {
+    "mistral": "mistral-large-latest",
+    "openai": "gpt-4o",
+    "anthropic": "claude-sonnet-4-6",
+}
+DISTANCES = ("cosine", "l2", "ip")
+
+# Environment names that are not the upper-cased field name.
+ALIASES = {
+    "input_queue": "RABBITMQ_QUEUE",
+    "result_queue": "RABBITMQ_RESULT_QUEUE",
+    "exchange": "RABBITMQ_EVENT_BUS_EXCHANGE",
+    "result_routing_key": "RABBITMQ_RESULT_ROUTING_KEY",
+    "heartbeat": "RABBITMQ_HEARTBEAT",
+    "max_retries": "RABBITMQ_MAX_RETRIES",
+    "mistral_model_name": "MISTRAL_SMALL_MODEL_NAME",
+}
+
+
+@dataclass
+class Settings:
+    plugin_type: str = ""
+    log_level: str = "INFO"
+    input_queue: str = ""
+    result_queue: str = ""
+    exchange: str = "event-bus"
+    result_routing_key: str = "invoke-engine-result"
+    heartbeat: int = 300
+    max_retries: int = 3
+    pipeline_timeout: int = 3600
+    vector_db_distance_fn: str = "cosine"
+    llm_provider: str = "mistral"
+    llm_api_key: str | None = None
+    llm_model: str | None = None
+    llm_base_url: str | None = None
+    llm_temperature: float | None = None
+    llm_max_tokens: int | None = None
+    llm_top_p: float | None = None
+    llm_timeout: int = 120
+    mistral_api_key: str | None = None
+    mistral_model_name: str | None = None
+    embeddings_model_name: str | None = None
+    embeddings_query_instruction: str | None = None
+    summarize_llm_provider: str | None = None
+    summarize_llm_model: str | None = None
+    summarize_llm_api_key: str | None = None
+    summarize_llm_temperature: float | None = None
+    summarize_llm_timeout: int | None = None
+    bok_llm_provider: str | None = None
+    bok_llm_model: str | None = None
+    bok_llm_api_key: str | None = None
+    bok_llm_temperature: float | None = None
+    bok_llm_timeout: int | None = None
+    expert_n_results: int = 5
+    expert_min_score: float = 0.3
+    guidance_n_results: int = 5
+    guidance_min_score: float = 0.3
+    max_context_chars: int = 20000
+    summary_chunk_threshold: int = 4
+    chunk_size: int = 2000
+    chunk_overlap: int = 400
+    ingest_batch_size: int = 5
+    summarize_enabled: bool = True
+    summarize_concurrency: int = 8
+
+    def __post_init__(self) -> None:
+        if self.llm_provider == "mistral":
+            self.llm_api_key = self.llm_api_key or self.mistral_api_key
+            self.llm_model = self.llm_model or self.mistral_model_name
+        self._check()
+
+    def _check(self) -> None:
+        if not self.llm_api_key and not self.llm_base_url:
+            raise ValueError(f"LLM_API_KEY is required for provider '{self.llm_provider}'")
+        for name in ("llm_provider", "summarize_llm_provider", "bok_llm_provider"):
+            if getattr(self, name) is not None:
+                self._require(name, getattr(self, name) in DEFAULT_MODELS, f"one of {sorted(DEFAULT_MODELS)}")
+        self._require("vector_db_distance_fn", self.vector_db_distance_fn in DISTANCES, f"one of {DISTANCES}")
+        for name in ("llm_temperature", "summarize_llm_temperature", "bok_llm_temperature"):
+            self._between(name, 0.0, 2.0)
+        for name in ("llm_top_p", "expert_min_score", "guidance_min_score"):
+            self._between(name, 0.0, 1.0)
+        for name in (
+            "llm_max_tokens", "llm_timeout", "max_retries", "pipeline_timeout", "summarize_llm_timeout", "bok_llm_timeout",
+            "expert_n_results", "guidance_n_results", "max_context_chars", "summary_chunk_threshold",
+        ):
+            self._between(name, 1, None)
+        for name in ("heartbeat", "summarize_concurrency"):
+            self._between(name, 0, None)
+        for group in ("summarize_llm", "bok_llm"):
+            given = [getattr(self, f"{group}_{part}") is not None for part in ("provider", "model", "api_key")]
+            if any(given) and not all(given):
+                logger.warning("%s is only partly configured; the general model is used", group)
+        if self.max_context_chars < 1000:
+            logger.warning("MAX_CONTEXT_CHARS=%d is very low", self.max_context_chars)
+
+    def _require(self, name: str, holds: bool, rule: str) -> None:
+        if not holds:
+            raise ValueError(f"{name.upper()} must be {rule}, got {getattr(self, name)!r}")
+
+    def _between(self, name: str, low: float, high: float | None) -> None:
+        value = getattr(self, name)
+        if value is not None:
+            self._require(name, low <= value and (high is None or value <= high), f"between {low} and {high}" if high is not None else f">= {low}")
+
+    @classmethod
+    def load(cls, env: Mapping[str, str] | None = None, env_file: str | None = None) -> Settings:
+        """Environment first, then the file, then the defaults."""
+        found: dict[str, str] = {}
+        if env_file and os.path.exists(env_file):
+            with open(env_file) as lines:
+                for line in lines:
+                    key, sep, value = line.strip().partition("=")
+                    if sep and not key.startswith("#"):
+                        found[key.strip().upper()] = value.strip().strip("'\"")
+        found.update({k.upper(): v for k, v in (os.environ if env is None else env).items()})
+        values = {}
+        for f in fields(cls):
+            raw = found.get(ALIASES.get(f.name, f.name.upper()))
+            if raw is not None:
+                values[f.name] = _converted(raw, str(f.type))
+        return cls(**values)
+
+    def model_options(self, disable_thinking: bool = False) -> dict:
+        """Arguments for the configured model client; optional ones only where they are set."""
+        options = {"provider": self.llm_provider, "model": self.llm_model or DEFAULT_MODELS[self.llm_provider], "timeout": self.llm_timeout, "max_retries": 0}
+        given = {
+            "api_key": self.llm_api_key, "base_url": self.llm_base_url, "temperature": self.llm_temperature,
+            "max_tokens": self.llm_max_tokens, "top_p": self.llm_top_p,
+        }
+        options.update({k: v for k, v in given.items() if v not in (None, "")})
+        if disable_thinking and self.llm_provider == "openai":
+            options["extra_body"] = {"chat_template_kwargs": {"enable_thinking": False}}
+        return options
+
+
+def _converted(raw: str, kind: str):
+    if kind.startswith("bool"):
+        return raw.lower() in ("1", "true", "yes", "on")
+    if kind.startswith("int"):
+        return int(raw)
+    if kind.startswith("float"):
+        return float(raw)
+    return raw
