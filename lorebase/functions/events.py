@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lorebase import fixed
 
-QUERY_SCHEMA = T.StructType.fromDDL(
+QUERY_SCHEMA = (
     "engine string, operation string, userID string, message string, bodyOfKnowledgeID string, contextID string, "
     "history array<struct<content: string, role: string>>, externalMetadata struct<threadId: string>, "
     "externalConfig struct<apiKey: string, assistantId: string, model: string>, displayName string, "
@@ -16,15 +15,17 @@ QUERY_SCHEMA = T.StructType.fromDDL(
     "resultHandler struct<action: string, roomDetails: struct<roomID: string, actorID: string, threadID: string, "
     "vcInteractionID: string>>, prompt array<string>, promptGraph string"
 )
-WEBSITE_SCHEMA = T.StructType.fromDDL(
+WEBSITE_SCHEMA = (
     "baseUrl string, type string, purpose string, personaId string, summarizationModel string"
 )
-TREE_SCHEMA = T.StructType.fromDDL("bodyOfKnowledgeId string, type string, purpose string, personaId string")
-SOURCE_SCHEMA = T.StructType.fromDDL(
+TREE_SCHEMA = (
+    "bodyOfKnowledgeId string, type string, purpose string, personaId string"
+)
+SOURCE_SCHEMA = (
     "chunkIndex int, embeddingType string, documentId string, source string, title string, type string, "
     "score double, uri string"
 )
-RESPONSE_SCHEMA = T.StructType.fromDDL(
+RESPONSE_SCHEMA = (
     "result string, humanLanguage string, resultLanguage string, knowledgeLanguage string, originalResult string, "
     "sources array<struct<chunkIndex: int, embeddingType: string, documentId: string, source: string, title: string, "
     "type: string, score: double, uri: string>>, threadId string"

@@ -13,7 +13,7 @@ from lorebase.session import local_session, ship_package  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session(4, partitions=4, app="lorebase-tests")
+    session = local_session(4, partitions=2, app="lorebase-tests")
     ship_package(session)
     yield session
     session.stop()
