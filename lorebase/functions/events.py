@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lorebase import fixed
+from lorebase.functions.text import let
 
 QUERY_SCHEMA = (
     "engine string, operation string, userID string, message string, bodyOfKnowledgeID string, contextID string, "
@@ -32,6 +33,8 @@ RESPONSE_SCHEMA = (
 )
 TREE, WEBSITE, QUERY, ERROR = "tree-ingest", "website-ingest", "query", "error"
 
+_DEFAULTS = {"operation": "query", "contextID": "", "displayName": "", "description": "", "personaID": "", "language": "EN"}
+
 # Required text fields: wire name, plain name.
 _TREE_FIELDS = (("bodyOfKnowledgeId", "body_of_knowledge_id"), ("type", "type"), ("purpose", "purpose"), ("personaId", "persona_id"))
 _WEBSITE_FIELDS = (("baseUrl", "base_url"), ("type", "type"), ("purpose", "purpose"), ("personaId", "persona_id"))
@@ -53,7 +56,10 @@ def _complete(body: Column, root: str, fields: tuple[tuple[str, str], ...]) -> C
 
 def route(body: Column, plugin_type: Column) -> Column:
     """Event kind of a JSON message; the worker's own type decides first."""
-    parsed = F.try_parse_json(body)
+    return let(F.try_parse_json(body), lambda parsed: _kind(parsed, plugin_type))
+
+
+def _kind(parsed: Column, plugin_type: Column) -> Column:
     event_type = F.try_variant_get(parsed, "$.eventType", "string")
     has_input = F.try_variant_get(parsed, "$.input", "variant").isNotNull()
     return (
@@ -73,14 +79,24 @@ def is_ingest(kind: Column) -> Column:
 
 def parse_query(body: Column) -> Column:
     """The question event of a message with the documented defaults filled in."""
-    e = F.from_json(F.get_json_object(body, "$.input"), QUERY_SCHEMA)
-    plain = F.get_json_object(body, "$.input.language")
-    return e.withField("operation", F.coalesce(e["operation"], F.lit("query"))) \
-        .withField("contextID", F.coalesce(e["contextID"], F.lit(""))) \
-        .withField("displayName", F.coalesce(e["displayName"], F.lit(""))) \
-        .withField("description", F.coalesce(e["description"], F.lit(""))) \
-        .withField("personaID", F.coalesce(e["personaID"], F.lit(""))) \
-        .withField("language", F.coalesce(plain, F.lit("EN")))
+    names = [part.split()[0] for part in _top_level(QUERY_SCHEMA)]
+
+    def filled(e: Column) -> Column:
+        return F.struct(*[F.coalesce(e[n], F.lit(_DEFAULTS[n])).alias(n) if n in _DEFAULTS else e[n].alias(n) for n in names])
+
+    return let(F.from_json(F.get_json_object(body, "$.input"), QUERY_SCHEMA), filled)
+
+
+def _top_level(ddl: str) -> list[str]:
+    """Field definitions of a schema text, split at the commas outside of angle brackets."""
+    parts, depth = [""], 0
+    for char in ddl:
+        depth += {"<": 1, ">": -1}.get(char, 0)
+        if char == "," and depth == 0:
+            parts.append("")
+        else:
+            parts[-1] += char
+    return parts
 
 
 def envelope(response: Column, kind: Column, original: Column) -> Column:

@@ -30,6 +30,11 @@ def folded(col: Column) -> Column:
     return F.lower(single_spaced(col))
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once per row, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def is_blank(col: Column) -> Column:
     return ~F.coalesce(F.rlike(col, F.lit(f"(?U)[^{fixed.WS_JAVA[1:-1]}]")), F.lit(False))
 

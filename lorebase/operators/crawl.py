@@ -62,8 +62,8 @@ def crawl(pages: DataFrame, seeds: DataFrame, page_limit: int = fixed.PAGE_LIMIT
     """(base_url, url, html, rank) of the pages reached from every seed.
 
     ``pages`` has (url, html) and optionally ``content_type``, ``final_url``, the
-    address after redirects, and ``position``, which picks one of several rows that
-    normalise to one address; ``seeds`` has (base_url). Unsafe seeds give nothing.
+    address after redirects, and ``position``, a unique number that picks the first of
+    several rows that normalise to one address; ``seeds`` has (base_url). Unsafe seeds give nothing.
     """
     if "content_type" not in pages.columns:
         pages = pages.withColumn("content_type", F.lit("text/html"))
@@ -71,10 +71,9 @@ def crawl(pages: DataFrame, seeds: DataFrame, page_limit: int = fixed.PAGE_LIMIT
         pages = pages.withColumn("final_url", F.col("url"))
     if "position" not in pages.columns:
         pages = pages.withColumn("position", F.xxhash64("url", "html"))
-    fetchable = keep_first(pages.select(
-        urls.normalize(F.col("url")).alias("url"), urls.normalize(F.col("final_url")).alias("final_url"),
-        "html", "content_type", "position",
-    ), ["url"], "position")
+    addressed = pages.withColumn("final_url", urls.normalize(F.col("final_url"))).withColumn("url", urls.normalize(F.col("url")))
+    index = checkpoint(keep_first(addressed.select("url", "final_url", "content_type", "position"), ["url"], "position"))
+    answering = index.filter(is_html(F.col("content_type")))
     frontier = (
         seeds.select("base_url").distinct().filter(urls.is_safe(F.col("base_url")))
         .select("base_url", urls.normalize(F.col("base_url")).alias("url"), F.lit(0).alias("parent_rank"), F.lit(0).alias("link_pos"))
@@ -91,7 +90,7 @@ def crawl(pages: DataFrame, seeds: DataFrame, page_limit: int = fixed.PAGE_LIMIT
         fresh = checkpoint(fresh)
         if fresh.isEmpty():
             break
-        answered = fresh.join(fetchable.filter(is_html(F.col("content_type"))).select("url"), "url")
+        answered = fresh.join(answering, "url")
         order = Window.partitionBy("base_url").orderBy("parent_rank", "link_pos")
         leading = answered.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= page_limit)
         if reached is None:
@@ -99,7 +98,7 @@ def crawl(pages: DataFrame, seeds: DataFrame, page_limit: int = fixed.PAGE_LIMIT
         else:
             counts = reached.groupBy("base_url").agg(F.count("*").alias("_have"))
             placed = leading.join(counts, "base_url", "left").withColumn("rank", F.coalesce("_have", F.lit(0)) + F.col("_n"))
-        level = placed.filter(F.col("rank") <= page_limit).join(fetchable, "url").select(
+        level = placed.filter(F.col("rank") <= page_limit).join(addressed.select("url", "position", "html"), ["url", "position"]).select(
             "base_url", F.col("url").alias("asked_url"), F.col("final_url").alias("url"), "html", F.col("rank").cast("int")
         )
         level = checkpoint(level)

@@ -209,10 +209,12 @@ def tree_documents(
     raw = reduce(DataFrame.unionByName, [
         _space_documents(placed), _callout_documents(called), _contribution_documents(contributed)
     ])
-    cleaned = raw.withColumn("content", strip_html(F.col("content"))).filter(F.col("content") != "")
+    cleaned = raw.withColumn("content", strip_html(F.col("content")))
     plain_title = strip_html(F.col("title"))
+    # blanks share one key; dropping them after the choice keeps the clean-up from running twice
     return (
         keep_first(cleaned.withColumn("_key", content_key(F.col("content"))), ["collection", "_key"], "path")
+        .filter(F.col("content") != "")
         .drop("_key")
         .withColumn("title", F.when(plain_title != "", plain_title).otherwise(F.col("title")))
         .withColumn("uri", F.nullif(F.col("uri"), F.lit("")))

@@ -164,13 +164,10 @@ def envelope(spark: SparkSession, folder: str) -> DataFrame:
     bodies = _bodies(spark, folder).withColumn("kind", events.route(F.col("body"), F.lit("expert"))).filter(F.col("kind") != events.ERROR)
     response = F.struct(F.concat(F.lit("answer to "), F.col("event_type")).alias("result"), F.lit("EN").alias("humanLanguage"))
     original = events.parse_query(F.col("body"))
-    wrapped = events.envelope(response, F.col("kind"), original)
-    return bodies.select(
-        "event_id", F.get_json_object(wrapped, "$.response.result").alias("result"),
-        F.get_json_object(wrapped, "$.original.message").alias("message"), F.get_json_object(wrapped, "$.original.operation").alias("operation"),
-        F.get_json_object(wrapped, "$.original.language").alias("language"),
-        F.get_json_object(wrapped, "$.original.bodyOfKnowledgeID").alias("body_id"),
-    )
+    wrapped = bodies.select("event_id", events.envelope(response, F.col("kind"), original).alias("sent"))
+    parts = {"result": "response.result", "message": "original.message", "operation": "original.operation",
+             "language": "original.language", "body_id": "original.bodyOfKnowledgeID"}
+    return wrapped.select("event_id", *[F.get_json_object("sent", f"$.{path}").alias(name) for name, path in parts.items()])
 
 
 ENVELOPE_SQL = """
@@ -192,7 +189,7 @@ def numeric_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 NUMERIC_SQL = """
 SELECT event_id, CAST(floor(value / 60) AS INTEGER) AS minutes, CAST(floor(value % 60) AS INTEGER) AS seconds,
-       pow(2.0, CAST(props->>'$.k' AS INTEGER) % 3) AS delay, epoch_ms(ts) AS timestamp
+       pow(2.0, CAST(props->>'$.k' AS INTEGER) % 3) AS delay, epoch_us(ts) // 1000 AS timestamp
 FROM events"""
 
 

@@ -11,6 +11,7 @@ from lorebase.operators import changes
 from lorebase.plans.corpus import (
     EARLIER_SQL, LATER_SQL, chunks_sql, earlier_documents, hashed_chunks, later_documents, store_sql, stored_state,
 )
+from lorebase.session import checkpoint
 from lorebase.sources.store import metadata_struct, upserted, without_documents, without_ids
 
 
@@ -114,15 +115,17 @@ def _flat(store: DataFrame) -> DataFrame:
                         "metadata.embeddingType", "metadata.chunkIndex", "metadata.uri")
 
 
-def _after_upsert(spark: SparkSession, folder: str) -> DataFrame:
+def _upsert(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Store state after the upsert, the difference, and the later chunks."""
     chunks, store = _chunks_and_store(spark, folder)
-    incoming = stored_state(later_documents(spark, folder))
-    unchanged = changes.difference(chunks, store).filter(F.col("status") == changes.UNCHANGED)
-    return upserted(store, without_ids(incoming, unchanged))
+    diff = checkpoint(changes.difference(chunks, store, later_documents(spark, folder)))  # narrow, and read several times
+    unchanged = diff.filter(F.col("status") == changes.UNCHANGED)
+    fresh = without_ids(stored_state(later_documents(spark, folder)), unchanged)
+    return upserted(store, fresh), diff, chunks
 
 
 def store_upsert_state(spark: SparkSession, folder: str) -> DataFrame:
-    return _flat(_after_upsert(spark, folder))
+    return _flat(_upsert(spark, folder)[0])
 
 
 _UPSERT_SQL = f"""{_BASE_SQL},
@@ -136,12 +139,11 @@ STORE_UPSERT_SQL = f"{_UPSERT_SQL} SELECT {_FLAT_SQL} FROM upserted"
 
 def orphan_cleanup_state(spark: SparkSession, folder: str) -> DataFrame:
     """The store after upsert and clean-up: orphans, stale summaries and removed documents are gone."""
-    chunks, store = _chunks_and_store(spark, folder)
-    diff = changes.difference(chunks, store, later_documents(spark, folder))
+    state, diff, chunks = _upsert(spark, folder)
     doomed = changes.orphan_ids(diff).select("collection", "id").unionByName(
         changes.stale_summaries(chunks, changes.changed_documents(diff)).select("collection", "id")
     )
-    cleaned = without_documents(without_ids(_after_upsert(spark, folder), doomed), changes.removed_documents(diff))
+    cleaned = without_documents(without_ids(state, doomed), changes.removed_documents(diff))
     return _flat(cleaned)
 
 

@@ -72,7 +72,7 @@ def chunk_recursive(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def content_key_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents").select("doc_id", content_key(F.col("text")).alias("key"))
+    docs = spread(table(spark, folder, "documents")).select("doc_id", content_key(F.col("text")).alias("key"))
     return keep_first(docs, ["key"], "doc_id").select("doc_id", "key")
 
 
@@ -81,7 +81,7 @@ CONTENT_KEY_DEDUP_SQL = f"SELECT min(doc_id) AS doc_id, {_KEY_SQL} AS key FROM d
 
 
 def store_dedup_last(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents").select("doc_id", content_key(F.col("text")).alias("key"))
+    docs = spread(table(spark, folder, "documents")).select("doc_id", content_key(F.col("text")).alias("key"))
     return keep_last(docs, ["key"], "doc_id").select("doc_id", "key")
 
 
@@ -98,7 +98,7 @@ SELECT collection, document_id, min(position) AS position FROM chunks GROUP BY A
 
 
 def _lines(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents").select(
+    return spread(table(spark, folder, "documents")).select(
         F.col("source").alias("site"), F.col("doc_id").alias("page_id"), F.col("text").alias("content")
     )
 
@@ -141,7 +141,7 @@ HTML_STRIP_SQL = f"SELECT page_id, {strip_html_sql('html')} AS content FROM page
 def citations_strip(spark: SparkSession, folder: str) -> DataFrame:
     """Documents with citation marks put behind every sentence, and the marks taken out again."""
     cited = F.regexp_replace("text", r"\.", ".【4:0†source】")
-    return table(spark, folder, "documents").select("doc_id", tx.strip_citations(cited).alias("content"))
+    return spread(table(spark, folder, "documents")).select("doc_id", tx.strip_citations(cited).alias("content"))
 
 
 CITATIONS_SQL = f"""

@@ -40,12 +40,12 @@ def _document_row(content) -> list:
 
 
 def earlier_documents(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents").select(*_document_row(F.col("text")))
+    return spread(table(spark, folder, "documents")).select(*_document_row(F.col("text")))
 
 
 def later_documents(spark: SparkSession, folder: str) -> DataFrame:
     labels = table(spark, folder, "labels")
-    judged = table(spark, folder, "documents").join(labels, "doc_id", "left").filter(F.coalesce("toxic", F.lit(0)) != 1)
+    judged = spread(table(spark, folder, "documents")).join(labels, "doc_id", "left").filter(F.coalesce("toxic", F.lit(0)) != 1)
     edited = F.when(F.col("quality") == 0, single_spaced(F.col("text"))).otherwise(F.col("text"))
     added = table(spark, folder, "benchmark").select(
         F.lit("en-knowledge").alias("collection"),
