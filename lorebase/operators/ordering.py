@@ -36,6 +36,16 @@ def _range_of(cuts: Column, value: Column, ranges: int) -> Column:
     return F.aggregate(F.array(*steps), F.lit(0), advance)
 
 
+def _broadcast_measured(small: DataFrame, row_bytes: int) -> DataFrame:
+    """Compute a table of cut points, and broadcast it if its measured size is within the limit.
+
+    Beyond the limit the join shuffles. The row key is counted with a kilobyte.
+    """
+    small = checkpoint(small)
+    limit = small.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    return F.broadcast(small) if small.count() * (row_bytes + 1024) <= limit else small
+
+
 def running_sum(
     df: DataFrame,
     group: Sequence[str],
@@ -49,12 +59,17 @@ def running_sum(
     ``order`` must be unique within a group. An empty ``group`` means the whole table.
     """
     ranges = ranges or _range_count(df)
-    group = list(group) or ["_all"]
-    if group == ["_all"]:
-        df = df.withColumn("_all", F.lit(0))
     fractions = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
-    cuts = df.groupBy(*group).agg(F.percentile_approx(order, fractions, F.lit(1000)).alias("_cuts"))
-    ranged = df.join(cuts, group).withColumn("_range", _range_of(F.col("_cuts"), F.col(order), ranges)).drop("_cuts")
+    quantiles = F.percentile_approx(order, fractions, F.lit(max(1000, 10 * ranges)))
+    if group:
+        cuts = _broadcast_measured(df.groupBy(*group).agg(quantiles.alias("_cuts")), 8 * ranges)
+        ranged = df.join(cuts, list(group)).withColumn("_range", _range_of(F.col("_cuts"), F.col(order), ranges)).drop("_cuts")
+    else:
+        group = ["_all"]
+        points = df.agg(quantiles).first()[0] or []  # as many numbers as there are ranges
+        literal = F.array(*[F.lit(p) for p in points]) if points else F.array().cast("array<double>")
+        ranged = df.withColumn("_all", F.lit(0)).withColumn("_range", _range_of(literal, F.col(order), ranges))
+    group = list(group)
     totals = ranged.groupBy(*group, "_range").agg(F.sum(value).alias("_total"))
     before = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*group, "_range", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_offset"))

@@ -14,7 +14,7 @@ from lorebase.operators.tree import link_counts, tree_documents
 from lorebase.plans.catalog_text import _strip_sql, _unescape_sql, strip_html_sql
 from lorebase.plans.corpus import single_spaced_sql
 from lorebase.session import checkpoint
-from lorebase.sources.tables import spread, table
+from lorebase.sources.tables import broadcast_if_small, spread, table
 
 INTERNAL_BASE = "https://store.example:8443/graphql"
 
@@ -203,8 +203,11 @@ def _tree(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataF
         F.concat(F.lit("<p>Offers of "), "s_name", F.lit("</p><p>Ask   first</p>")).alias("description"), none.alias("url"),
     )
     shipped = lineitem.select("l_suppkey", "l_partkey").distinct()
-    offered = shipped.join(placed.select("collection", "s_suppkey"), F.col("l_suppkey") == F.col("s_suppkey")).join(
-        part, F.col("l_partkey") == F.col("p_partkey")
+    makers = broadcast_if_small(supplier.select("s_suppkey", "s_nationkey"))
+    offered = (
+        shipped.join(makers, F.col("l_suppkey") == F.col("s_suppkey"))
+        .join(nations, F.col("s_nationkey") == F.col("n_nationkey"))
+        .join(part, F.col("l_partkey") == F.col("p_partkey"))
     )
     kind = F.when(F.col("p_type").isin("ECONOMY", "STANDARD"), "post").when(F.col("p_type").isin("PROMO", "MEDIUM"), "whiteboard").otherwise("link")
     uri = F.when((kind == "link") & (F.col("p_size") % 2 == 1), F.concat(F.lit("https://parts.example/"), F.col("p_partkey")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorebase.functions.text import is_blank, strip
@@ -100,6 +100,6 @@ def generator_rows(count: int) -> int:
 
 
 def duplicates(cases: DataFrame, order: str) -> DataFrame:
-    """Second and later occurrences of a question."""
-    rank = F.row_number().over(Window.partitionBy("question").orderBy(order))
-    return cases.withColumn("_n", rank).filter(F.col("_n") > 1).drop("_n")
+    """Second and later occurrences of a question: later than its first, found with map-side combining."""
+    first = cases.groupBy("question").agg(F.min(order).alias("_first"))
+    return cases.join(first, "question").filter(F.col(order) > F.col("_first")).drop("_first").select(*cases.columns)
