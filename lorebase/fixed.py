@@ -105,9 +105,7 @@ QWEN_INSTRUCTION = (
 )
 
 # Wire values.
-TREE_TYPE_SPACE = "alkemio-space"
-TREE_TYPE_KNOWLEDGE_BASE = "alkemio-knowledge-base"
-INTERNAL_HOST_SUFFIX = "alkem.io"
+FLAT_TREE_TYPE = "knowledge-base"  # as such, or behind the platform's prefix and a dash
 INTERNAL_PATHS = ("/api/", "/rest/")
 METRICS = ("faithfulness", "answer_relevancy", "context_precision", "context_recall")
 RETRY_ATTEMPTS = 3

@@ -73,10 +73,14 @@ def tree_collection(body_id: Column, purpose: Column) -> Column:
     return F.concat(body_id, F.lit("-"), purpose)
 
 
-def rewrite_internal(url: Column, base: Column) -> Column:
-    """Point internal API addresses at the configured host; external ones stay."""
+def rewrite_internal(url: Column, base: Column, platform_domain: str) -> Column:
+    """Point internal API addresses at the configured host; external ones stay.
+
+    Internal are relative addresses, those of the host itself and those of hosts whose
+    name ends with the platform's domain.
+    """
     host = netloc(url)
-    known = (host == "") | (host == netloc(base)) | host.endswith(fixed.INTERNAL_HOST_SUFFIX)
+    known = (host == "") | (host == netloc(base)) | host.endswith(platform_domain)
     internal = F.lit(False)
     for prefix in fixed.INTERNAL_PATHS:
         internal = internal | path(url).startswith(prefix)

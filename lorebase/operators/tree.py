@@ -51,6 +51,12 @@ def tree_schema(levels: int = 3) -> T.StructType:
     return T.StructType([T.StructField("lookup", lookup)])
 
 
+def is_flat(bok_type: Column) -> Column:
+    """Knowledge bases are flat; every other type is a tree of spaces."""
+    flat = (bok_type == fixed.FLAT_TREE_TYPE) | bok_type.endswith(f"-{fixed.FLAT_TREE_TYPE}")
+    return F.coalesce(flat, F.lit(False))
+
+
 def _padded(pos: Column) -> Column:
     return F.lpad(pos.cast("string"), 10, "0")
 
@@ -61,7 +67,7 @@ def read_answers(answers: DataFrame, levels: int = 3) -> tuple[DataFrame, DataFr
     The type picks the flat or the tree reading; unknown types read as trees.
     """
     parsed = answers.withColumn("_d", F.from_json("body", tree_schema(levels)))
-    flat = F.col("bok_type") == fixed.TREE_TYPE_KNOWLEDGE_BASE
+    flat = is_flat(F.col("bok_type"))
     tops = parsed.select("collection", F.lit(0).alias("pos"), F.lit(None).cast("string").alias("parent_id"),
                          F.when(flat, F.lit("knowledge")).alias("top_type"),
                          F.when(~flat, F.col("_d.lookup.space")).alias("_tree"),

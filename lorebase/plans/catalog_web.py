@@ -16,6 +16,7 @@ from lorebase.plans.corpus import single_spaced_sql
 from lorebase.session import checkpoint
 from lorebase.sources.tables import broadcast_if_small, spread, table
 
+PLATFORM_DOMAIN = "platform.example"
 INTERNAL_BASE = "https://store.example:8443/graphql"
 
 
@@ -107,10 +108,11 @@ FROM pages"""
 def uri_rewrite(spark: SparkSession, folder: str) -> DataFrame:
     """Internal storage addresses move to the configured host; page addresses stay."""
     pages = table(spark, folder, "pages")
-    stored = F.concat(F.lit("https://docs.alkem.io/api/private/rest/storage/document/"), F.col("page_id"), F.lit("?v=1"))
+    stored = F.concat(F.lit("https://docs.platform.example/api/private/rest/storage/document/"), F.col("page_id"), F.lit("?v=1"))
     base = F.lit(INTERNAL_BASE)
     return pages.select(
-        "page_id", urls.rewrite_internal(stored, base).alias("stored"), urls.rewrite_internal(F.col("url"), base).alias("external")
+        "page_id", urls.rewrite_internal(stored, base, PLATFORM_DOMAIN).alias("stored"),
+        urls.rewrite_internal(F.col("url"), base, PLATFORM_DOMAIN).alias("external")
     )
 
 

@@ -79,7 +79,7 @@ class TreeClient:
         return with_retries(call, fixed.RETRY_ATTEMPTS, fixed.RETRY_BASE_SECONDS, self.sleep, final=())
 
     def body(self, body_id: str, bok_type: str) -> dict:
-        if bok_type == fixed.TREE_TYPE_KNOWLEDGE_BASE:
+        if bok_type == fixed.FLAT_TREE_TYPE or bok_type.endswith(f"-{fixed.FLAT_TREE_TYPE}"):
             return self.query(KNOWLEDGE_BASE_QUERY, {"kbId": body_id})
         return self.query(SPACE_QUERY, {"spaceId": body_id})
 

@@ -21,7 +21,7 @@ from lorebase.streaming import delivery
 
 QUESTION = {"input": {"engine": "expert", "userID": "u", "message": "hello", "personaID": "p"}}
 SITE = {"eventType": "IngestWebsite", "baseUrl": "https://a.com", "type": "website", "purpose": "knowledge", "personaId": "p"}
-TREE = {"bodyOfKnowledgeId": "b", "type": "alkemio-space", "purpose": "knowledge", "personaId": "p"}
+TREE = {"bodyOfKnowledgeId": "b", "type": "platform-space", "purpose": "knowledge", "personaId": "p"}
 
 
 def routed(spark, body, worker="expert"):
@@ -212,7 +212,7 @@ BARE = {"link": {"id": "l2", "profile": profile("Bare"), "uri": "https://ext/non
 REPEAT = {"post": {"id": "p2", "profile": profile("Post", "post   BODY")}}
 
 
-def flattened(spark, body, kind="alkemio-space", fetched=None):
+def flattened(spark, body, kind="platform-space", fetched=None):
     df = spark.createDataFrame([("c", kind, json.dumps(body))], "collection string, bok_type string, body string")
     links_ = spark.createDataFrame(fetched, "uri string, fetched_text string") if fetched else None
     return tree_documents(*read_answers(df), fetched=links_).orderBy("path").collect()
@@ -236,7 +236,7 @@ def test_tree_in_pre_order_with_context(spark):
 
 def test_knowledge_base_is_flat(spark):
     base = {"id": "k", "profile": profile("Base", "Text"), "calloutsSet": {"callouts": [callout("c", "Call", None, POST)]}}
-    got = flattened(spark, {"lookup": {"knowledgeBase": base}}, "alkemio-knowledge-base")
+    got = flattened(spark, {"lookup": {"knowledgeBase": base}}, "platform-knowledge-base")
     assert [(r.source, r.type) for r in got] == [("space:k", "knowledge"), ("post:p1", "post")]
     assert got[1].content == "Call\n\n# Post\n\nPost body"
     assert flattened(spark, {"lookup": None}, "other") == []

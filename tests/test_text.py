@@ -177,12 +177,12 @@ def test_safety(spark, url, want):
 
 
 @pytest.mark.parametrize("url,want", [
-    ("https://alkem.io/api/private/rest/storage/document/1?x=2", "http://localhost:3000/api/private/rest/storage/document/1?x=2"),
+    ("https://platform.io/api/private/rest/storage/document/1?x=2", "http://localhost:3000/api/private/rest/storage/document/1?x=2"),
     ("/rest/storage/1", "http://localhost:3000/rest/storage/1"),
-    ("https://other.org/api/x", "https://other.org/api/x"), ("https://alkem.io/about", "https://alkem.io/about"), ("", ""),
+    ("https://other.org/api/x", "https://other.org/api/x"), ("https://platform.io/about", "https://platform.io/about"), ("", ""),
 ])
 def test_rewrite(spark, url, want):
-    assert one(spark, urls.rewrite_internal(F.col("u"), F.lit("http://localhost:3000/graphql")), u=url) == want
+    assert one(spark, urls.rewrite_internal(F.col("u"), F.lit("http://localhost:3000/graphql"), "platform.io"), u=url) == want
 
 
 def test_collection_names(spark):
