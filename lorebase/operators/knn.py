@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK_ROWS = 1024
+BLOCK_BYTES = 4 << 20  # wide vectors make shorter blocks
+WAITING_ROWS = 65_536  # vectors that a packing task holds back to fill its blocks
 HELD_QUESTIONS = 100_000
 DECIMALS = 10  # distances are compared at this precision, so that ties fall to the id
 
@@ -49,6 +51,11 @@ def _packer(prefix: str, block_rows: int):
                 schema=schema,
             )
 
+        def remaining(waiting: dict) -> Iterator[pa.RecordBatch]:
+            for name, held in waiting.items():
+                if held:
+                    yield block(name, np.concatenate([i for i, _ in held]), np.vstack([m for _, m in held]))
+
         for batch in batches:
             if batch.num_rows == 0:
                 continue
@@ -58,20 +65,22 @@ def _packer(prefix: str, block_rows: int):
             if flat.size % batch.num_rows:
                 raise ValueError("vectors of one table differ in dimension")
             matrix = flat.reshape(batch.num_rows, -1)
+            size = max(1, min(block_rows, BLOCK_BYTES // (8 * max(1, matrix.shape[1]))))
             for name in set(names):
                 here = names == name
                 held = waiting.setdefault(name, [])
                 held.append((ids[here], matrix[here]))
-                if sum(len(i) for i, _ in held) >= block_rows:
+                if sum(len(i) for i, _ in held) >= size:
                     all_ids = np.concatenate([i for i, _ in held])
                     vectors = np.vstack([m for _, m in held])
-                    full = len(all_ids) // block_rows * block_rows
-                    for start in range(0, full, block_rows):
-                        yield block(name, all_ids[start : start + block_rows], vectors[start : start + block_rows])
+                    full = len(all_ids) // size * size
+                    for start in range(0, full, size):
+                        yield block(name, all_ids[start : start + size], vectors[start : start + size])
                     waiting[name] = [(all_ids[full:], vectors[full:])] if full < len(all_ids) else []
-        for name, held in waiting.items():
-            if held:
-                yield block(name, np.concatenate([i for i, _ in held]), np.vstack([m for _, m in held]))
+            if sum(len(i) for held in waiting.values() for i, _ in held) >= WAITING_ROWS:
+                yield from remaining(waiting)
+                waiting.clear()
+        yield from remaining(waiting)
 
     return pack
 

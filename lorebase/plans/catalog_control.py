@@ -112,7 +112,7 @@ FROM conversations WHERE role = 'user'"""
 
 def _bodies(spark: SparkSession, folder: str) -> DataFrame:
     """Message bodies made of the events: questions, site ingests, incomplete and broken ones."""
-    e = table(spark, folder, "events")
+    e = spread(table(spark, folder, "events"))
     user = F.col("user_id").cast("string")
     question = F.to_json(F.struct(F.struct(
         F.lit("expert").alias("engine"), user.alias("userID"), F.col("event_type").alias("message"), F.lit("p1").alias("personaID")

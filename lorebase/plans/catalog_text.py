@@ -30,14 +30,17 @@ def _tidy_sql(column: str) -> str:
     return _strip_sql(f"regexp_replace({collapsed}, '\\n[ \\t]*\\n[ \\t]*\\n+', chr(10) || chr(10), 'g')")
 
 
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&copy;", "©"), ("&middot;", "·"),
-            ("&nbsp;", " "), ("&mdash;", "—"), ("&ndash;", "–"), ("&hellip;", "…"), ("&amp;", "&"))
+# Name, text, and whether the entity counts without its semicolon; & has to come last.
+ENTITIES = (
+    ("lt", "<", True), ("gt", ">", True), ("quot", '"', True), ("#39", "'", True), ("copy", "©", True), ("middot", "·", True),
+    ("nbsp", "\xa0", True), ("mdash", "—", False), ("ndash", "–", False), ("hellip", "…", False), ("amp", "&", True),
+)
 
 
 def _unescape_sql(column: str) -> str:
-    for name, char in ENTITIES:
+    for name, char, bare in ENTITIES:
         quoted = char.replace("'", "''")
-        column = f"replace({column}, '{name}', '{quoted}')"
+        column = f"regexp_replace({column}, '&{name};{'?' if bare else ''}', '{quoted}', 'g')"
     return column
 
 
