@@ -130,12 +130,11 @@ def _bodies(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def event_route(spark: SparkSession, folder: str) -> DataFrame:
-    bodies = _bodies(spark, folder)
-    kind = events.route(F.col("body"), F.lit("expert"))
-    return bodies.select(
-        "event_id", kind.alias("kind"), events.is_ingest(kind).alias("early_ack"),
+    routed = _bodies(spark, folder).select(
+        "event_id", events.route(F.col("body"), F.lit("expert")).alias("kind"),
         events.route(F.col("body"), F.lit("ingest-space")).alias("kind_at_tree_worker"),
     )
+    return routed.select("event_id", "kind", events.is_ingest(F.col("kind")).alias("early_ack"), "kind_at_tree_worker")
 
 
 EVENT_ROUTE_SQL = """

@@ -89,6 +89,23 @@ def test_nearest_equals_brute_force_with_a_hot_collection(spark, metric):
     assert {k: sorted(v) for k, v in got.items()} == want
 
 
+def test_nearest_without_broadcast(spark):
+    rng = np.random.default_rng(2)
+    stored = [("hot" if i % 4 else "cold", f"v{i:03d}", rng.normal(size=5).tolist()) for i in range(300)]
+    store = spark.createDataFrame(stored, "collection string, id string, embedding array<double>")
+    asked = store.withColumnRenamed("id", "query_id")
+    key = lambda df: sorted((r.query_id, r["rank"], r.id, r.distance) for r in df.collect())
+    broadcast = key(knn.nearest(store, asked, 3, block_rows=16))
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        shuffled = knn.nearest(store, asked, 3, block_rows=16)
+        assert "SortMergeJoin" in shuffled._jdf.queryExecution().executedPlan().toString()
+        assert key(shuffled) == broadcast and len(broadcast) == 900
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
 def test_nearest_rejects_bad_input(spark):
     a = spark.createDataFrame([("c", "1", [1.0, 2.0])], "collection string, id string, embedding array<double>")
     with pytest.raises(ValueError):

@@ -225,3 +225,23 @@ def test_expert_graph(spark, filled):
                                   "query_id string, message string, body_id string, language string, history array<struct<content: string, role: string>>, description string, display_name string")
     row = answer.expert_with_graph(asked, definition, filled).first()
     assert "[source:0]" in row.result and row.sources == []
+
+
+def test_tree_ingest(spark, store):
+    from lorebase import fixed
+    from lorebase.operators.tree import tree_documents
+
+    spaces = spark.createDataFrame(
+        [("b-knowledge", None, 0, "s1", "Top", "All of it", None, None), ("b-knowledge", "s1", 1, "s2", "Sub", "<p>Part</p>", "https://x/2", None)],
+        "collection string, parent_id string, pos int, id string, name string, description string, url string, top_type string")
+    callouts = spark.createDataFrame([("b-knowledge", "s1", 0, "c1", "Call", "Talk here", None)],
+                                     "collection string, space_id string, pos int, id string, name string, description string, url string")
+    contributions = spark.createDataFrame([("b-knowledge", "c1", 0, "post", "p1", "Post", "Body", None, None)],
+                                          "collection string, callout_id string, pos int, kind string, id string, name string, body string, uri string, url string")
+    numbered = ingest.numbered_tree_documents(tree_documents(spaces, callouts, contributions))
+    assert [r.document_id for r in numbered.orderBy("position").collect()] == ["s1", "c1", "p1", "s2"]
+    outcome = ingest.ingest(store, numbered, size=fixed.TREE_CHUNK[0], overlap=fixed.TREE_CHUNK[1])
+    assert outcome.results.first().success and outcome.results.first().chunks_stored == 5  # four chunks and the overview
+    assert store.get("b-knowledge", where={"documentId": "s2"}).first().metadata.uri == "https://x/2"
+    overview = store.get("b-knowledge", where={"documentId": fixed.OVERVIEW_DOC_ID}).first()
+    assert overview.document.startswith("Top\n\nAll of it") and overview.metadata.type == fixed.OVERVIEW_TYPE
