@@ -31,17 +31,19 @@ def difference(chunks: DataFrame, store: DataFrame, all_documents: DataFrame | N
     tasks. Stored rows of documents that are still listed but give no chunks stay.
     """
     now = _addresses(chunks)
+    # counts every column of ``now``, so that both uses of it share one shuffle
+    chunked = now.groupBy("collection", "document_id").agg((F.sum("copies") > 0).alias("has_chunks"))
     if all_documents is None:
-        all_documents = now.select("collection", "document_id").distinct()
+        documents = chunked.withColumn("listed", F.col("has_chunks"))
+    else:
+        listed = all_documents.select("collection", "document_id").distinct().withColumn("listed", F.lit(True))
+        documents = listed.join(chunked, ["collection", "document_id"], "full")
     held = store.select(
         "collection",
         F.col("metadata.documentId").alias("document_id"),
         "id",
         F.col("metadata.embeddingType").alias("held_type"),
     )
-    listed = all_documents.select("collection", "document_id").distinct()
-    chunked = now.select("collection", "document_id").distinct().withColumn("has_chunks", F.lit(True))
-    documents = listed.withColumn("listed", F.lit(True)).join(chunked, ["collection", "document_id"], "full")
     matched = now.withColumn("is_now", F.lit(True)).join(held, ["collection", "document_id", "id"], "full")
     flagged = matched.join(documents, ["collection", "document_id"], "left")
     status = (
