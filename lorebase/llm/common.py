@@ -61,6 +61,8 @@ def hot_slices(df: DataFrame, key: Sequence[str], bytes_of: Column | None = None
     totals = Observation()
     seen = df.observe(totals, F.count(F.lit(1)).alias("n"), F.coalesce(size, F.lit(0)).alias("b"))
     counts = written(seen.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"), size.alias("_b")).filter("_n > 1"), "key-counts")
+    if counts.isEmpty():  # no key has two rows, or there are no rows, of which nothing is observed
+        return counts.select(*key, F.lit(1).alias("slices"))
     n, b = max(totals.get["n"], 1), max(totals.get["b"], 1)
     part = F.greatest(F.col("_n") / F.lit(n), F.col("_b") / F.lit(b))
     return counts.filter(part * share > 1).select(*key, F.ceil(part * share).cast("int").alias("slices"))
