@@ -110,9 +110,9 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
-def _with_column(docs: DataFrame, name: str, kind: str, source: str, make) -> DataFrame:
+def _with_column(docs: DataFrame, name: str, kind: str, source: str, make, keep: bool) -> DataFrame:
     """The rows with a column that ``make`` derives from batches of ``source``; it replaces one of that name."""
-    others = [c for c in docs.columns if c != name]
+    others = [c for c in docs.columns if c != name and (keep or c != source)]
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("row"), F.col(f"`{source}`").alias("source"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,8 +125,8 @@ def _with_column(docs: DataFrame, name: str, kind: str, source: str, make) -> Da
     return out.select(*[F.col(f"row.`{c}`") for c in others], F.col("made").alias(name))
 
 
-def encode(docs: DataFrame, path: str, pattern: str, column: str = "text") -> DataFrame:
-    """The documents with ``token_ids``. ``path`` names the ranks file on the executors."""
+def encode(docs: DataFrame, path: str, pattern: str, column: str = "text", keep: bool = True) -> DataFrame:
+    """The documents with ``token_ids``, and without the text unless ``keep``. ``path`` names the ranks file on the executors."""
 
     def make(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.Array]]:
         for first, texts in chunks(batch):
@@ -134,11 +134,11 @@ def encode(docs: DataFrame, path: str, pattern: str, column: str = "text") -> Da
             offsets = np.concatenate(([0], np.cumsum([len(x) for x in found]))).astype(np.int32)
             yield first, pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found)))
 
-    return _with_column(docs, "token_ids", "array<int>", column, make)
+    return _with_column(docs, "token_ids", "array<int>", column, make, keep)
 
 
-def decode(encoded: DataFrame, path: str, column: str = "token_ids") -> DataFrame:
-    """The rows with ``decoded``, the bytes that the ids stand for; null ids give none."""
+def decode(encoded: DataFrame, path: str, column: str = "token_ids", keep: bool = True) -> DataFrame:
+    """The rows with ``decoded``, the bytes that the ids stand for (null ids give none), and without the ids unless ``keep``."""
 
     def make(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.Array]]:
         lists = batch.column(1)
@@ -146,4 +146,4 @@ def decode(encoded: DataFrame, path: str, column: str = "token_ids") -> DataFram
             part = [lists[i] for i in range(first, min(first + 256, batch.num_rows))]
             yield first, pa.array([codec(path).decode(x.values.to_numpy(zero_copy_only=False)) if x.is_valid else b"" for x in part], pa.binary())
 
-    return _with_column(encoded, "decoded", "binary", column, make)
+    return _with_column(encoded, "decoded", "binary", column, make, keep)
