@@ -137,6 +137,22 @@ def encode(docs: DataFrame, path: str, pattern: str, column: str = "text", keep:
     return _with_column(docs, "token_ids", "array<int>", column, make, keep)
 
 
+def encode_and_decode(docs: DataFrame, path: str, pattern: str, column: str = "text", keep: bool = True) -> DataFrame:
+    """The documents with ``token_ids`` and, made from these, ``decoded``, in one pass through the workers."""
+
+    def make(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.Array]]:
+        for first, texts in chunks(batch):
+            found = codec(path).encode(texts, pattern)
+            offsets = np.concatenate(([0], np.cumsum([len(x) for x in found]))).astype(np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found)))
+            decoded = pa.array([codec(path).decode(x) for x in found], pa.binary())
+            yield first, pa.StructArray.from_arrays([ids, decoded], ["token_ids", "decoded"])
+
+    made = _with_column(docs, "_made", "struct<token_ids: array<int>, decoded: binary>", column, make, keep)
+    others = [F.col(f"`{c}`") for c in made.columns if c not in ("_made", "token_ids", "decoded")]
+    return made.select(*others, "_made.token_ids", "_made.decoded")
+
+
 def decode(encoded: DataFrame, path: str, column: str = "token_ids", keep: bool = True) -> DataFrame:
     """The rows with ``decoded``, the bytes that the ids stand for (null ids give none), and without the ids unless ``keep``."""
 

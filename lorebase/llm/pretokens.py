@@ -10,7 +10,7 @@ import pyarrow as pa
 #: Texts handled together in a task, in characters, so that a batch's pre-tokens stay small.
 CHUNK_CHARS = 1 << 20
 #: Entries of a worker's memory of pre-tokens; it is emptied when full.
-MEMORY = 500_000
+MEMORY = 300_000
 
 
 @lru_cache(maxsize=4)

@@ -54,8 +54,7 @@ def op3_mixing(spark: SparkSession, folder: str) -> DataFrame:
 def op4_piece_codec(spark: SparkSession, folder: str) -> DataFrame:
     ranks = _vocabulary("byte_bpe_50k.tiktoken")
     docs = _documents(spark, folder).select("doc_id", "text")
-    encoded = piece_codec.encode(docs, ranks, _pattern(), keep=False)
-    return piece_codec.decode(encoded, ranks).select(
+    return piece_codec.encode_and_decode(docs, ranks, _pattern(), keep=False).select(
         "doc_id",
         F.size("token_ids").cast("bigint").alias("n_tokens"),
         F.sha2(F.array_join(F.col("token_ids").cast("array<string>"), " "), 256).alias("ids_sha256"),

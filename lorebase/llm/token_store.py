@@ -24,7 +24,7 @@ empty table gives no segments. A document lies in one segment, whatever its leng
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -33,32 +33,49 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorebase.llm.common import measured, shared_folder
-from lorebase.llm.pretokens import MEMORY
+from lorebase.llm.pretokens import chunks
 from lorebase.operators.ordering import running_sum
 
 END_ID = 2
 SCALE, LANES = 18, 1024
 BLOCK, SEGMENT = 1 << 18, 1 << 22
+#: Entries of a worker's memory of words; it is emptied when full.
+WORDS = 1_000_000
 LOW = np.uint64(1 << 31)
 WORD = np.uint64(32)
 
 
+class Words(dict):
+    """Ids of words; those asked for in vain are noted."""
+
+    def __init__(self):
+        super().__init__()
+        self.unknown: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> None:
+        self.unknown.append(word)
+
+
 class Encoder:
     """Ids of texts by the tokenizers library, word by word.
 
     Words between ASCII white space are independent of each other under this tokenizer.
     Each different word is cut by the tokenizer's own pattern into pieces, and the library
-    encodes each different piece once. A word that the library's normaliser might change
-    by more than lower-casing, or that may hold a special string, goes to it whole.
+    encodes each different piece once: the new pieces of many texts together, set apart
+    by spaces and told apart by the tokens that end a piece. A word that the library's
+    normaliser might change by more than lower-casing, or that may hold a special string,
+    goes to it whole.
     """
 
     def __init__(self, path: str):
+        import gc
         import json
         import os
 
         import regex
         from tokenizers import Tokenizer
 
+        gc.disable()  # nothing here makes cycles, and each search for them would walk the memory of words
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.library = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
@@ -66,35 +83,53 @@ class Encoder:
         self.find = regex.compile(file["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
         # Printable ASCII and Latin letters that have a one-letter lower case and are composed already.
         self.simple = regex.compile("[\x21-\x7e¡-įı-ſ]+").fullmatch
-        self.words: dict[bytes, bytes] = {}
+        suffix = file["model"]["end_of_word_suffix"]
+        self.ends = np.zeros(self.library.get_vocab_size(), bool)
+        self.ends[[i for token, i in file["model"]["vocab"].items() if token.endswith(suffix)]] = True
+        self.words = Words()
         self.pieces: dict[str, bytes] = {}
 
-    def _learn(self, words: set[bytes]) -> None:
-        if len(self.words) + len(words) > MEMORY:
+    def _cut(self, text: str) -> list[str] | None:
+        """A word's pieces, or None if it has to go to the library whole."""
+        if text.isascii() and text.isalpha():
+            return [text.lower()]
+        if not self.simple(text) or "<|" in text:
+            return None
+        if text[-1] in ".,;:!?" and text[:-1].isalpha():
+            return [text[:-1].lower(), text[-1]]
+        return self.find(text.lower())
+
+    def _learn(self, words: set[bytes], emptied: bool) -> None:
+        if len(self.words) + len(words) > WORDS and not emptied:
             self.words.clear()
-        if len(self.pieces) > MEMORY:
+        if len(self.pieces) > WORDS:
             self.pieces.clear()
         cut: dict[bytes, list[str]] = {}
         for word in words:
-            text = word.decode()
-            cut[word] = self.find(text.lower()) if self.simple(text) and "<|" not in text else [text]
+            own = self._cut(text := word.decode())
+            if own is None:
+                self.words[word] = np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            else:
+                cut[word] = own
         fresh = list({p for own in cut.values() for p in own if p not in self.pieces})
-        for piece, found in zip(fresh, self.library.encode_batch(fresh, add_special_tokens=False), strict=True):
-            self.pieces[piece] = np.array(found.ids, "<u4").tobytes()
+        if fresh:
+            ids = np.array(self.library.encode(" ".join(fresh), add_special_tokens=False).ids, "<u4")
+            raw, ends = ids.tobytes(), (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            self.pieces.update(zip(fresh, [raw[a:b] for a, b in zip([0, *ends], ends)], strict=True))
         for word, own in cut.items():
             self.words[word] = b"".join([self.pieces[p] for p in own])
 
-    def encode(self, text: str | None) -> np.ndarray:
-        words = (text or "").encode().split()
-        get = self.words.get
-        parts = [get(w) for w in words]
-        if None in parts:
-            self._learn({w for w, p in zip(words, parts, strict=True) if p is None})
-            parts = [get(w) for w in words]
-            if None in parts:  # the memory was emptied
-                self._learn(set(words))
-                parts = [get(w) for w in words]
-        return np.frombuffer(b"".join(parts), "<u4")
+    def encode(self, texts: Sequence[str]) -> list[np.ndarray]:
+        split, look = [text.encode().split() for text in texts], self.words.__getitem__
+        parts = [list(map(look, words)) for words in split]
+        again = False
+        while self.words.unknown:
+            self._learn(set(self.words.unknown), again)
+            self.words.unknown.clear()
+            again = True
+            # Once more where a word was new; after the memory was emptied others may be, too.
+            parts = [list(map(look, words)) if None in own else own for words, own in zip(split, parts, strict=True)]
+        return [np.frombuffer(b"".join(own), "<u4") for own in parts]
 
 
 @lru_cache(maxsize=2)
@@ -132,8 +167,8 @@ def code_block(ids: np.ndarray, freqs: np.ndarray, starts: np.ndarray) -> tuple[
         full = x >= (f << bound)
         words.append(x[full].astype("<u4"))
         x = np.where(full, x >> WORD, x)
-        q, r = np.divmod(x, f)
-        state[: len(row)] = (q << np.uint64(SCALE)) + r + starts[row]
+        q = x // f
+        state[: len(row)] = (q << np.uint64(SCALE)) + (x - q * f) + starts[row]
     stream = np.concatenate(words[::-1])
     return state.astype("<u8").tobytes() + stream.tobytes(), len(stream)
 
@@ -199,14 +234,15 @@ def write_tokens(docs: DataFrame, path: str, end_id: int = END_ID) -> str:
         doc_ids, lists, kind = [], [], None
         for batch in batches:
             kind = batch.schema.field(0).type
-            for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
-                ids = np.append(encoder(path).encode(text.as_py()), np.uint32(end_id))
-                doc_ids.append(doc_id.as_py())
-                lists.append(ids)
-                size += len(ids)
-                if size >= SEGMENT:
-                    yield _segment(part, seq, doc_ids, lists, kind)
-                    seq, size, doc_ids, lists = seq + 1, 0, [], []
+            for first, texts in chunks(batch):
+                for row, found in enumerate(encoder(path).encode(texts), first):
+                    ids = np.append(found, np.uint32(end_id))
+                    doc_ids.append(batch.column(0)[row].as_py())
+                    lists.append(ids)
+                    size += len(ids)
+                    if size >= SEGMENT:
+                        yield _segment(part, seq, doc_ids, lists, kind)
+                        seq, size, doc_ids, lists = seq + 1, 0, [], []
         if lists:
             yield _segment(part, seq, doc_ids, lists, kind)
 

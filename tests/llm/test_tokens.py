@@ -53,7 +53,9 @@ def test_codec_matches_the_library_and_decodes(odd):
     library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     encoded = piece_codec.encode(odd, path, public_tokenizers.PATTERN)
     assert encoded.columns == [*odd.columns, "token_ids"]
-    for r in piece_codec.decode(encoded, path).collect():
+    both = piece_codec.encode_and_decode(odd, path, public_tokenizers.PATTERN)
+    assert both.columns == [*odd.columns, "token_ids", "decoded"]
+    for r in piece_codec.decode(encoded, path).collect() + both.collect():
         text = r["text"] or ""
         assert r["token_ids"] == library.encode_ordinary(text)
         assert bytes(r["decoded"]) == text.encode()
