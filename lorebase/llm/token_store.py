@@ -39,21 +39,25 @@ from lorebase.operators.ordering import running_sum
 END_ID = 2
 SCALE, LANES = 18, 1024
 BLOCK, SEGMENT = 1 << 18, 1 << 22
-#: Entries of a worker's memory of words; it is emptied when full.
+#: Entries of a worker's memory of words; a full one takes no more.
 WORDS = 1_000_000
 LOW = np.uint64(1 << 31)
 WORD = np.uint64(32)
 
 
 class Words(dict):
-    """Ids of words; those asked for in vain are noted."""
+    """Ids of words; those asked for in vain are noted. ``passing`` has what a full memory could not take."""
 
     def __init__(self):
         super().__init__()
         self.unknown: list[bytes] = []
+        self.passing: dict[bytes, bytes] = {}
 
-    def __missing__(self, word: bytes) -> None:
-        self.unknown.append(word)
+    def __missing__(self, word: bytes) -> bytes | None:
+        found = self.passing.get(word)
+        if found is None:
+            self.unknown.append(word)
+        return found
 
 
 class Encoder:
@@ -99,35 +103,31 @@ class Encoder:
             return [text[:-1].lower(), text[-1]]
         return self.find(text.lower())
 
-    def _learn(self, words: set[bytes], emptied: bool) -> None:
-        if len(self.words) + len(words) > WORDS and not emptied:
-            self.words.clear()
-        if len(self.pieces) > WORDS:
-            self.pieces.clear()
+    def _learn(self, words: set[bytes]) -> None:
+        keep = self.words if len(self.words) < WORDS else self.words.passing
+        pieces = self.pieces if len(self.pieces) < WORDS else {}
         cut: dict[bytes, list[str]] = {}
         for word in words:
             own = self._cut(text := word.decode())
             if own is None:
-                self.words[word] = np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+                keep[word] = np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
             else:
                 cut[word] = own
         fresh = list({p for own in cut.values() for p in own if p not in self.pieces})
         if fresh:
             ids = np.array(self.library.encode(" ".join(fresh), add_special_tokens=False).ids, "<u4")
             raw, ends = ids.tobytes(), (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
-            self.pieces.update(zip(fresh, [raw[a:b] for a, b in zip([0, *ends], ends)], strict=True))
+            pieces.update(zip(fresh, [raw[a:b] for a, b in zip([0, *ends], ends)], strict=True))
         for word, own in cut.items():
-            self.words[word] = b"".join([self.pieces[p] for p in own])
+            keep[word] = b"".join([self.pieces[p] if p in self.pieces else pieces[p] for p in own])
 
     def encode(self, texts: Sequence[str]) -> list[np.ndarray]:
         split, look = [text.encode().split() for text in texts], self.words.__getitem__
+        self.words.passing.clear()
         parts = [list(map(look, words)) for words in split]
-        again = False
-        while self.words.unknown:
-            self._learn(set(self.words.unknown), again)
+        if self.words.unknown:
+            self._learn(set(self.words.unknown))
             self.words.unknown.clear()
-            again = True
-            # Once more where a word was new; after the memory was emptied others may be, too.
             parts = [list(map(look, words)) if None in own else own for words, own in zip(split, parts, strict=True)]
         return [np.frombuffer(b"".join(own), "<u4") for own in parts]
 
