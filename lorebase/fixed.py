@@ -105,7 +105,7 @@ QWEN_INSTRUCTION = (
 )
 
 # Wire values.
-FLAT_TREE_TYPE = "knowledge-base"  # as such, or behind the platform's prefix and a dash
+FLAT_TREE_TYPE = "knowledge-base"  # a platform's own name for it is a parameter of the readers
 INTERNAL_PATHS = ("/api/", "/rest/")
 METRICS = ("faithfulness", "answer_relevancy", "context_precision", "context_recall")
 RETRY_ATTEMPTS = 3

@@ -70,15 +70,16 @@ def digest_text(texts: pd.Series, budgets: pd.Series) -> pd.Series:
 
 @arrow_function(T.StringType())
 def echo_answer(prompts: pd.Series) -> pd.Series:
-    """Answer port: a JSON object with the digest of the prompt, as a chat model would be asked to give."""
+    """Answer port: a JSON object with the prompt, in the form that a chat model would be asked for."""
     import json
 
-    return prompts.map(lambda p: json.dumps({"answer": digest(p, 200)}, ensure_ascii=False), na_action="ignore")
+    return prompts.map(lambda p: json.dumps({"answer": p}, ensure_ascii=False), na_action="ignore")
 
 
 @arrow_function(T.StringType())
 def condensed_question(prompts: pd.Series) -> pd.Series:
-    return prompts.map(lambda p: digest(p, 400), na_action="ignore")
+    """Condense port: the prompt as it is."""
+    return prompts
 
 
 @dataclass(frozen=True)

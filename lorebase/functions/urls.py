@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from lorebase.functions.arrow import arrow_function
 from lorebase import fixed
 
-_PARTS = r"^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#;]*)(;[^?#]*)?(?:\?([^#]*))?(?:#(.*))?$"
+_PARTS = r"^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?((?:[^?#]*/)?[^?#;/]*)(;[^?#/]*)?(?:\?([^#]*))?(?:#(.*))?$"
 
 
 def _part(url: Column, group: int) -> Column:

@@ -29,59 +29,48 @@ _CALLOUT = (
 )
 
 
-def _space_type(levels: int) -> T.StructType:
-    profile = T.StructType.fromDDL(_PROFILE)
-    callouts = T.ArrayType(T.StructType.fromDDL(_CALLOUT))
-    inner = T.StructType([T.StructField("calloutsSet", T.StructType([T.StructField("callouts", callouts)]))])
-    space = T.StructType([
+def _space_type() -> T.StructType:
+    """A space whose subspaces stay JSON text, so that the depth of a tree is not part of the schema."""
+    inner = T.StructType([T.StructField("calloutsSet", T.StructType([T.StructField("callouts", T.ArrayType(T.StructType.fromDDL(_CALLOUT)))]))])
+    return T.StructType([
         T.StructField("id", T.StringType()),
-        T.StructField("profile", profile),
+        T.StructField("profile", T.StructType.fromDDL(_PROFILE)),
         T.StructField("collaboration", inner),
         T.StructField("calloutsSet", inner["calloutsSet"].dataType),
+        T.StructField("subspaces", T.ArrayType(T.StringType())),
     ])
-    return space if levels == 1 else space.add("subspaces", T.ArrayType(_space_type(levels - 1)))
 
 
-def tree_schema(levels: int = 3) -> T.StructType:
-    """Schema of one answer: a space tree of up to ``levels`` levels, or a flat knowledge base."""
-    lookup = T.StructType([
-        T.StructField("space", _space_type(levels)),
-        T.StructField("knowledgeBase", _space_type(1)),
-    ])
-    return T.StructType([T.StructField("lookup", lookup)])
-
-
-def is_flat(bok_type: Column) -> Column:
+def is_flat(bok_type: Column, flat_type: str = fixed.FLAT_TREE_TYPE) -> Column:
     """Knowledge bases are flat; every other type is a tree of spaces."""
-    flat = (bok_type == fixed.FLAT_TREE_TYPE) | bok_type.endswith(f"-{fixed.FLAT_TREE_TYPE}")
-    return F.coalesce(flat, F.lit(False))
+    return F.coalesce(bok_type == flat_type, F.lit(False))
 
 
 def _padded(pos: Column) -> Column:
-    return F.lpad(pos.cast("string"), 10, "0")
+    return F.lpad(pos.cast("string"), 20, "0")
 
 
-def read_answers(answers: DataFrame, levels: int = 3) -> tuple[DataFrame, DataFrame, DataFrame]:
+def read_answers(answers: DataFrame, flat_type: str = fixed.FLAT_TREE_TYPE) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(collection, bok_type, body JSON) -> spaces, callouts, contributions.
 
-    The type picks the flat or the tree reading; unknown types read as trees.
+    The type picks the flat or the tree reading; unknown types read as trees. A tree is
+    read level by level until no space has subspaces.
     """
-    parsed = answers.withColumn("_d", F.from_json("body", tree_schema(levels)))
-    flat = is_flat(F.col("bok_type"))
-    tops = parsed.select("collection", F.lit(0).alias("pos"), F.lit(None).cast("string").alias("parent_id"),
-                         F.when(flat, F.lit("knowledge")).alias("top_type"),
-                         F.when(~flat, F.col("_d.lookup.space")).alias("_tree"),
-                         F.when(flat, F.col("_d.lookup.knowledgeBase")).alias("_base"))
-    levels_df, current = [], tops.filter("_tree is not null").select("collection", "pos", "parent_id", "top_type", F.col("_tree").alias("s"))
-    bases = tops.filter("_base is not null").select("collection", "pos", "parent_id", "top_type", F.col("_base").alias("s"))
-    for level in range(levels):
-        levels_df.append(_spaces_of(current))
-        if level < levels - 1:
-            current = current.select(
-                "collection", F.col("s.id").alias("parent_id"), "top_type", F.posexplode("s.subspaces").alias("pos", "s")
-            )
-    levels_df.append(_spaces_of(bases))
-    spaces = reduce(DataFrame.unionByName, levels_df)
+    flat = is_flat(F.col("bok_type"), flat_type)
+    parsed = answers.withColumn("_d", F.from_json("body", "lookup struct<space: string, knowledgeBase: string>"))
+    current = parsed.select(
+        "collection", F.lit(0).alias("pos"), F.lit(None).cast("string").alias("parent_id"), F.when(flat, "knowledge").alias("top_type"),
+        F.when(flat, F.col("_d.lookup.knowledgeBase")).otherwise(F.col("_d.lookup.space")).alias("_json"),
+    )
+    levels = []
+    while True:
+        level = checkpoint(current.filter("_json is not null").withColumn("s", F.from_json("_json", _space_type())).drop("_json"))
+        if level.isEmpty() and levels:
+            break
+        levels.append(_spaces_of(level))
+        inner = F.when(F.col("top_type") == "knowledge", F.lit(None)).otherwise(F.col("s.subspaces"))
+        current = level.select("collection", F.col("s.id").alias("parent_id"), "top_type", F.posexplode(inner).alias("pos", "_json"))
+    spaces = reduce(DataFrame.unionByName, levels)
     callouts = spaces.select("collection", F.col("id").alias("space_id"), F.posexplode("callouts").alias("pos", "c"))
     contributions = callouts.select("collection", F.col("c.id").alias("callout_id"), F.posexplode("c.contributions").alias("pos", "x"))
     return (
@@ -121,20 +110,26 @@ def _contributions_of(rows: DataFrame, kind: str, body: Column, uri: Column) ->
     )
 
 
-def space_paths(spaces: DataFrame, levels: int = 3) -> DataFrame:
-    """Adds ``depth`` and the pre-order ``path``: one equi-join per level of the tree."""
-    level = spaces.filter(F.col("parent_id").isNull()).withColumn("path", _padded(F.col("pos"))).withColumn("depth", F.lit(0))
-    found = [level]
-    for depth in range(1, levels):
-        parents = level.select("collection", F.col("id").alias("parent_id"), F.col("path").alias("_above"))
-        level = (
-            spaces.join(parents, ["collection", "parent_id"])
-            .withColumn("path", F.concat("_above", F.lit("/s"), _padded(F.col("pos"))))
-            .withColumn("depth", F.lit(depth))
-            .select(*spaces.columns, "path", "depth")
-        )
+def space_paths(spaces: DataFrame) -> DataFrame:
+    """Adds ``depth`` and the pre-order ``path``: one equi-join per level, until a level is empty.
+
+    A space that is its own ancestor is not entered again, so a cycle ends.
+    """
+    top = spaces.filter(F.col("parent_id").isNull()).withColumn("path", _padded(F.col("pos")))
+    level = checkpoint(top.withColumns({"depth": F.lit(0), "_line": F.array("id")}))
+    found = []
+    while not level.isEmpty() or not found:
         found.append(level)
-    return reduce(DataFrame.unionByName, found)
+        parents = level.select("collection", F.col("id").alias("parent_id"), F.col("path").alias("_above"), "depth", "_line")
+        below = spaces.join(parents, ["collection", "parent_id"]).filter(~F.array_contains("_line", F.col("id")))
+        level = checkpoint(
+            below.withColumns({
+                "path": F.concat("_above", F.lit("/s"), _padded(F.col("pos"))),
+                "depth": F.col("depth") + 1,
+                "_line": F.array_append("_line", F.col("id")),
+            }).select(*spaces.columns, "path", "depth", "_line")
+        )
+    return reduce(DataFrame.unionByName, found).drop("_line")
 
 
 def callout_context(name: Column, description: Column) -> Column:
@@ -188,14 +183,13 @@ def tree_documents(
     callouts: DataFrame,
     contributions: DataFrame,
     fetched: DataFrame | None = None,
-    levels: int = 3,
 ) -> DataFrame:
     """Documents of the trees in pre-order, without markup, blanks and repeats.
 
     ``fetched`` (uri, fetched_text) holds the extracted bodies of links. Of equal texts,
     compared without case and white space, the first in pre-order stays.
     """
-    placed = checkpoint(space_paths(spaces, levels))  # read three times
+    placed = space_paths(spaces)  # read three times; its levels are checkpoints
     space_at = placed.select("collection", F.col("id").alias("space_id"), F.col("path").alias("_above"))
     called = callouts.join(space_at, ["collection", "space_id"]).withColumn(
         "path", F.concat("_above", F.lit("/c"), _padded(F.col("pos")))

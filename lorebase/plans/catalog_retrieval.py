@@ -16,9 +16,9 @@ from lorebase.operators.retrieval import (
 from lorebase.plans.corpus import (
     EARLIER_SQL, chunks_sql, conversation_questions, slots_sql, vector_store,
 )
-from lorebase.sources.tables import spread, table
+from lorebase.sources.tables import table
 
-GUIDANCE_COLLECTIONS = ("en-knowledge", "de-knowledge", "fr-knowledge")
+GUIDANCE_COLLECTIONS = ("en-knowledge", "de-knowledge", "fr-knowledge", "es-knowledge")
 GUIDANCE_BUDGET = 5000
 EXPERT_BUDGET = 6000
 DOCUMENT_BUDGET = 20_000
@@ -26,7 +26,7 @@ DOCUMENT_BUDGET = 20_000
 
 def knn(metric: str):
     def query(spark: SparkSession, folder: str) -> DataFrame:
-        vectors = spread(table(spark, folder, "embeddings")).select(
+        vectors = table(spark, folder, "embeddings").select(
             F.col("label").cast("string").alias("collection"), F.col("vec_id").cast("string").alias("id"), "embedding"
         )
         found = nearest(vectors, vectors.withColumnRenamed("id", "query_id"), fixed.N_RESULTS, metric)
@@ -63,7 +63,7 @@ def collection_order() -> Column:
 
 
 def guidance(spark: SparkSession, folder: str) -> DataFrame:
-    """Ranked context rows of every question over the three collections."""
+    """Ranked context rows of every question over the language collections."""
     store = vector_store(spark, folder).filter(F.col("collection").isin(*GUIDANCE_COLLECTIONS))
     questions = conversation_questions(spark, folder).select(
         "query_id", hashed_embedding("question").alias("embedding")

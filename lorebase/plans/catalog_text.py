@@ -15,7 +15,7 @@ from lorebase.operators.ordering import batch_number
 from lorebase.plans.corpus import (
     EARLIER_SQL, chunks_sql, earlier_documents, hashed_chunks, single_spaced_sql,
 )
-from lorebase.sources.tables import spread, table
+from lorebase.sources.tables import table
 
 WS = fixed.WS_RE2
 LINE_SHARE = 0.02  # the given documents repeat lines, not paragraphs, and rarely on half of a source
@@ -70,12 +70,12 @@ SELECT document_id, chunk_index, content, 'chunk' AS embedding_type FROM chunks"
 
 
 def chunk_recursive(spark: SparkSession, folder: str) -> DataFrame:
-    docs = spread(table(spark, folder, "documents")).select("doc_id", F.col("text").alias("content"))
+    docs = table(spark, folder, "documents").select("doc_id", F.col("text").alias("content"))
     return recursive_chunks(docs, *fixed.WEBSITE_CHUNK)
 
 
 def content_key_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    docs = spread(table(spark, folder, "documents")).select("doc_id", content_key(F.col("text")).alias("key"))
+    docs = table(spark, folder, "documents").select("doc_id", content_key(F.col("text")).alias("key"))
     return keep_first(docs, ["key"], "doc_id").select("doc_id", "key")
 
 
@@ -84,7 +84,7 @@ CONTENT_KEY_DEDUP_SQL = f"SELECT min(doc_id) AS doc_id, {_KEY_SQL} AS key FROM d
 
 
 def store_dedup_last(spark: SparkSession, folder: str) -> DataFrame:
-    docs = spread(table(spark, folder, "documents")).select("doc_id", content_key(F.col("text")).alias("key"))
+    docs = table(spark, folder, "documents").select("doc_id", content_key(F.col("text")).alias("key"))
     return keep_last(docs, ["key"], "doc_id").select("doc_id", "key")
 
 
@@ -101,7 +101,7 @@ SELECT collection, document_id, min(position) AS position FROM chunks GROUP BY A
 
 
 def _lines(spark: SparkSession, folder: str) -> DataFrame:
-    return spread(table(spark, folder, "documents")).select(
+    return table(spark, folder, "documents").select(
         F.col("source").alias("site"), F.col("doc_id").alias("page_id"), F.col("text").alias("content")
     )
 
@@ -135,7 +135,7 @@ SELECT * FROM kept WHERE length({_strip_sql('content')}) > 0"""
 
 
 def html_strip(spark: SparkSession, folder: str) -> DataFrame:
-    return spread(table(spark, folder, "pages")).select("page_id", tx.strip_html(F.col("html")).alias("content"))
+    return table(spark, folder, "pages").select("page_id", tx.strip_html(F.col("html")).alias("content"))
 
 
 HTML_STRIP_SQL = f"SELECT page_id, {strip_html_sql('html')} AS content FROM pages"
@@ -144,7 +144,7 @@ HTML_STRIP_SQL = f"SELECT page_id, {strip_html_sql('html')} AS content FROM page
 def citations_strip(spark: SparkSession, folder: str) -> DataFrame:
     """Documents with citation marks put behind every sentence, and the marks taken out again."""
     cited = F.regexp_replace("text", r"\.", ".【4:0†source】")
-    return spread(table(spark, folder, "documents")).select("doc_id", tx.strip_citations(cited).alias("content"))
+    return table(spark, folder, "documents").select("doc_id", tx.strip_citations(cited).alias("content"))
 
 
 CITATIONS_SQL = f"""

@@ -14,14 +14,14 @@ from lorebase.operators.tree import link_counts, tree_documents
 from lorebase.plans.catalog_text import _strip_sql, _unescape_sql, strip_html_sql
 from lorebase.plans.corpus import single_spaced_sql
 from lorebase.session import checkpoint
-from lorebase.sources.tables import broadcast_if_small, spread, table
+from lorebase.sources.tables import broadcast_if_small, table
 
 PLATFORM_DOMAIN = "platform.example"
 INTERNAL_BASE = "https://store.example:8443/graphql"
 
 
 def _pages(spark: SparkSession, folder: str) -> DataFrame:
-    return spread(table(spark, folder, "pages"))
+    return table(spark, folder, "pages")
 
 
 def html_title(spark: SparkSession, folder: str) -> DataFrame:
@@ -238,22 +238,22 @@ def tree_order(spark: SparkSession, folder: str) -> DataFrame:
 
 _TREE_SQL = f"""
 WITH sp AS (
-  SELECT 'region-' || r_regionkey AS collection, lpad('0', 10, '0') AS path, 'r' || r_regionkey AS id, r_name AS name,
+  SELECT 'region-' || r_regionkey AS collection, lpad('0', 20, '0') AS path, 'r' || r_regionkey AS id, r_name AS name,
          '<p>All of <b>' || r_name || '</b> &amp; more</p>' AS description, NULL AS url, 'space' AS type FROM region
   UNION ALL
-  SELECT 'region-' || n_regionkey, lpad('0', 10, '0') || '/s' || lpad(CAST(n_nationkey AS VARCHAR), 10, '0'), 'n' || n_nationkey, n_name,
+  SELECT 'region-' || n_regionkey, lpad('0', 20, '0') || '/s' || lpad(CAST(n_nationkey AS VARCHAR), 20, '0'), 'n' || n_nationkey, n_name,
          'Nation<br/>' || n_name, '', 'subspace' FROM nation
   UNION ALL
-  SELECT 'region-' || n_regionkey, lpad('0', 10, '0') || '/s' || lpad(CAST(n_nationkey AS VARCHAR), 10, '0') || '/s' || lpad(CAST(c_custkey AS VARCHAR), 10, '0'),
+  SELECT 'region-' || n_regionkey, lpad('0', 20, '0') || '/s' || lpad(CAST(n_nationkey AS VARCHAR), 20, '0') || '/s' || lpad(CAST(c_custkey AS VARCHAR), 20, '0'),
          'c' || c_custkey, c_name, '<div>Segment: ' || c_mktsegment || '</div>', 'https://tree.example/' || c_custkey, 'subspace'
   FROM customer JOIN nation ON c_nationkey = n_nationkey),
 ca AS (
   SELECT 'region-' || n_regionkey AS collection, s_suppkey, s_name,
-         lpad('0', 10, '0') || '/s' || lpad(CAST(n_nationkey AS VARCHAR), 10, '0') || '/c' || lpad(CAST(s_suppkey AS VARCHAR), 10, '0') AS path,
+         lpad('0', 20, '0') || '/s' || lpad(CAST(n_nationkey AS VARCHAR), 20, '0') || '/c' || lpad(CAST(s_suppkey AS VARCHAR), 20, '0') AS path,
          s_name || chr(10) || chr(10) || 'Offers of ' || s_name || chr(10) || chr(10) || 'Ask first' AS context
   FROM supplier JOIN nation ON s_nationkey = n_nationkey),
 co AS (
-  SELECT collection, ca.path || '/p' || lpad(CAST(p_partkey AS VARCHAR), 10, '0') ||
+  SELECT collection, ca.path || '/p' || lpad(CAST(p_partkey AS VARCHAR), 20, '0') ||
            CASE WHEN p_type IN ('ECONOMY', 'STANDARD') THEN '0' WHEN p_type IN ('PROMO', 'MEDIUM') THEN '1' ELSE '2' END AS path,
          'p' || s_suppkey || '-' || p_partkey AS id, p_name, p_partkey, p_size, context, '<i>' || p_name || '</i> by ' || p_brand AS body,
          CASE WHEN p_type IN ('ECONOMY', 'STANDARD') THEN 'post' WHEN p_type IN ('PROMO', 'MEDIUM') THEN 'whiteboard' ELSE 'link' END AS kind

@@ -18,7 +18,7 @@ from lorebase.functions.splitting import window_chunks
 from lorebase.functions.text import single_spaced
 from lorebase.operators.changes import chunk_counts
 from lorebase.sources.store import metadata_struct
-from lorebase.sources.tables import spread, table
+from lorebase.sources.tables import table
 
 CHUNK, OVERLAP = fixed.WEBSITE_CHUNK
 STEP = CHUNK - OVERLAP
@@ -40,12 +40,12 @@ def _document_row(content) -> list:
 
 
 def earlier_documents(spark: SparkSession, folder: str) -> DataFrame:
-    return spread(table(spark, folder, "documents")).select(*_document_row(F.col("text")))
+    return table(spark, folder, "documents").select(*_document_row(F.col("text")))
 
 
 def later_documents(spark: SparkSession, folder: str) -> DataFrame:
     labels = table(spark, folder, "labels")
-    judged = spread(table(spark, folder, "documents")).join(labels, "doc_id", "left").filter(F.coalesce("toxic", F.lit(0)) != 1)
+    judged = table(spark, folder, "documents").join(labels, "doc_id", "left").filter(F.coalesce("toxic", F.lit(0)) != 1)
     edited = F.when(F.col("quality") == 0, single_spaced(F.col("text"))).otherwise(F.col("text"))
     added = table(spark, folder, "benchmark").select(
         F.lit("en-knowledge").alias("collection"),
@@ -93,7 +93,7 @@ def stored_state(documents: DataFrame) -> DataFrame:
 
 def vector_store(spark: SparkSession, folder: str, single: bool = False) -> DataFrame:
     """Embedded chunks of all documents, one collection per language or a single one."""
-    scan = spread(table(spark, folder, "documents")).select(*_document_row(F.col("text")))
+    scan = table(spark, folder, "documents").select(*_document_row(F.col("text")))
     chunks = hashed_chunks(scan)
     collection = F.lit("default-knowledge") if single else F.col("collection")
     return chunks.select(

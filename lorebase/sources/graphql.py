@@ -78,15 +78,15 @@ class TreeClient:
 
         return with_retries(call, fixed.RETRY_ATTEMPTS, fixed.RETRY_BASE_SECONDS, self.sleep, final=())
 
-    def body(self, body_id: str, bok_type: str) -> dict:
-        if bok_type == fixed.FLAT_TREE_TYPE or bok_type.endswith(f"-{fixed.FLAT_TREE_TYPE}"):
+    def body(self, body_id: str, bok_type: str, flat_type: str = fixed.FLAT_TREE_TYPE) -> dict:
+        if bok_type == flat_type:
             return self.query(KNOWLEDGE_BASE_QUERY, {"kbId": body_id})
         return self.query(SPACE_QUERY, {"spaceId": body_id})
 
 
-def fetch(spark: SparkSession, client: TreeClient, requests: list[tuple[str, str, str]]) -> DataFrame:
+def fetch(spark: SparkSession, client: TreeClient, requests: list[tuple[str, str, str]], flat_type: str = fixed.FLAT_TREE_TYPE) -> DataFrame:
     """(collection, bok_type, body) of (collection, body id, type) requests: one answer per request."""
-    rows = [(collection, kind, json.dumps(client.body(body_id, kind))) for collection, body_id, kind in requests]
+    rows = [(collection, kind, json.dumps(client.body(body_id, kind, flat_type))) for collection, body_id, kind in requests]
     return spark.createDataFrame(rows, "collection string, bok_type string, body string")
 
 

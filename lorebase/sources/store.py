@@ -1,10 +1,10 @@
 """The knowledge store: content-addressed rows in versioned Parquet folders.
 
-A row belongs to a collection and, by its document, to one of a fixed number of
-buckets. A change writes new folders for the buckets it touches and nothing else, then
+A row belongs to a collection and, by its id, to one of a fixed number of buckets, so
+that an upsert finds the row it replaces whatever document either belongs to. A change writes new folders for the buckets it touches and nothing else, then
 publishes a new manifest with a rename; readers keep the version they opened. The
-manifest lists folders, so reads prune to the collection, and to the bucket when the
-filter names a document.
+manifest lists folders, so reads prune to the collection, and to the buckets of the
+ids asked for.
 """
 
 from __future__ import annotations
@@ -126,8 +126,8 @@ class KnowledgeStore:
 
     # -- reading ----------------------------------------------------------------
 
-    def _bucket(self, document: Column) -> Column:
-        return F.pmod(F.xxhash64(F.coalesce(document, F.lit(""))), F.lit(self.buckets)).cast("int")
+    def _bucket(self, row_id: Column) -> Column:
+        return F.pmod(F.xxhash64(row_id), F.lit(self.buckets)).cast("int")
 
     def _open(self, folders: list[str]) -> DataFrame:
         if not folders:
@@ -147,9 +147,9 @@ class KnowledgeStore:
         """Rows by id list and/or one metadata equality, with the wanted columns only."""
         folders = self._folders()
         wanted = [key for key in folders if key[0] == collection]
-        if where and "documentId" in where:
-            bucket = self.spark.range(1).select(self._bucket(F.lit(where["documentId"]))).first()[0]
-            wanted = [key for key in wanted if key[1] == bucket]
+        if ids:
+            asked = self.spark.range(1).select(F.array(*[self._bucket(F.lit(i)) for i in ids])).first()[0]
+            wanted = [key for key in wanted if key[1] in asked]
         rows = self._open([folders[key] for key in wanted])
         if ids is not None:
             rows = rows.filter(F.col("id").isin(ids))
@@ -158,8 +158,13 @@ class KnowledgeStore:
         return rows.select("id", *include)
 
     def query(self, questions: DataFrame, n: int = 10) -> DataFrame:
-        """Nearest rows of every (collection, query_id, embedding) question, with text and metadata."""
-        rows = self.read()
+        """Nearest rows of every (collection, query_id, embedding) question, with text and metadata.
+
+        Only the folders of the collections asked for are opened: at most as many names as
+        the manifest has.
+        """
+        held = {c for c, _ in self._folders()}
+        rows = self.read([r[0] for r in questions.select("collection").distinct().collect() if r[0] in held])
         return with_documents(nearest(rows, questions, n, self.metric), rows)
 
     def exists(self, collection: str, document_id: str) -> bool:
@@ -172,7 +177,7 @@ class KnowledgeStore:
         target = f"data/{version:010d}-{uuid.uuid4().hex[:8]}"
         (
             rows.withColumn("p_collection", F.col("collection"))
-            .withColumn("p_bucket", self._bucket(F.col("metadata.documentId")))
+            .withColumn("p_bucket", self._bucket(F.col("id")))
             .hint("rebalance", "p_collection", "p_bucket")
             .write.partitionBy("p_collection", "p_bucket")
             .parquet(f"{self.root}/{target}")
@@ -188,7 +193,7 @@ class KnowledgeStore:
         return version
 
     def _touched(self, rows: DataFrame) -> list[tuple[str, int]]:
-        pairs = rows.select("collection", self._bucket(F.col("metadata.documentId")).alias("b")).distinct().collect()
+        pairs = rows.select("collection", self._bucket(F.col("id")).alias("b")).distinct().collect()
         return [(r[0], r[1]) for r in pairs]
 
     def upsert(self, rows: DataFrame) -> int:

@@ -10,16 +10,6 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def spread(scan: DataFrame) -> DataFrame:
-    """Use all cores for per-row text work where a scan has fewer splits than cores.
-
-    Only for plain scans, where asking for the number of splits runs nothing. A large
-    table has more splits than cores and is left as it is.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
-
-
 def broadcast_if_small(df: DataFrame) -> DataFrame:
     """Broadcast hint for a side that the planner estimates below the session's broadcast limit.
 

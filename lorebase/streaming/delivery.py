@@ -100,12 +100,16 @@ def process_batch(
             answers = spark.read.schema("message_id string, result string, error string").parquet(scratch)
         except Exception as exc:  # the whole batch failed: every question of it counts as failed
             text = f"Error: handler {exc}" if isinstance(exc, TimeoutError) else f"Error: {exc}"
-            answers = questions.select("message_id", F.lit(None).cast("string").alias("result"), F.lit(text[:2000]).alias("error"))
+            answers = questions.select("message_id", F.lit(None).cast("string").alias("result"), F.lit(text).alias("error"))
         outcome = decided(routed.filter(~events.is_ingest(F.col("kind"))).join(answers, "message_id", "left"), max_deliveries)
         done = _outbound(outcome.filter("decision = 'done'"), F.col("result"))
         reported = _outbound(outcome.filter("decision = 'publish_error'"), F.col("error"))
         queue.publish(done.unionByName(reported), routes.results, batch_id)
-        queue.republish(outcome.filter("decision = 'retry'"), routes.inbox, batch_id)
+        again = outcome.filter("decision = 'retry'")
+        try:
+            queue.republish(again, routes.inbox, batch_id)
+        except Exception:  # what cannot be tried again is reported at once
+            queue.publish(_outbound(again, F.coalesce("error", "result")), f"{routes.results}-unretried", batch_id)
     finally:
         routed.unpersist()
 
@@ -122,18 +126,23 @@ def start(
     ).start()
 
 
-def run_accepted(spark: SparkSession, routes: Routes, batch_id: int, work: Handler) -> None:
+def run_accepted(
+    spark: SparkSession, routes: Routes, batch_id: int, work: Handler, timeout: float = fixed.PIPELINE_TIMEOUT
+) -> None:
     """The work of early-acknowledged requests: (message_id, body, kind) -> (message_id, result, error).
 
     A failure becomes a published error; there is no retry, as the request is acknowledged.
     """
     accepted = spark.read.schema("message_id string, body string, kind string").json(f"{routes.accepted}/batch={batch_id}")
     try:
-        outcome = work(accepted).select("message_id", F.coalesce("result", F.col("error")).alias("result"))
+        scratch = f"{routes.results}-accepted/batch={batch_id}"
+        with_timeout(lambda: work(accepted).select("message_id", "result", "error").write.mode("overwrite").parquet(scratch), timeout)
+        done = spark.read.schema("message_id string, result string, error string").parquet(scratch)
+        outcome = done.select("message_id", F.coalesce("result", F.col("error")).alias("result"))
         sent = _outbound(accepted.join(outcome, "message_id", "left"), F.col("result"))
         queue.publish(sent, f"{routes.results}-ingest", batch_id)
     except Exception as exc:
-        sent = _outbound(accepted, F.lit(f"Error: {exc}"[:2000]))
+        sent = _outbound(accepted, F.lit(f"Error: {exc}"))
         queue.publish(sent, f"{routes.results}-ingest", batch_id)
 
 

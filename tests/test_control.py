@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lorebase.functions import answers, events, formats, messages
 from lorebase.functions.models import with_retries
 from lorebase.functions.text import render
-from lorebase.operators.tree import read_answers, tree_documents
+from lorebase.operators.tree import read_answers, space_paths, tree_documents
 from lorebase.plans import evaluate
 from lorebase.plans.graph import PromptGraph
 from lorebase.plans.registry import Registry, run_stages
@@ -212,10 +212,10 @@ BARE = {"link": {"id": "l2", "profile": profile("Bare"), "uri": "https://ext/non
 REPEAT = {"post": {"id": "p2", "profile": profile("Post", "post   BODY")}}
 
 
-def flattened(spark, body, kind="platform-space", fetched=None):
+def flattened(spark, body, kind="platform-space", fetched=None, flat_type="platform-knowledge-base"):
     df = spark.createDataFrame([("c", kind, json.dumps(body))], "collection string, bok_type string, body string")
     links_ = spark.createDataFrame(fetched, "uri string, fetched_text string") if fetched else None
-    return tree_documents(*read_answers(df), fetched=links_).orderBy("path").collect()
+    return tree_documents(*read_answers(df, flat_type), fetched=links_).orderBy("path").collect()
 
 
 def test_tree_in_pre_order_with_context(spark):
@@ -240,6 +240,22 @@ def test_knowledge_base_is_flat(spark):
     assert [(r.source, r.type) for r in got] == [("space:k", "knowledge"), ("post:p1", "post")]
     assert got[1].content == "Call\n\n# Post\n\nPost body"
     assert flattened(spark, {"lookup": None}, "other") == []
+    tree = {"lookup": {"space": space("s", "Other", "Text")}}
+    assert [r.source for r in flattened(spark, tree, "another-knowledge-base")] == ["space:s"]
+
+
+def test_trees_of_any_depth_and_long_positions(spark):
+    chain = space("s9", "Name 9", "level 9", [callout("c", "Call", None, POST)])
+    for i in range(8, -1, -1):
+        chain = space(f"s{i}", f"Name {i}", f"level {i}", (), [chain])
+    got = flattened(spark, {"lookup": {"space": chain}})
+    assert [r.source for r in got] == [f"space:s{i}" for i in range(10)] + ["post:p1"]
+    spaces = spark.createDataFrame(
+        [("c", None, 0, "top"), ("c", "top", 12345678909, "b"), ("c", "top", 12345678901, "a"), ("c", "a", 0, "top")],
+        "collection string, parent_id string, pos bigint, id string",
+    )
+    found = space_paths(spaces).orderBy("path").collect()
+    assert [r.id for r in found] == ["top", "a", "b"] and len({r.path for r in found}) == 3  # the cycle ends
 
 
 def test_tree_client_retries_and_raises():
