@@ -90,9 +90,19 @@ def recursive_chunks(docs: DataFrame, size: int, overlap: int) -> DataFrame:
     return _exploded(docs, _splitter(size, overlap)("content"))
 
 
+def window_count(text: Column, size: int, overlap: int) -> Column:
+    """Number of fixed windows of a text; an empty one has none."""
+    windows = F.greatest(F.lit(0), F.ceil((F.length(text) - size) / (size - overlap))).cast("int") + 1
+    return F.when(F.length(text) > 0, windows).otherwise(0)
+
+
+def window_at(text: Column, at: Column, size: int, overlap: int) -> Column:
+    return F.substring(text, at * (size - overlap) + 1, F.lit(size))
+
+
 def window_chunks(docs: DataFrame, size: int, overlap: int) -> DataFrame:
     """Fixed windows of ``size`` every ``size - overlap`` characters."""
-    step = size - overlap
-    last = F.greatest(F.lit(0), F.ceil((F.length("content") - size) / step)).cast("int")
-    windows = F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(F.col("content"), i * step + 1, F.lit(size)))
+    text = F.col("content")
+    numbers = F.sequence(F.lit(0), window_count(text, size, overlap) - 1)
+    windows = F.transform(numbers, lambda i: window_at(text, i, size, overlap))
     return _exploded(docs.filter(F.length("content") > 0), windows)

@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lorebase.session import checkpoint
+from lorebase.session import broadcast_measured, checkpoint
 
 
 def _range_count(df: DataFrame) -> int:
@@ -36,16 +36,6 @@ def _range_of(cuts: Column, value: Column, ranges: int) -> Column:
     return F.aggregate(F.array(*steps), F.lit(0), advance)
 
 
-def _broadcast_measured(small: DataFrame, row_bytes: int) -> DataFrame:
-    """Compute a table of cut points, and broadcast it if its measured size is within the limit.
-
-    Beyond the limit the join shuffles. The row key is counted with a kilobyte.
-    """
-    small = checkpoint(small)
-    limit = small.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
-    return F.broadcast(small) if small.count() * (row_bytes + 1024) <= limit else small
-
-
 def running_sum(
     df: DataFrame,
     group: Sequence[str],
@@ -62,7 +52,8 @@ def running_sum(
     fractions = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
     quantiles = F.percentile_approx(order, fractions, F.lit(max(1000, 10 * ranges)))
     if group:
-        cuts = _broadcast_measured(df.groupBy(*group).agg(quantiles.alias("_cuts")), 8 * ranges)
+        cuts = checkpoint(df.groupBy(*group).agg(quantiles.alias("_cuts")))
+        cuts = broadcast_measured(cuts, 8 * ranges + 1024)  # a kilobyte for the key
         ranged = df.join(cuts, list(group)).withColumn("_range", _range_of(F.col("_cuts"), F.col(order), ranges)).drop("_cuts")
     else:
         group = ["_all"]
@@ -116,9 +107,9 @@ def exact_median(df: DataFrame, group: Sequence[str], value: str, out: str = "me
     No task holds all values of a group, as the exact percentile aggregate would.
     """
     group = list(group)
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("_n"))
+    counts = checkpoint(df.filter(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("_n")))
     upto = running_sum(counts, group, value, "_n", "_upto")
-    size = df.filter(F.col(value).isNotNull()).groupBy(*group).agg(F.count("*").alias("_size"))
+    size = counts.groupBy(*group).agg(F.sum("_n").alias("_size"))
     low = F.floor((F.col("_size") + 1) / 2)
     high = F.floor((F.col("_size") + 2) / 2)
 

@@ -6,22 +6,41 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorebase import fixed
-from lorebase.functions.hashing import storage_id
+from lorebase.functions.hashing import chunk_hash, storage_id
 from lorebase.operators import changes
 from lorebase.plans.corpus import (
-    EARLIER_SQL, LATER_SQL, chunks_sql, earlier_documents, hashed_chunks, later_documents, store_sql, stored_state,
+    EARLIER_SQL, LATER_SQL, chunks_sql, earlier_documents, hashed_chunks, later_documents, store_sql, stored_state, windows,
 )
-from lorebase.session import checkpoint
+from lorebase.session import checkpoint, materialised
 from lorebase.sources.store import metadata_struct, upserted, without_documents, without_ids
 
 
-def _chunks_and_store(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    return hashed_chunks(later_documents(spark, folder)), stored_state(earlier_documents(spark, folder))
+def _later(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Addresses of the later state's chunks, and its documents' keys: cut and hashed once, without texts."""
+    documents = later_documents(spark, folder)
+    # an outer explode, so that a document without chunks keeps its row
+    address = chunk_hash(F.col("_c"), F.col("title"), F.col("source"), F.col("type"), F.col("document_id"))
+    cut = materialised(
+        documents.select(*[c for c in documents.columns if c != "content"], F.explode_outer(windows(F.col("content"))).alias("_c"))
+        .select("collection", "document_id", F.lit("chunk").alias("embedding_type"),
+                F.when(F.col("_c").isNotNull(), address).alias("content_hash"))
+    )
+    return cut.filter(F.col("content_hash").isNotNull()), cut.select("collection", "document_id").distinct()
+
+
+def _state(spark: SparkSession, folder: str) -> DataFrame:
+    """The earlier state's store, written once: most readers take its addresses only."""
+    return materialised(stored_state(earlier_documents(spark, folder)))
+
+
+def _chunks_and_diff(spark: SparkSession, folder: str, store: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    chunks, documents = _later(spark, folder)
+    store = stored_state(earlier_documents(spark, folder)) if store is None else store
+    return chunks, changes.difference(chunks, store, documents)
 
 
 def _difference(spark: SparkSession, folder: str) -> DataFrame:
-    chunks, store = _chunks_and_store(spark, folder)
-    return changes.difference(chunks, store, later_documents(spark, folder))
+    return _chunks_and_diff(spark, folder)[1]
 
 
 def change_detection(spark: SparkSession, folder: str) -> DataFrame:
@@ -73,9 +92,8 @@ def orphan_ids(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def summary_candidates(spark: SparkSession, folder: str) -> DataFrame:
-    chunks, store = _chunks_and_store(spark, folder)
-    changed = changes.changed_documents(changes.difference(chunks, store, later_documents(spark, folder)))
-    return changes.summary_candidates(chunks, changed)
+    chunks, diff = _chunks_and_diff(spark, folder)
+    return changes.summary_candidates(chunks, changes.changed_documents(diff))
 
 
 SUMMARY_CANDIDATES_SQL = f"""{_BASE_SQL}
@@ -84,9 +102,8 @@ WHERE n_chunks >= {fixed.SUMMARY_MIN_CHUNKS} AND (collection, document_id) IN (S
 
 
 def stale_summaries(spark: SparkSession, folder: str) -> DataFrame:
-    chunks, store = _chunks_and_store(spark, folder)
-    changed = changes.changed_documents(changes.difference(chunks, store, later_documents(spark, folder)))
-    return changes.stale_summaries(chunks, changed)
+    chunks, diff = _chunks_and_diff(spark, folder)
+    return changes.stale_summaries(chunks, changes.changed_documents(diff))
 
 
 STALE_SUMMARIES_SQL = f"""{_BASE_SQL}
@@ -96,7 +113,7 @@ WHERE n_chunks < {fixed.SUMMARY_MIN_CHUNKS} AND (collection, document_id) IN (SE
 
 def reused_embeddings(spark: SparkSession, folder: str) -> DataFrame:
     """Unchanged chunks per document, as the embedding step skips them, and those left to embed."""
-    chunks, store = _chunks_and_store(spark, folder)
+    chunks, store = _later(spark, folder)[0], stored_state(earlier_documents(spark, folder))
     held = store.withColumn("embedding", F.array(F.lit(1.0)))
     marked = changes.reuse_embeddings(chunks, held)
     return marked.groupBy("collection", "document_id").agg(
@@ -117,10 +134,11 @@ def _flat(store: DataFrame) -> DataFrame:
 
 def _upsert(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Store state after the upsert, the difference, and the later chunks."""
-    chunks, store = _chunks_and_store(spark, folder)
-    diff = checkpoint(changes.difference(chunks, store, later_documents(spark, folder)))  # narrow, and read several times
+    store = _state(spark, folder)
+    chunks, diff = _chunks_and_diff(spark, folder, store)
+    diff = checkpoint(diff)  # narrow, and read several times
     unchanged = diff.filter(F.col("status") == changes.UNCHANGED)
-    fresh = without_ids(stored_state(later_documents(spark, folder)), unchanged)
+    fresh = materialised(without_ids(stored_state(later_documents(spark, folder)), unchanged))
     return upserted(store, fresh), diff, chunks
 
 
@@ -187,7 +205,7 @@ FROM store WHERE embeddingType = 'summary'"""
 
 def store_get_ids(spark: SparkSession, folder: str) -> DataFrame:
     """Rows by id: what the store still holds of the later state's addresses."""
-    chunks, store = _chunks_and_store(spark, folder)
+    chunks, store = _later(spark, folder)[0], stored_state(earlier_documents(spark, folder))
     ids = chunks.select("collection", F.col("content_hash").alias("id")).distinct()
     return store.join(ids, ["collection", "id"], "left_semi").select("collection", "id", "document")
 
@@ -227,8 +245,8 @@ SELECT collection, id FROM store UNION SELECT collection, id FROM incoming"""
 def ingest_summary(spark: SparkSession, folder: str) -> DataFrame:
     """Result row of a re-ingest per collection: processed, stored, skipped, deleted, success."""
     documents = later_documents(spark, folder)
-    chunks, store = _chunks_and_store(spark, folder)
-    diff = changes.difference(chunks, store, documents)
+    chunks, diff = _chunks_and_diff(spark, folder)
+    diff = checkpoint(diff)
     changed = changes.changed_documents(diff)
     tallied = diff.groupBy("collection").agg(
         F.sum(F.when(F.col("status") == changes.NEW, F.col("copies")).otherwise(0)).alias("chunks_stored"),

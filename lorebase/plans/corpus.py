@@ -8,15 +8,15 @@ been added as documents.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorebase import fixed
 from lorebase.functions.hashing import chunk_hash
 from lorebase.functions.models import hashed_embedding
-from lorebase.functions.splitting import window_chunks
-from lorebase.functions.text import single_spaced
-from lorebase.operators.changes import chunk_counts
+from lorebase.functions.splitting import window_at, window_chunks, window_count
+from lorebase.functions.text import let, single_spaced
+from lorebase.session import materialised
 from lorebase.sources.store import metadata_struct
 from lorebase.sources.tables import table
 
@@ -60,6 +60,13 @@ def later_documents(spark: SparkSession, folder: str) -> DataFrame:
     return judged.select(*_document_row(edited)).unionByName(added)
 
 
+def windows(content: Column) -> Column:
+    """The corpus's window chunks of a text, as an array; null for none."""
+    count = window_count(content, CHUNK, OVERLAP)
+    cut = F.transform(F.sequence(F.lit(0), F.greatest(count, F.lit(1)) - 1), lambda i: window_at(content, i, CHUNK, OVERLAP))
+    return F.when(count > 0, cut)
+
+
 def hashed_chunks(documents: DataFrame) -> DataFrame:
     """Window chunks with their content addresses."""
     chunks = window_chunks(documents, CHUNK, OVERLAP)
@@ -69,14 +76,38 @@ def hashed_chunks(documents: DataFrame) -> DataFrame:
     )
 
 
+def distinct_chunks(documents: DataFrame) -> DataFrame:
+    """:func:`hashed_chunks` without repeats of an address in a document; the last of them stays."""
+    def entry(at: Column) -> Column:
+        content = window_at(F.col("content"), at, CHUNK, OVERLAP)
+        return F.struct(
+            chunk_hash(content, F.col("title"), F.col("source"), F.col("type"), F.col("document_id")).alias("content_hash"),
+            (-at).alias("last_first"), content.alias("content"),
+        )
+
+    windows = F.sequence(F.lit(0), window_count(F.col("content"), CHUNK, OVERLAP) - 1)
+    entries = let(
+        F.array_sort(F.transform(windows, entry)),
+        lambda sorted_: F.filter(sorted_, lambda e, i: (i == 0) | (F.get(sorted_, i - 1)["content_hash"] != e["content_hash"])),
+    )
+    kept = [c for c in documents.columns if c != "content"]
+    exploded = documents.filter(F.length("content") > 0).select(*kept, F.explode(entries).alias("_e"))
+    return exploded.select(
+        *kept, F.lit("chunk").alias("embedding_type"), (-F.col("_e.last_first")).alias("chunk_index"), "_e.content", "_e.content_hash"
+    )
+
+
 def stored_state(documents: DataFrame) -> DataFrame:
-    """Store rows (without vectors) of an ingested corpus: chunks, and a summary row per large document."""
-    chunks = hashed_chunks(documents)
-    rows = chunks.groupBy("collection", F.col("content_hash").alias("id")).agg(
-        F.max_by(F.struct(F.col("content").alias("document"), metadata_struct().alias("metadata")), "chunk_index").alias("r")
-    ).select("collection", "id", "r.document", "r.metadata")
-    large = chunk_counts(chunks).filter(F.col("n_chunks") >= fixed.SUMMARY_MIN_CHUNKS)
-    described = documents.join(large, ["collection", "document_id"], "left_semi").select(
+    """Store rows (without vectors) of an ingested corpus: chunks, and a summary row per large document.
+
+    The address holds the document's id, so equal chunks meet inside one document and
+    are dropped there, before they become rows: no text is shuffled. ``documents`` has
+    one row per collection and document_id.
+    """
+    rows = distinct_chunks(documents).select(
+        "collection", F.col("content_hash").alias("id"), F.col("content").alias("document"), metadata_struct().alias("metadata")
+    )
+    described = documents.filter(window_count(F.col("content"), CHUNK, OVERLAP) >= fixed.SUMMARY_MIN_CHUNKS).select(
         "collection",
         F.concat("document_id", F.lit("-summary")).alias("document_id"),
         "source", "type", "title",
@@ -92,14 +123,16 @@ def stored_state(documents: DataFrame) -> DataFrame:
 
 
 def vector_store(spark: SparkSession, folder: str, single: bool = False) -> DataFrame:
-    """Embedded chunks of all documents, one collection per language or a single one."""
-    scan = table(spark, folder, "documents").select(*_document_row(F.col("text")))
-    chunks = hashed_chunks(scan)
+    """Embedded chunks of all documents, one collection per language or a single one.
+
+    Written once, as a store is: the search reads ids and vectors of it, the fetch ids and texts.
+    """
+    chunks = hashed_chunks(earlier_documents(spark, folder))
     collection = F.lit("default-knowledge") if single else F.col("collection")
-    return chunks.select(
+    return materialised(chunks.select(
         collection.alias("collection"), F.col("content_hash").alias("id"), F.col("content").alias("document"),
         metadata_struct().alias("metadata"), hashed_embedding("content").alias("embedding"),
-    )
+    ))
 
 
 def conversation_questions(spark: SparkSession, folder: str) -> DataFrame:

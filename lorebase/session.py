@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _PACKAGE_DIR = os.path.dirname(os.path.abspath(__file__))
 _shipped: set[str] = set()
@@ -51,10 +53,39 @@ def checkpoint(df: DataFrame) -> DataFrame:
     The folder is read from ``spark.checkpoint.dir``. Only where that is unset, as in
     a bare local test, a folder of our own is used.
     """
-    sc = df.sparkSession.sparkContext
+    _shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def _shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder of the application, set if it is not yet."""
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         named = sc.getConf().get("spark.checkpoint.dir")
         if not named and not sc.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="lorebase-checkpoint-"))
-    return df.checkpoint(eager=True)
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def materialised(df: DataFrame) -> DataFrame:
+    """The table written as Parquet to the shared folder and read again.
+
+    For wide tables that several later steps read in part: other than a checkpoint, it is
+    read by column and with pushed filters. The files go when the application ends.
+    """
+    spark = df.sparkSession
+    path = f"{_shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    df.write.parquet(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def broadcast_measured(small: DataFrame, row_bytes: int) -> DataFrame:
+    """A computed table, as a broadcast side if its rows, counted, stay within the session's limit.
+
+    ``row_bytes`` is an upper estimate of one row. Beyond the limit the join shuffles.
+    """
+    limit = small.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    return F.broadcast(small) if 0 <= small.count() * row_bytes <= limit else small
