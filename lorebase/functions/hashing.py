@@ -22,7 +22,3 @@ def chunk_hash(content: Column, title: Column, source: Column, kind: Column, doc
 def storage_id(embedding_type: Column, content_hash: Column, document_id: Column, chunk_index: Column) -> Column:
     addressed = (embedding_type == "chunk") & (F.coalesce(content_hash, F.lit("")) != "")
     return F.when(addressed, content_hash).otherwise(F.concat_ws("-", document_id, chunk_index))
-
-
-def stable_bucket(col: Column, buckets: int) -> Column:
-    return F.pmod(F.xxhash64(col), F.lit(buckets)).cast("int")

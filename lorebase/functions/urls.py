@@ -89,19 +89,26 @@ def rewrite_internal(url: Column, base: Column, platform_domain: str) -> Column:
     return F.when((url != "") & known & internal, moved).otherwise(url)
 
 
+def _resolved(page: str | None, link: str | None) -> str | None:
+    if page is None or link is None:
+        return None
+    try:
+        return urljoin(page, link)
+    except ValueError:
+        return None
+
+
 @arrow_function(T.StringType())
 def resolve(base: pd.Series, href: pd.Series) -> pd.Series:
     """Relative reference against the page address, dot segments included."""
+    return pd.Series([_resolved(b, h) for b, h in zip(base, href)], dtype="object")
 
-    def one(page: str | None, link: str | None) -> str | None:
-        if page is None or link is None:
-            return None
-        try:
-            return urljoin(page, link)
-        except ValueError:
-            return None
 
-    return pd.Series([one(b, h) for b, h in zip(base, href)], dtype="object")
+@arrow_function(T.ArrayType(T.StringType()))
+def resolve_all(base: pd.Series, hrefs: pd.Series) -> pd.Series:
+    """:func:`resolve` for all references of a page."""
+    found = [None if links is None else [_resolved(page, link) for link in links] for page, links in zip(base, hrefs)]
+    return pd.Series(found, dtype="object")
 
 
 @arrow_function(T.BooleanType())

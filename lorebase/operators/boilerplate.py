@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lorebase import fixed
 from lorebase.functions.text import folded, is_blank, ordered_lines
+from lorebase.session import broadcast_limit, checkpoint
 
 
 def paragraphs(pages: DataFrame, separator: str = "\n\n") -> DataFrame:
@@ -49,11 +50,22 @@ def without_boilerplate(
 ) -> DataFrame:
     """(site, page_id, content) without the recurring paragraphs; emptied pages are dropped.
 
-    The keys are few, since the share of pages they need bounds their number by the
-    paragraphs of an average page over the threshold; Catalyst broadcasts them by their
-    measured size and otherwise shuffles, with the adaptive split of a hot paragraph.
+    The keys are written and measured. While they are small, the list of a site's keys
+    meets the page rows as a broadcast and the paragraphs are filtered inside the row, so
+    that no text is shuffled. Beyond the session's broadcast limit, paragraphs become rows
+    and an anti-join drops the recurring ones.
     """
-    keys = boilerplate_keys(pages, threshold, min_pages, separator).select("site", "key")
+    keys = checkpoint(boilerplate_keys(pages, threshold, min_pages, separator).select("site", "key"))
+    size = keys.agg(F.coalesce(F.sum(F.octet_length("site") + F.octet_length("key") + 64), F.lit(0))).first()[0]
+    if size <= broadcast_limit(pages.sparkSession):
+        listed = F.broadcast(keys.groupBy("site").agg(F.collect_set("key").alias("_keys")))
+        parts = F.split("content", separator.replace("\n", r"\n"), -1)
+        own = F.filter(parts, lambda p: ~F.array_contains("_keys", folded(p)))
+        marked = pages.select("site", "page_id", "content").join(listed, "site", "left")
+        whole = F.when(F.col("_keys").isNull(), F.col("content")).otherwise(F.array_join(own, separator))
+        # a generator: a filter is not pushed through it, which would compute the text twice
+        once = marked.select("site", "page_id", F.explode(F.array(whole)).alias("content"))
+        return once.filter(~is_blank(F.col("content")))
     kept = paragraphs(pages, separator).join(keys, ["site", "key"], "left_anti")
     cleaned = kept.groupBy("site", "page_id").agg(
         ordered_lines(F.col("pos"), F.col("paragraph"), separator).alias("content")

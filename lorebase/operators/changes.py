@@ -27,8 +27,9 @@ def difference(chunks: DataFrame, store: DataFrame, all_documents: DataFrame | N
     * orphan    - a stored row of a document that has chunks now, but not this one
     * removed   - a stored chunk row of a document that is not in ``all_documents``
 
-    The join key contains the content hash, so one huge document spreads over all
-    tasks. Stored rows of documents that are still listed but give no chunks stay.
+    Addresses meet on a key with the content hash, so one huge document spreads over all
+    tasks. Only addresses that are stored but no longer cut then meet their document's
+    flags; a document with very many of those relies on the adaptive skew split. Stored rows of documents that are still listed but give no chunks stay.
     """
     now = _addresses(chunks)
     # counts every column of ``now``, so that both uses of it share one shuffle
@@ -44,19 +45,15 @@ def difference(chunks: DataFrame, store: DataFrame, all_documents: DataFrame | N
         "id",
         F.col("metadata.embeddingType").alias("held_type"),
     )
-    matched = now.withColumn("is_now", F.lit(True)).join(held, ["collection", "document_id", "id"], "full")
-    flagged = matched.join(documents, ["collection", "document_id"], "left")
-    status = (
-        F.when(F.col("is_now") & F.col("held_type").isNotNull(), UNCHANGED)
-        .when(F.col("is_now"), NEW)
-        .when(F.col("has_chunks"), ORPHAN)
-        .when(F.col("listed").isNull() & (F.col("held_type") == "chunk") & (F.col("document_id") != ""), REMOVED)
-    )
-    return (
-        flagged.withColumn("status", status)
-        .filter(F.col("status").isNotNull())
-        .select("collection", "document_id", "id", "status", F.coalesce("copies", F.lit(0)).alias("copies"))
+    address = ["collection", "document_id", "id"]
+    stored = F.col("held_type").isNotNull()
+    cut = now.join(held, address, "left").select(*address, F.when(stored, UNCHANGED).otherwise(NEW).alias("status"), "copies")
+    gone = F.when(F.col("has_chunks"), ORPHAN).when(
+        F.col("listed").isNull() & (F.col("held_type") == "chunk") & (F.col("document_id") != ""), REMOVED
     )
+    left = held.join(now.select(*address), address, "left_anti").join(documents, ["collection", "document_id"], "left")
+    dropped = left.select(*address, gone.alias("status"), F.lit(0).cast("bigint").alias("copies"))
+    return cut.unionByName(dropped.filter(F.col("status").isNotNull()))
 
 
 def changed_documents(diff: DataFrame) -> DataFrame:

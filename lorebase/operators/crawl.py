@@ -1,8 +1,10 @@
 """Breadth-first reading of sites from a table of fetched pages.
 
-All sites advance together, one level per round: the frontier is an anti-join with
-what has been visited, a join with the pages is the fetch, and the links of the fetched
-pages are the next frontier. A site stops when it has its page limit.
+The pages are parsed once, into a narrow table of addresses and link targets. All sites
+advance over it together, one level per round: the frontier is an anti-join with what has
+been visited, a join with the table is the fetch, and the targets of the fetched pages
+are the next frontier. A site stops when it has its page limit. The markup is joined
+once, at the end, for the pages reached.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from lorebase.functions.arrow import arrow_function
 from lorebase import fixed
 from lorebase.functions import urls
 from lorebase.operators.dedup import keep_first
-from lorebase.session import checkpoint
+from lorebase.session import checkpoint, materialised
 
 
 class _Links(HTMLParser):
@@ -27,8 +29,9 @@ class _Links(HTMLParser):
         self.found: list[str] = []
 
     def handle_starttag(self, tag, attrs):
-        if tag == "a":
-            self.found.extend((value or "") for name, value in attrs[:] if name == "href")
+        given = dict(attrs)  # of a repeated attribute, the last one counts
+        if tag == "a" and "href" in given:
+            self.found.append(given["href"] or "")
 
 
 def _hrefs(html: str) -> list[str]:
@@ -43,6 +46,11 @@ def hrefs(pages: pd.Series) -> pd.Series:
     return pages.map(_hrefs, na_action="ignore")
 
 
+def targets_of(url: Column, found: Column) -> Column:
+    """Normalised targets of a page's links, in order."""
+    return F.transform(urls.resolve_all(url, found), urls.normalize)
+
+
 def page_links(pages: DataFrame) -> DataFrame:
     """(url, html, ...) -> one row per link: link position, href and normalised target."""
     kept = [c for c in pages.columns if c != "html"]
@@ -72,7 +80,10 @@ def crawl(pages: DataFrame, seeds: DataFrame, page_limit: int = fixed.PAGE_LIMIT
     if "position" not in pages.columns:
         pages = pages.withColumn("position", F.xxhash64("url", "html"))
     addressed = pages.withColumn("final_url", urls.normalize(F.col("final_url"))).withColumn("url", urls.normalize(F.col("url")))
-    index = checkpoint(keep_first(addressed.select("url", "final_url", "content_type", "position"), ["url"], "position"))
+    links = addressed.withColumn("_hrefs", hrefs("html")).select(
+        "url", "final_url", "content_type", "position", targets_of(F.col("url"), F.col("_hrefs")).alias("targets")
+    )
+    index = materialised(keep_first(links, ["url"], "position"))
     answering = index.filter(is_html(F.col("content_type")))
     frontier = (
         seeds.select("base_url").distinct().filter(urls.is_safe(F.col("base_url")))
@@ -98,19 +109,18 @@ def crawl(pages: DataFrame, seeds: DataFrame, page_limit: int = fixed.PAGE_LIMIT
         else:
             counts = reached.groupBy("base_url").agg(F.count("*").alias("_have"))
             placed = leading.join(counts, "base_url", "left").withColumn("rank", F.coalesce("_have", F.lit(0)) + F.col("_n"))
-        level = placed.filter(F.col("rank") <= page_limit).join(addressed.select("url", "position", "html"), ["url", "position"]).select(
-            "base_url", F.col("url").alias("asked_url"), F.col("final_url").alias("url"), "html", F.col("rank").cast("int")
-        )
-        level = checkpoint(level)
-        reached = level if reached is None else reached.unionByName(level)
-        links = page_links(level.select("base_url", F.col("asked_url").alias("url"), "html", "rank"))
-        frontier = links.filter(followable(F.col("base_url"), F.col("target"))).select(
-            "base_url", F.col("target").alias("url"), F.col("rank").alias("parent_rank"), "link_pos"
-        )
+        level = checkpoint(placed.filter(F.col("rank") <= page_limit).select(
+            "base_url", "url", "final_url", "position", F.col("rank").cast("int").alias("rank"), "targets"
+        ))
+        kept = level.drop("targets")
+        reached = kept if reached is None else reached.unionByName(kept)
+        found = level.select("base_url", F.col("rank").alias("parent_rank"), F.posexplode("targets").alias("link_pos", "url"))
+        frontier = found.filter(followable(F.col("base_url"), F.col("url"))).select("base_url", "url", "parent_rank", "link_pos")
         visited = visited.unionByName(fresh.select("base_url", "url"))
     if reached is None:
         return pages.select(F.col("url").alias("base_url"), "url", "html", F.lit(0).alias("rank")).limit(0)
-    return reached.select("base_url", "url", "html", "rank")
+    markup = addressed.select("url", "position", "html")
+    return reached.join(markup, ["url", "position"]).select("base_url", F.col("final_url").alias("url"), "html", "rank")
 
 
 def unreachable(pages: DataFrame, seeds: DataFrame) -> DataFrame:

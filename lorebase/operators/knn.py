@@ -3,9 +3,10 @@
 Rows are packed into blocks of vectors in the scan's own tasks, without a shuffle.
 Blocks of questions meet blocks of stored vectors on the collection; one matrix
 product scores a pair of blocks and only the running best n of each question leave
-the task. Catalyst sees an ordinary equi-join between the block tables: it broadcasts
-the questions while their measured size allows it and otherwise shuffles, where the
-adaptive skew split cuts a collection that dominates. Scores are never laid out as one
+the task. The packed questions are written and their bytes counted: up to the session's
+limit they are broadcast. Beyond it both block tables are shuffled, and a collection
+that holds more than a task's share of the stored rows is dealt to a grid of cells, its
+stored blocks to the rows and its question blocks to the columns. Scores are never laid out as one
 row per pair, and no candidate is capped or sampled.
 """
 
@@ -15,9 +16,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lorebase.session import broadcast_limit, checkpoint, materialised
+
 BLOCK_ROWS = 1024
 BLOCK_BYTES = 4 << 20  # wide vectors make shorter blocks
 WAITING_ROWS = 65_536  # vectors that a packing task holds back to fill its blocks
@@ -159,6 +162,31 @@ def _scorer(n: int, metric: str):
     return score
 
 
+def hot_collections(store: DataFrame) -> DataFrame:
+    """(collection, cells): collections of more than a task's share of all rows, with the side of their grid.
+
+    With P shuffle partitions there are at most P of them, so the table may be broadcast.
+    """
+    tasks = int(store.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = checkpoint(store.groupBy(F.col("collection").cast("string").alias("collection")).agg(F.count("*").alias("n")))
+    share = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] / tasks
+    return counts.filter(F.col("n") > share).select("collection", F.ceil(F.sqrt(F.col("n") / share)).cast("int").alias("cells"))
+
+
+def _grid(store: DataFrame, questions: DataFrame, hot: DataFrame, same: Column) -> DataFrame:
+    """Pairs of blocks; every pair of a hot collection meets in exactly one cell of its grid."""
+    def dealt(blocks: DataFrame, side: str, own: str, other: str) -> DataFrame:
+        few = F.broadcast(hot.withColumnsRenamed({"collection": f"{side}_collection", "cells": "_cells"}))
+        cells = F.coalesce("_cells", F.lit(1))
+        ranged = blocks.join(few, f"{side}_collection", "left").withColumn(
+            own, F.pmod(F.xxhash64(f"{side}_ids"), cells).cast("int")
+        )
+        return ranged.withColumn(other, F.explode(F.sequence(F.lit(0), cells - 1))).drop("_cells")
+
+    left, right = dealt(store, "s", "s_row", "s_column"), dealt(questions, "q", "q_column", "q_row")
+    return left.join(right, same & (F.col("s_row") == F.col("q_row")) & (F.col("s_column") == F.col("q_column")))
+
+
 def nearest(
     store: DataFrame,
     questions: DataFrame,
@@ -179,7 +207,14 @@ def nearest(
     packed_questions = questions.select(
         F.col("collection").cast("string"), F.col("query_id").cast("string"), "embedding"
     ).filter(F.col("embedding").isNotNull()).mapInArrow(_packer("q", block_rows), _BLOCK.format(p="q"))
-    pairs = packed_store.join(packed_questions, F.col("s_collection") == F.col("q_collection"))
+    packed_questions = materialised(packed_questions)
+    size = packed_questions.agg(F.coalesce(F.sum(F.size("q_values") * 8 + F.size("q_ids") * 64), F.lit(0))).first()[0]
+    same = F.col("s_collection") == F.col("q_collection")
+    if size <= broadcast_limit(store.sparkSession):
+        pairs = packed_store.join(F.broadcast(packed_questions), same)
+    else:
+        # written, as a rerun of a lost task has to deal the same blocks to the same cells
+        pairs = _grid(materialised(packed_store), packed_questions, hot_collections(store), same)
     candidates = pairs.mapInArrow(
         _scorer(n, metric), "query_id string, collection string, id string, distance double"
     )

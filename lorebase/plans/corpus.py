@@ -78,20 +78,16 @@ def hashed_chunks(documents: DataFrame) -> DataFrame:
 
 def distinct_chunks(documents: DataFrame) -> DataFrame:
     """:func:`hashed_chunks` without repeats of an address in a document; the last of them stays."""
-    def entry(at: Column) -> Column:
-        content = window_at(F.col("content"), at, CHUNK, OVERLAP)
-        return F.struct(
-            chunk_hash(content, F.col("title"), F.col("source"), F.col("type"), F.col("document_id")).alias("content_hash"),
-            (-at).alias("last_first"), content.alias("content"),
-        )
-
-    windows = F.sequence(F.lit(0), window_count(F.col("content"), CHUNK, OVERLAP) - 1)
+    def entry(content: Column, at: Column) -> Column:
+        address = chunk_hash(content, F.col("title"), F.col("source"), F.col("type"), F.col("document_id"))
+        return F.struct(address.alias("content_hash"), (-at).alias("last_first"), content.alias("content"))
+
     entries = let(
-        F.array_sort(F.transform(windows, entry)),
+        F.array_sort(F.transform(windows(F.col("content")), entry)),
         lambda sorted_: F.filter(sorted_, lambda e, i: (i == 0) | (F.get(sorted_, i - 1)["content_hash"] != e["content_hash"])),
     )
     kept = [c for c in documents.columns if c != "content"]
-    exploded = documents.filter(F.length("content") > 0).select(*kept, F.explode(entries).alias("_e"))
+    exploded = documents.select(*kept, F.explode(entries).alias("_e"))
     return exploded.select(
         *kept, F.lit("chunk").alias("embedding_type"), (-F.col("_e.last_first")).alias("chunk_index"), "_e.content", "_e.content_hash"
     )

@@ -28,7 +28,7 @@ from lorebase.operators.ordering import sorted_positions
 from lorebase.operators.summaries import (
     document_summaries, overview, overview_rows, sections, summary_rows,
 )
-from lorebase.session import checkpoint
+from lorebase.session import checkpoint, materialised
 from lorebase.sources.store import KnowledgeStore, store_rows
 
 DOCUMENT_COLUMNS = ("collection", "document_id", "source", "type", "title", "uri", "content", "position")
@@ -92,6 +92,7 @@ def ingest(
     if min_chunks < 1:
         raise ValueError("min_chunks must be >= 1")
     steps = _Steps()
+    documents = materialised(documents)  # every stage reads them, and what they come from may be costly
     collections = checkpoint(documents.select("collection").distinct())
     # names only, as many as the manifest lists anyway; they prune the scan to their folders
     current = store.read([r[0] for r in collections.collect()])

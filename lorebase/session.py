@@ -82,10 +82,14 @@ def materialised(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def broadcast_limit(spark: SparkSession) -> int:
+    """Bytes up to which the session broadcasts; -1 for never."""
+    return spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+
+
 def broadcast_measured(small: DataFrame, row_bytes: int) -> DataFrame:
     """A computed table, as a broadcast side if its rows, counted, stay within the session's limit.
 
     ``row_bytes`` is an upper estimate of one row. Beyond the limit the join shuffles.
     """
-    limit = small.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
-    return F.broadcast(small) if 0 <= small.count() * row_bytes <= limit else small
+    return F.broadcast(small) if small.count() * row_bytes <= broadcast_limit(small.sparkSession) else small
