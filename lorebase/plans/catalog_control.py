@@ -10,9 +10,11 @@ from lorebase.functions import answers, events, messages
 from lorebase.functions.models import ModelPorts
 from lorebase.functions.text import ordered_lines, render
 from lorebase.operators import evaluation
+from lorebase.operators.retrieval import contexts
 from lorebase.operators.summaries import map_budget
+from lorebase.plans.catalog_retrieval import GUIDANCE_BUDGET, RETRIEVE_GUIDANCE_FIT, guidance
 from lorebase.plans.corpus import EARLIER_SQL, chunks_sql, conversation_questions, earlier_documents, hashed_chunks
-from lorebase.plans.graph import PromptGraph
+from lorebase.plans.graph import PromptGraph, format_instructions
 from lorebase.sources.tables import table
 from lorebase.sources.testsets import checked_lines
 
@@ -266,20 +268,33 @@ GRAPH = {
 
 
 def prompt_graph(spark: SparkSession, folder: str) -> DataFrame:
-    """A three-node graph over all conversations, with retrieval by language as the special node."""
+    """A three-node graph over all conversations; the special node retrieves every question's context."""
     states = history_text(spark, folder).select("conv_id", "conversation").join(
         conversation_questions(spark, folder).select(F.col("query_id").cast("long").alias("conv_id"), F.col("question").alias("current_question")), "conv_id"
     )
-    known = table(spark, folder, "benchmark").agg(F.max_by("text", "item_id").alias("combined_knowledge_docs"))
 
     def retrieve(state: DataFrame) -> DataFrame:
-        text = known.first()[0]
-        return state.withColumn("combined_knowledge_docs", F.lit(text))
+        found = contexts(guidance(spark, folder), "\n").withColumn("conv_id", F.col("query_id").cast("long")).drop("query_id")
+        joined = state.drop("combined_knowledge_docs").join(found, "conv_id", "left")
+        return joined.withColumn("combined_knowledge_docs", F.coalesce("context", F.lit(""))).drop("context")
 
     graph = PromptGraph.from_definition(GRAPH).compile(ModelPorts().answer, {"retrieve": retrieve})
     return graph.run(graph.initial(states)).select("conv_id", "answer", "result", F.length("combined_knowledge_docs").alias("knowledge_chars"))
 
 
+_INSTRUCTIONS = format_instructions(answers.standard_schema(GRAPH["nodes"][0]["output"])).replace("'", "''")
+PROMPT_GRAPH_SQL = f"""
+{RETRIEVE_GUIDANCE_FIT},
+history AS ({HISTORY_TEXT_SQL}),
+known AS (
+  SELECT query_id, string_agg('[source:' || position || '] ' || document, chr(10) ORDER BY position) AS context
+  FROM fit WHERE upto <= {GUIDANCE_BUDGET} GROUP BY query_id)
+SELECT conv_id, 'Conversation: ' || conversation || chr(10) || 'Latest: ' || question || chr(10) || '{_INSTRUCTIONS}' AS answer,
+       '{{"answer": ' || CAST(to_json('Question: ' || question || chr(10) || 'Knowledge: ' || coalesce(context, '')) AS VARCHAR) || '}}' AS result,
+       CAST(length(coalesce(context, '')) AS INTEGER) AS knowledge_chars
+FROM history JOIN questions q ON q.query_id = conv_id LEFT JOIN known ON known.query_id = conv_id"""
+
+
 # -- evaluation -------------------------------------------------------------------------
 
 
@@ -392,7 +407,7 @@ QUERIES = {
     "summary_budgets": (summary_budgets, SUMMARY_BUDGETS_SQL),
     "json_answer": (json_answer, JSON_ANSWER_SQL),
     "recover_fields": (recover_fields, RECOVER_SQL),
-    "prompt_graph": (prompt_graph, None),
+    "prompt_graph": (prompt_graph, PROMPT_GRAPH_SQL),
     "eval_aggregate": (eval_aggregate, EVAL_AGGREGATE_SQL),
     "eval_compare": (eval_compare, EVAL_COMPARE_SQL),
     "eval_verdict": (eval_verdict, EVAL_VERDICT_SQL),

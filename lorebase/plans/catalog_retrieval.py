@@ -99,7 +99,7 @@ ranked AS (
   WHERE rank <= {fixed.N_RESULTS})"""
 
 
-RETRIEVE_GUIDANCE_SQL = f"""
+RETRIEVE_GUIDANCE_FIT = f"""
 WITH {EARLIER_SQL}, {chunks_sql('chunks', 'earlier')}, {_QUESTIONS_SQL},
 members AS (SELECT DISTINCT collection, content_hash AS id FROM chunks WHERE collection IN {GUIDANCE_COLLECTIONS}),
 payload AS (SELECT content_hash AS id, any_value(content) AS document, any_value(source) AS source FROM chunks GROUP BY content_hash),
@@ -115,7 +115,8 @@ best AS (
     SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY score DESC, co, rank) AS b FROM kept) WHERE b = 1),
 fit AS (
   SELECT *, sum(length(document)) OVER (PARTITION BY query_id ORDER BY position) AS upto
-  FROM best WHERE position < {fixed.N_RESULTS})
+  FROM best WHERE position < {fixed.N_RESULTS})"""
+RETRIEVE_GUIDANCE_SQL = f"""{RETRIEVE_GUIDANCE_FIT}
 SELECT query_id, CAST(position AS INTEGER) AS position, collection, id, source, round(score, 6) AS score,
        '[source:' || position || '] ' || document AS line
 FROM fit WHERE upto <= {GUIDANCE_BUDGET}"""
