@@ -192,8 +192,3 @@ def file_text(body: bytes, name: str) -> str | None:
         return reader(body) if reader else None
     except Exception:
         return None
-
-
-@arrow_function(T.StringType())
-def parse_files(bodies: pd.Series, names: pd.Series) -> pd.Series:
-    return pd.Series([file_text(bytes(b), n) for b, n in zip(bodies, names)], dtype="object")

@@ -11,7 +11,7 @@ from lorebase.operators import changes
 from lorebase.operators.packing import assign_groups
 from lorebase.operators.summaries import call_plan, document_summaries, join_only, overview, sections
 from lorebase.plans.corpus import EARLIER_SQL, chunks_sql, earlier_documents, hashed_chunks
-from lorebase.session import checkpoint
+from lorebase.session import checkpoint, materialised
 
 PORTS = ModelPorts()
 CONCAT = ModelPorts(reduce_text=join_only)
@@ -22,7 +22,7 @@ SEP = "chr(10) || chr(10) || '---' || chr(10) || chr(10)"
 
 def _summaries(spark: SparkSession, folder: str, ports: ModelPorts) -> tuple[DataFrame, DataFrame, DataFrame]:
     documents = earlier_documents(spark, folder)
-    chunks = hashed_chunks(documents)
+    chunks = materialised(hashed_chunks(documents))  # counted, mapped and joined; cut and hashed once
     wanted = changes.summary_candidates(chunks, None)
     return documents, chunks, document_summaries(chunks, wanted, ports, max_length=LENGTH)
 
@@ -155,7 +155,7 @@ SELECT collection, count(*) AS sections, max(group_no) + 1 AS rounds FROM packed
 
 def bok_overview(spark: SparkSession, folder: str) -> DataFrame:
     """The overview of every collection: sections, packing, map and tree-reduce."""
-    return overview(_sections(spark, folder), PORTS, max_length=LENGTH, materialise=checkpoint)
+    return overview(materialised(_sections(spark, folder)), PORTS, max_length=LENGTH, materialise=checkpoint)
 
 
 BOK_OVERVIEW_SQL = f"""{_SECTIONS.replace('WITH ', 'WITH RECURSIVE ', 1)},

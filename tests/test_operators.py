@@ -379,9 +379,42 @@ def test_ordered_lines(spark):
     assert df.agg(ordered_lines(F.col("o"), F.col("t"), ";").alias("x")).first()["x"] == "a;b;c"
 
 
+def test_recurring_paragraphs_go_without_broadcasts(spark):
+    shared = "This is our cookie policy notice that appears everywhere."
+    rows_ = [("a", i, f"Page {i}, first part\n\n{shared}\n\nPage {i}, last part") for i in range(6)]
+    rows_ += [("b", i, f"{shared}\n\nOther site {i}") for i in range(3)] + [("a", 9, None), ("c", 1, "  ")]
+    given = spark.createDataFrame(rows_, "site string, page_id int, content string")
+    want = {("a", i): f"Page {i}, first part\n\nPage {i}, last part" for i in range(6)}
+    want |= {("b", i): f"{shared}\n\nOther site {i}" for i in range(3)}  # too few pages to judge
+    read = lambda: {(r.site, r.page_id): r.content for r in boilerplate.without_boilerplate(given).collect()}
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    assert read() == want
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        assert read() == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
 # -- crawl --------------------------------------------------------------------------------------
 
 
+def test_one_link_for_a_repeated_attribute(spark):
+    page = spark.createDataFrame([("http://a.com/", '<a href="/x" href="/y">l</a><a>n</a><a href>e</a>')], "url string, html string")
+    assert [r.target for r in crawl.page_links(page).orderBy("link_pos").collect()] == ["http://a.com/y", "http://a.com/"]
+
+
+def test_hot_collections_are_few_and_every_pair_meets_once(spark):
+    store = spark.createDataFrame([("hot", str(i), [float(i)]) for i in range(90)] + [(f"c{i}", "x", [1.0]) for i in range(10)],
+                                  "collection string, id string, embedding array<double>")
+    hot = knn.hot_collections(store).collect()
+    assert [(r.collection, r.cells) for r in hot] == [("hot", 2)]  # two shuffle partitions: 90 rows of a share of 50
+    left = spark.createDataFrame([("hot", [str(i)]) for i in range(20)], "s_collection string, s_ids array<string>")
+    right = spark.createDataFrame([("hot", [str(i)]) for i in range(20)], "q_collection string, q_ids array<string>")
+    pairs = knn._grid(left, right, knn.hot_collections(store), F.col("s_collection") == F.col("q_collection"))
+    assert pairs.count() == 400 == pairs.select("s_ids", "q_ids").distinct().count()
+
+
 def link_page(url, *targets, **extra):
     return {"url": url, "html": "<p>x</p>" + "".join(f'<a href="{t}">l</a>' for t in targets), "content_type": "text/html; charset=utf-8", "final_url": url, **extra}
 
