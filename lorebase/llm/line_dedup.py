@@ -8,9 +8,18 @@ masked; otherwise the line is its own template. Two lines of one template so agr
 four fifths of their tokens, in the same places. A template found in several documents
 is recurring: its lines stay in the document of smallest id and are dropped elsewhere.
 
-Only lines of at least ``MIN_TOKENS`` tokens are judged; shorter ones stay. Line counts,
-leaves and templates are kept as hashes in one narrow table; the text of a line is read
-again only in leaves with different lines.
+By that rule, which the query's SQL sets, only lines of at least ``MIN_TOKENS`` tokens are
+judged and a field's values must not recur. :func:`drop_lines` with ``linked`` has neither
+limit. Two lines of a leaf that agree in four fifths of their places are linked, whatever
+other lines have there, and the lines that links connect have one template. A line of
+under ``MIN_TOKENS`` tokens has no room for a field; its template is the line itself.
+
+Links are found without a row for each pair (:func:`line_links`): where every line of a
+group agrees with its first, links to that one are enough; other large groups are cut by
+the blocks of places that two linked lines must share, and small ones compared in full.
+
+Line counts, leaves and templates are kept as hashes in one narrow table; the text of a
+line is read again only in leaves with different lines.
 
 Nulls: a null text stays null. Rows without doc_id come after all others. Rows that
 agree in doc_id and text are one document and get the same result. Other columns pass
@@ -23,12 +32,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lorebase.llm.common import BLANKS, BROADCAST_BYTES, let, measured, text_of, written
+from lorebase.llm.simhash import components
 
 DEPTH = 3
 MIN_TOKENS = 5
 MIN_DOCS = 2
 SHARE_FIXED = 0.8
 FIELD = "<*>"
+#: Lines compared with each other in one row.
+CELL = 32
 
 
 def _tokens(line: Column) -> Column:
@@ -39,27 +51,102 @@ def _masked(tokens: Column) -> Column:
     return F.transform(tokens, lambda t: F.when(t.rlike("[0-9]"), F.lit(FIELD)).otherwise(t))
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """_doc, doc_id, _at and masked tokens of every judged line."""
+def _lines(docs: DataFrame, least: int = MIN_TOKENS) -> DataFrame:
+    """_doc, doc_id, _at and masked tokens of every judged line; lines of under MIN_TOKENS tokens have no fields."""
     rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("_doc"), F.posexplode(F.split(text_of(), "\n")).alias("_at", "_line"))
-    tokens = rows.withColumn("_raw", _tokens(F.col("_line"))).filter(F.size("_raw") >= MIN_TOKENS)
-    return tokens.select("doc_id", "_doc", "_at", _masked(F.col("_raw")).alias("_tokens"))
+    tokens = rows.withColumn("_raw", _tokens(F.col("_line"))).filter(F.size("_raw") >= least)
+    masked = F.when(F.size("_raw") < MIN_TOKENS, F.col("_raw")).otherwise(_masked(F.col("_raw")))
+    return tokens.select("doc_id", "_doc", "_at", masked.alias("_tokens"))
 
 
 def _leaf() -> Column:
     return F.xxhash64(F.size("_tokens"), *[F.get("_tokens", F.lit(i)) for i in range(DEPTH)])
 
 
-def line_templates(docs: DataFrame) -> DataFrame:
-    """doc_id, _doc, _at, template (a hash) of every judged line."""
-    lines = _lines(docs)
+def _apart(a: Column, b: Column) -> Column:
+    """Places where two lines differ."""
+    return F.size(F.filter(F.zip_with(a, b, lambda x, y: x != y), lambda differs: differs))
+
+
+def _cells(groups: DataFrame) -> DataFrame:
+    """a, b: all links of groups (_group, _whole, _h, _d, _slices), each pair of slices in a row of its own."""
+    own = F.pmod(F.xxhash64("_whole"), F.col("_slices")).cast("int")
+    other = F.when(F.col("_slices") > 1, F.sequence(F.lit(0), F.col("_slices") - 1)).otherwise(F.array(F.lit(0)))
+    dealt = groups.withColumn("_own", own).withColumn("_other", F.explode(other))
+    rows = dealt.groupBy("_group", F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"))
+    cells = rows.agg(F.sort_array(F.collect_list(F.struct("_whole", "_h"))).alias("_l"), F.first("_d").alias("_d")).filter(F.size("_l") > 1)
+    near = lambda x, i: F.filter(F.slice("_l", F.lit(1), i), lambda y: _apart(x["_h"], y["_h"]) <= F.col("_d"))
+    pairs = F.transform("_l", lambda x, i: F.transform(near(x, i), lambda y: F.struct(y["_whole"].alias("a"), x["_whole"].alias("b"))))
+    return cells.select(F.explode(F.flatten(pairs)).alias("e")).select("e.*")
+
+
+def line_links(distinct: DataFrame, cell: int = CELL) -> DataFrame:
+    """a, b: links between the lines (_leaf, _whole, _tokens) whose components are those of all linked pairs of a leaf.
+
+    Lines link if at most ``_d`` places differ. A group of more than ``cell`` lines is first
+    compared with its line of smallest hash. Lines within ``_d`` of that one are done if no
+    line is from ``_d`` to twice ``_d`` away, as all others are too far from them. The rest
+    is compared in slices, or, where that takes more copies of a line, dealt by ``_d`` + 1
+    blocks of the open places: two linked lines agree in one of them. In time at most
+    ``_d`` places are open, and then all of a group link to its first line.
+    """
+    places = F.sequence(F.lit(DEPTH), F.size("_tokens") - 1)
+    groups = distinct.filter(F.size("_tokens") >= MIN_TOKENS).select(
+        F.col("_leaf").alias("_group"), "_whole", F.transform("_tokens", lambda t: F.xxhash64(t)).alias("_h"),
+        F.floor(F.size("_tokens") * F.lit(1 - SHARE_FIXED) + F.lit(1e-9)).cast("int").alias("_d"), places.alias("_open"),
+    )
+    groups = written(groups, "line-groups")
+    sizes = measured(written(groups.groupBy("_group").agg(F.count("*").alias("_n")).filter("_n > 1"), "line-sizes"), 16)
+    sized = groups.join(sizes, "_group")
+    found = _cells(sized.filter(F.col("_n") <= cell).withColumn("_slices", F.lit(1)))
+    large = written(sized.filter(F.col("_n") > cell).drop("_n"), "line-groups")
+    while not large.isEmpty():
+        first = large.groupBy("_group").agg(F.min(F.struct("_whole", "_h")).alias("_first"))
+        far = large.join(first, "_group").withColumn("_apart", _apart(F.col("_h"), F.col("_first._h")))
+        far = written(far.withColumn("_hub", F.col("_first._whole")).drop("_first"), "line-groups")
+        found = found.union(far.filter("_apart <= _d AND _whole <> _hub").select(F.col("_hub").alias("a"), F.col("_whole").alias("b")))
+        over, middle = F.col("_apart") > F.col("_d"), F.col("_apart").between(F.col("_d") + 1, 2 * F.col("_d"))
+        state = far.groupBy("_group").agg(F.count("*").alias("_all"), F.count_if(over).alias("_over"), F.count_if(middle).alias("_middle")).filter("_over > 0")
+        state = measured(written(state, "line-sizes"), 40)
+        rest = far.join(state, "_group").filter(over | (F.col("_middle") > 0)).drop("_apart", "_hub")
+        n = F.when(F.col("_middle") > 0, F.col("_all")).otherwise(F.col("_over"))
+        rest = written(rest.withColumn("_slices", F.ceil(n / cell).cast("int")).drop("_all", "_over", "_middle"), "line-groups")
+        found = found.union(_cells(rest.filter("_slices <= _d + 1")))
+        blocks = F.transform(F.sequence(F.lit(0), F.col("_d")), lambda b: F.filter("_open", lambda p, i: F.pmod(i, F.col("_d") + 1) == b))
+        dealt = rest.filter("_slices > _d + 1").select("*", F.posexplode(blocks).alias("_block", "_places"))
+        shared = F.transform("_places", lambda p: F.get("_h", p))
+        dealt = dealt.select(
+            F.xxhash64("_group", "_block", shared).alias("_group"), "_whole", "_h", "_d", F.array_except("_open", "_places").alias("_open")
+        )
+        dealt = written(dealt, "line-groups")
+        sizes = measured(written(dealt.groupBy("_group").agg(F.count("*").alias("_n")).filter("_n > 1"), "line-sizes"), 16)
+        sized = dealt.join(sizes, "_group")
+        found = found.union(_cells(sized.filter(F.col("_n") <= cell).withColumn("_slices", F.lit(1))))
+        large = written(sized.filter(F.col("_n") > cell).drop("_n"), "line-groups")
+    return found
+
+
+def linked_templates(docs: DataFrame) -> DataFrame:
+    """doc_id, _doc, _at, template (a hash) of every judged line, by links."""
+    narrow, distinct = _mixed_leaves(_lines(docs))
+    found = measured(written(components(line_links(distinct)), "line-templates"), 16)
+    return narrow.join(found, narrow["_whole"] == found["node"], "left").select("doc_id", "_doc", "_at", F.coalesce("root", "_whole").alias("template"))
+
+
+def _mixed_leaves(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All lines without tokens, and one row for each different line of the leaves that have several."""
     whole = F.xxhash64("_tokens")
     narrow = written(lines.select("doc_id", "_doc", "_at", _leaf().alias("_leaf"), whole.alias("_whole")), "line-leaves")
     mixed = narrow.groupBy("_leaf").agg(F.min("_whole").alias("a"), F.max("_whole").alias("b")).filter("a <> b").select("_leaf")
     mixed = measured(written(mixed, "line-mixed"), 16)
     inside = lines.select(_leaf().alias("_leaf"), whole.alias("_whole"), "_tokens").join(mixed, "_leaf", "left_semi")
     # One row for each different line of those leaves; the tokens of equal hashes are equal.
-    distinct = written(inside.groupBy("_leaf", "_whole").agg(F.first("_tokens").alias("_tokens")), "line-texts")
+    return narrow, written(inside.groupBy("_leaf", "_whole").agg(F.first("_tokens").alias("_tokens")), "line-texts")
+
+
+def line_templates(docs: DataFrame) -> DataFrame:
+    """doc_id, _doc, _at, template (a hash) of every judged line."""
+    narrow, distinct = _mixed_leaves(_lines(docs))
     places = distinct.select("_leaf", "_whole", F.posexplode("_tokens").alias("_place", "_token"))
     lone = places.groupBy("_leaf", "_place", "_token").agg(F.count("*").alias("n"), F.min("_whole").alias("_whole")).filter("n = 1")
     # A template's hash: of all (place, token), with the tokens of its fields exchanged for the field mark.
@@ -76,9 +163,9 @@ def line_templates(docs: DataFrame) -> DataFrame:
     )
 
 
-def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, linked: bool = False) -> DataFrame:
     """_doc, _drop: the places of the lines to drop in each document that has any."""
-    lines = written(line_templates(docs), "line-all")
+    lines = written(linked_templates(docs) if linked else line_templates(docs), "line-all")
     each = lines.groupBy("template", "_doc").agg(F.min(F.coalesce("doc_id", F.lit((1 << 63) - 1))).alias("doc_id"))
     found = each.groupBy("template").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "_doc")).alias("_first")).filter(F.col("n") >= min_docs)
     found = measured(written(found.select("template", F.col("_first._doc").alias("_keeper")), "line-found"), 24)
@@ -86,12 +173,14 @@ def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     return dropped.groupBy("_doc").agg(F.collect_set("_at").alias("_drop"))
 
 
-def drop_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+def drop_lines(docs: DataFrame, min_docs: int = MIN_DOCS, linked: bool = False) -> DataFrame:
     """The documents without their recurring lines, plus ``n_lines`` and ``n_dropped``.
 
+    ``linked`` judges lines of any length, by links between lines.
+
     Columns of those names in the input are replaced.
     """
-    drops = written(recurring_lines(docs, min_docs), "line-drops")
+    drops = written(recurring_lines(docs, min_docs, linked), "line-drops")
     size = drops.agg(F.coalesce(F.sum(F.size("_drop") * 4 + 40), F.lit(0))).first()[0]
     drops = F.broadcast(drops) if size <= BROADCAST_BYTES else drops
     rows = docs.select(F.struct("*").alias("_row"), "text", F.xxhash64("doc_id", "text").alias("_doc")).join(drops, "_doc", "left")

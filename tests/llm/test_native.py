@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -164,3 +165,81 @@ def test_line_templates(spark, odd):
 
 def test_line_dedup_empty(nothing):
     assert line_dedup.drop_lines(nothing).collect() == []
+
+
+def _linked_drops(rows, min_docs=2):
+    """Brute force of the linked templates over rows of unique doc_id: places dropped by document."""
+    lines = []
+    for doc_id, text, *_ in rows:
+        for at, line in enumerate((text or "").split("\n")):
+            tokens = _words(line)
+            if tokens:
+                lines.append((doc_id, at, tuple("<*>" if len(tokens) >= 5 and re.search("[0-9]", t) else t for t in tokens)))
+    texts = sorted({t for _, _, t in lines})
+    root = {t: t for t in texts}
+
+    def find(t):
+        while root[t] != t:
+            t = root[t]
+        return t
+
+    leaves = defaultdict(list)
+    for t in texts:
+        leaves[len(t), t[:3]].append(t)
+    for own in leaves.values():
+        for i, a in enumerate(own):
+            for b in own[i + 1 :]:
+                if 5 * sum(x != y for x, y in zip(a, b, strict=True)) <= len(a):
+                    root[max(find(a), find(b))] = min(find(a), find(b))
+    docs_of = defaultdict(set)
+    for doc_id, _, t in lines:
+        docs_of[find(t)].add(doc_id)
+    drops = defaultdict(set)
+    for doc_id, at, t in lines:
+        if len(docs_of[find(t)]) >= min_docs and doc_id != min(docs_of[find(t)]):
+            drops[doc_id].add(at)
+    return {d: frozenset(p) for d, p in drops.items()}
+
+
+@pytest.mark.parametrize("size", [40, 400])
+def test_linked_lines_with_recurring_field_values(spark, size):
+    rng = random.Random(size)
+    names, cities = [f"Name{chr(97 + i)}" for i in range(9)], ["Oslo", "Bern", "Rome"]
+    rows = []
+    for i in range(size):
+        body = " ".join(rng.choices("abcdefgh", k=12))
+        twin = f"one two three {' '.join(rng.choices('kl', k=7))}"
+        rows.append((i, f"Dear reader please write to {rng.choice(names)} in our {rng.choice(cities)} office\n{body}\n{twin}\nnumber {i}", "a", 1))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, kept int")
+    got = {r["doc_id"]: r["n_dropped"] for r in line_dedup.drop_lines(docs, linked=True).collect() if r["n_dropped"]}
+    assert got == {d: len(p) for d, p in _linked_drops(rows).items()}
+    kept = [r["text"] for r in line_dedup.drop_lines(docs, linked=True).collect()]
+    assert sum("Dear reader" in t for t in kept) == 1 and all("number" in t for t in kept)
+
+
+def test_links_of_large_groups(spark):
+    rng = random.Random(3)
+    texts = set()
+    for family in range(3):
+        base = [f"f{family % 2}{i}" for i in range(20)]
+        for _ in range(150):
+            own = list(base)
+            for p in rng.sample(range(20), rng.randrange(9)):
+                own[p] = rng.choice(["x", "y", "z"])
+            texts.add(("l", "l", "l", *own))
+    texts |= {("m", "m", "m", *rng.choices("uv", k=k)) for k in (2, 7, 12) for _ in range(200)}
+    texts = [*texts]
+    lines = spark.createDataFrame([(i, list(t)) for i, t in enumerate(texts)], "_whole bigint, _tokens array<string>").withColumn("_leaf", line_dedup._leaf())
+    found = {r["node"]: r["root"] for r in line_dedup.components(line_dedup.line_links(lines, cell=4)).collect()}
+    root = list(range(len(texts)))
+    for i, a in enumerate(texts):
+        for j in range(i):
+            if len(a) == len(texts[j]) and a[:3] == texts[j][:3] and 5 * sum(x != y for x, y in zip(a, texts[j], strict=True)) <= len(a):
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    assert found == {i: r for i, r in enumerate(root) if r != i}
+
+
+def test_linked_lines_odd_rows(spark, odd, nothing):
+    kept = line_dedup.drop_lines(odd, linked=True)
+    assert kept.count() == odd.count() and line_dedup.drop_lines(nothing, linked=True).collect() == []
