@@ -127,8 +127,8 @@ def line_links(distinct: DataFrame, cell: int = CELL) -> DataFrame:
 
 
 def linked_templates(docs: DataFrame) -> DataFrame:
-    """doc_id, _doc, _at, template (a hash) of every judged line, by links."""
-    narrow, distinct = _mixed_leaves(_lines(docs))
+    """doc_id, _doc, _at, template (a hash) of every line that has a token."""
+    narrow, distinct = _mixed_leaves(_lines(docs, 1))
     found = measured(written(components(line_links(distinct)), "line-templates"), 16)
     return narrow.join(found, narrow["_whole"] == found["node"], "left").select("doc_id", "_doc", "_at", F.coalesce("root", "_whole").alias("template"))
 

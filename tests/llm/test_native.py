@@ -243,3 +243,15 @@ def test_links_of_large_groups(spark):
 def test_linked_lines_odd_rows(spark, odd, nothing):
     kept = line_dedup.drop_lines(odd, linked=True)
     assert kept.count() == odd.count() and line_dedup.drop_lines(nothing, linked=True).collect() == []
+
+
+def test_linked_lines_of_few_tokens(spark):
+    rows = [
+        (1, "All rights reserved.\nHome\n3\nPage 4\n\n \nown words", "a", 1),
+        (2, "All  rights reserved.\nHome\n4\nPage 5\n\n \nother words", "a", 1),
+        (3, "Home\nPage 5\nAll rights", "a", 1),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, kept int")
+    got = {r["doc_id"]: r["text"] for r in line_dedup.drop_lines(docs, linked=True).collect()}
+    assert got == {1: rows[0][1], 2: "4\nPage 5\n\n \nother words", 3: "All rights"}
+    assert {d: len(p) for d, p in _linked_drops(rows).items()} == {2: 2, 3: 2}
