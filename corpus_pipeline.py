@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorebase.llm import line_dedup, mixing, piece_codec, quality, queries, simhash
+from lorebase.llm import line_dedup, mixing, near_sets, piece_codec, quality, queries
 from lorebase.llm.common import BROADCAST_BYTES, written
 from lorebase.session import ship_package
 from lorebase.sources.tables import table
@@ -42,9 +42,9 @@ def drop_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest doc_id (and, between those, of smallest text hash) of each component stays."""
+    """The document of smallest doc_id (and, between those, of smallest text hash) of each component of five-word shingle sets at a similarity of 0.8 or more stays."""
     ship_package(spark)
-    found = simhash.near_duplicates(_keyed(docs))
+    found = near_sets.near_sets(_keyed(docs))
     gone = found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id._id", "doc_id._hash")
     return _without(docs, gone)
 

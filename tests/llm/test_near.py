@@ -10,7 +10,8 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from lorebase.llm import licenses, mixing, resharding, simhash
+import corpus_pipeline
+from lorebase.llm import licenses, mixing, near_sets, resharding, simhash
 
 
 def _slow_fingerprint(text):
@@ -223,3 +224,51 @@ def test_untouched_shards_are_not_rewritten(spark):
     folder, placed = resharding.reshard(docs, F.pmod("doc_id", F.lit(4)), 4)
     assert placed.count() == 40 and placed.select("shard", "slot").distinct().count() == 40
     assert Counter(r["shard"] for r in placed.collect()) == {0: 10, 1: 10, 2: 10, 3: 10}
+
+
+def _shingles(text):
+    words = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").encode().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+@pytest.mark.parametrize("cell_bytes", [1 << 24, 4000])
+def test_near_sets(spark, odd, nothing, cell_bytes):
+    rng = random.Random(9)
+    words = [f"t{i}" for i in range(900)]
+    rows = []
+    for base in range(12):
+        text = rng.choices(words, k=rng.choice([40, 150, 400]))
+        for copy in range(8):
+            own = list(text)
+            for _ in range(rng.randrange(1 + len(own) // 35)):
+                own[rng.randrange(len(own))] = f"changed{rng.random()}"
+            rows.append((100 + base * 10 + copy, " ".join(own), "a", 1))
+    docs = odd.union(spark.createDataFrame(rows, odd.schema))
+    every = [(r["doc_id"], _shingles(r["text"])) for r in docs.collect()]
+    root = list(range(len(every)))
+    for i, (_, a) in enumerate(every):
+        for j, (_, b) in enumerate(every[:i]):
+            if a == b or 5 * len(a & b) >= 4 * len(a | b):
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    ids = {r: [every[i][0] for i, x in enumerate(root) if x == r] for r in set(root)}
+    want = Counter((d, min((x for x in ids[r] if x is not None), default=None), len(ids[r])) for (d, _), r in zip(every, root, strict=True))
+    assert Counter(tuple(r) for r in near_sets.near_sets(docs, cell_bytes=cell_bytes).collect()) == want
+    assert near_sets.near_sets(nothing).collect() == []
+
+
+def test_pipeline_drops_copies_at_08_to_095(spark):
+    rng = random.Random(4)
+    rows, gone = [], set()
+    for n in range(12):
+        text = [f"p{rng.randrange(5000)}" for _ in range(300)]
+        other = list(text)
+        for i in range(1 + n // 2):  # each change takes five of the 296 shingles from both sides
+            other[10 + i * 40] = f"new{n}"
+        a, b = _shingles(" ".join(text)), _shingles(" ".join(other))
+        assert 0.8 <= len(a & b) / len(a | b) <= 0.97
+        rows += [(2 * n, " ".join(text)), (2 * n + 1, " ".join(other))]
+        gone.add(2 * n + 1)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    kept = {r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()}
+    assert kept == {d for d, _ in rows} - gone
