@@ -8,9 +8,11 @@ and notice is at least 0.8 (2 s) / (5 s + 0.2 x 4 s); with single-row bands, ``B
 them miss such a window with a probability below one in a million. A window that shares
 a band with a notice is compared by the exact set of shingles.
 
+A notice of under five words is found by its exact sequence of words, in texts of any
+length. A notice without words is refused.
+
 Nulls: a null text has no matches. Rows without doc_id are scanned too. Repeated rows
-give repeated results. Texts of under five words have no shingles. Other columns are
-not read.
+give repeated results. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -56,13 +58,20 @@ NOTICES = {
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"
     ),
 }
+#: Notices of under five words.
+SHORT_NOTICES = {
+    "All-rights-reserved": "All rights reserved",
+    "SPDX-MIT": "SPDX-License-Identifier: MIT",
+}
 
 
 def shingles_of(text: str | None, memory: dict[str, int]) -> np.ndarray:
     """64-bit hashes of the text's five-word shingles, in order."""
+    return _rolled(_word_hashes(text, memory), SHINGLE)
+
+
+def _word_hashes(text: str | None, memory: dict[str, int]) -> np.ndarray:
     words = _words(text)
-    if len(words) < SHINGLE:
-        return np.empty(0, np.uint64)
     get = memory.get
     hashes = [get(w) for w in words]
     if None in hashes:
@@ -70,10 +79,13 @@ def shingles_of(text: str | None, memory: dict[str, int]) -> np.ndarray:
             memory.clear()
         memory.update((w, xxhash.xxh64_intdigest(w)) for w in set(words))
         hashes = [memory[w] for w in words]
-    h = np.array(hashes, np.uint64)
-    n = len(h) - SHINGLE + 1
+    return np.array(hashes, np.uint64)
+
+
+def _rolled(h: np.ndarray, width: int) -> np.ndarray:
+    n = max(0, len(h) - width + 1)
     mixed = np.zeros(n, np.uint64)
-    for i in range(SHINGLE):
+    for i in range(width):
         mixed = (mixed ^ h[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
         mixed ^= mixed >> np.uint64(29)
     return mixed
@@ -94,11 +106,17 @@ class Scanner:
         self.memory: dict[str, int] = {}
         self.odd, self.containment = _band_constants(), containment
         self.classes: dict[int, list[tuple[str, np.ndarray, np.ndarray]]] = {}
+        self.short: dict[int, list[tuple[str, np.uint64]]] = {}
         for name, text in notices.items():
+            hashes = _word_hashes(text, {})
+            if not len(hashes):
+                raise ValueError(f"the notice {name!r} has no words")
+            if len(hashes) < SHINGLE:
+                self.short.setdefault(len(hashes), []).append((name, _rolled(hashes, len(hashes))[0]))
+                continue
             own = np.unique(shingles_of(text, {}))
-            if len(own):
-                step = 1 << max(0, math.ceil(math.log2(len(own) / 4)))
-                self.classes.setdefault(step, []).append((name, own, self._hashed(own).min(axis=1)))
+            step = 1 << max(0, math.ceil(math.log2(len(own) / 4)))
+            self.classes.setdefault(step, []).append((name, own, self._hashed(own).min(axis=1)))
 
     def _hashed(self, shingles: np.ndarray) -> np.ndarray:
         x = shingles[None, :] * self.odd[:, None]
@@ -106,8 +124,14 @@ class Scanner:
 
     def scan(self, text: str | None) -> dict[str, tuple[float, int]]:
         """Best containment and the first word of the window that has it, by notice."""
-        every = shingles_of(text, self.memory)
+        hashes = _word_hashes(text, self.memory)
+        every = _rolled(hashes, SHINGLE)
         best: dict[str, tuple[float, int]] = {}
+        for width, notices in self.short.items():
+            runs = _rolled(hashes, width)
+            for name, wanted in notices:
+                if len(at := np.flatnonzero(runs == wanted)):
+                    best[name] = (1.0, int(at[0]))
         longest = 5 * max(self.classes, default=1)
         for first in range(0, max(1, len(every) - longest + 1) if len(every) else 0, STRETCH):
             own = every[first : first + STRETCH + longest]
@@ -133,10 +157,11 @@ class Scanner:
         return best
 
 
-def scan_licenses(docs: DataFrame, notices: Mapping[str, str] = NOTICES, containment: float = CONTAINMENT) -> DataFrame:
+def scan_licenses(docs: DataFrame, notices: Mapping[str, str] = {**NOTICES, **SHORT_NOTICES}, containment: float = CONTAINMENT) -> DataFrame:
     """doc_id, license, containment, first_word: a row for each notice found in a document."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     chosen = dict(notices)
+    Scanner(chosen, containment)  # refuses notices without words before any task runs
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(chosen, containment)

@@ -272,3 +272,13 @@ def test_pipeline_drops_copies_at_08_to_095(spark):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     kept = {r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()}
     assert kept == {d for d, _ in rows} - gone
+
+
+def test_short_notices(spark):
+    rows = [(1, "All rights  reserved."), (2, "some words before: ALL RIGHTS RESERVED, and after"), (3, "all rights are reserved"), (4, "// SPDX-License-Identifier: MIT\nx"), (5, "rights reserved all")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {tuple(r) for r in licenses.scan_licenses(docs).collect()}
+    assert got == {(1, "All-rights-reserved", 1.0, 0), (2, "All-rights-reserved", 1.0, 3), (4, "SPDX-MIT", 1.0, 0)}
+    assert {(r["doc_id"], r["license"]) for r in licenses.scan_licenses(docs, {"one": "after"}).collect()} == {(2, "one")}
+    with pytest.raises(ValueError):
+        licenses.scan_licenses(docs, {"none": " .,; "})
