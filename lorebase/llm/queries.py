@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorebase.llm import exact_dedup, licenses, line_dedup, mixing, piece_codec, quality, resharding, simhash, token_count, token_store
+from lorebase.llm import (
+    exact_dedup, licenses, line_dedup, minhash, mixing, piece_codec, quality, resampling, resharding, simhash, token_count, token_store, whitening,
+)
 from lorebase.session import ship_package
 from lorebase.sources.tables import table
 
@@ -97,6 +99,20 @@ def op10_resharding(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    ship_package(spark)
+    return whitening.whiten(table(spark, folder, "embeddings"))
+
+
+def op12_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash.near_duplicates(_documents(spark, folder))
+
+
+def op13_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    drawn = resampling.resample(_documents(spark, folder), table(spark, folder, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank", "n_words")
+
+
 EXACT_SQL = r"""
 WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents),
 g AS (SELECT doc_id, t, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size FROM t)
@@ -168,6 +184,7 @@ QUERIES = {
     for q in (
         op1_simhash, op2_token_counts, op3_mixing, op4_piece_codec, op5_exact_dedup,
         op6_quality, op7_licenses, op8_line_dedup, op9_token_store, op10_resharding,
+        op11_whitening, op12_minhash, op13_resampling,
     )
 }
 CHECKS = {"op3_mixing": MIX_SQL, "op5_exact_dedup": EXACT_SQL, "op8_line_dedup": LINE_SQL}
