@@ -165,6 +165,7 @@ def clean_up(store: KnowledgeStore, doomed: DataFrame, removed: DataFrame, probl
     deleted = checkpoint(_count_by(ids.select("collection").unionAll(documents.select("collection")), "chunks_deleted"))
     store.delete_ids(ids)
     store.delete_documents(documents)
+    store.compact()
     gate = failed.select("collection", F.concat(
         F.lit("orphan_cleanup: skipped (destructive step gated by "), F.col("n"), F.lit(" prior error(s))")).alias("error"))
     return deleted, checkpoint(gate)

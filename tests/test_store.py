@@ -245,3 +245,152 @@ def test_tree_ingest(spark, store):
     assert store.get("b-knowledge", where={"documentId": "s2"}).first().metadata.uri == "https://x/2"
     overview = store.get("b-knowledge", where={"documentId": fixed.OVERVIEW_DOC_ID}).first()
     assert overview.document.startswith("Top\n\nAll of it") and overview.metadata.type == fixed.OVERVIEW_TYPE
+
+
+# -- deltas, compaction, ledger, pushdown ----------------------------------------------------------
+
+
+def numbered(spark, n, collection="a", text="text"):
+    vector = F.array(*[F.rand(i).cast("float") for i in range(16)])
+    meta = F.struct(
+        F.concat(F.lit("d"), F.format_string("%05d", (F.col("id") / 10).cast("int"))).alias("documentId"), F.lit("s").alias("source"), F.lit("knowledge").alias("type"),
+        F.lit("t").alias("title"), F.lit("chunk").alias("embeddingType"), (F.col("id") % 10).cast("int").alias("chunkIndex"), F.lit(None).cast("string").alias("uri"))
+    rows = spark.range(n).select(F.lit(collection).alias("collection"), F.sha2(F.col("id").cast("string"), 256).alias("id"),
+                                 F.concat(F.lit(text), F.sha2(F.concat(F.lit(text), F.col("id").cast("string")), 512)).alias("document"), meta.alias("metadata"), vector.alias("embedding"))
+    return rows.to(ROW)
+
+
+def written_bytes(store, after):
+    return {e["path"]: e["bytes"] for e in store._manifest()["entries"] if e["path"] not in after}
+
+
+def test_one_document_writes_less_than_a_hundredth(spark, tmp_path):
+    store = KnowledgeStore(spark, str(tmp_path / "s"), buckets=8)
+    store.upsert(numbered(spark, 40_000))
+    whole = written_bytes(store, {})
+    store.upsert(numbered(spark, 3, text="new"))
+    added = written_bytes(store, whole)
+    assert added and sum(added.values()) < sum(whole.values()) / 100
+    assert store.read().count() == 40_000 and store.get("a", where={"documentId": "d00000"}).filter("document like 'new%'").count() == 3
+    held = written_bytes(store, {})
+    store.delete_documents(spark.createDataFrame([("a", "d00007")], "collection string, document_id string"))
+    assert sum(written_bytes(store, held).values()) < sum(whole.values()) / 100
+    assert store.read().count() == 39_990 and not store.exists("a", "d00007") and store.exists("a", "d00008")
+
+
+def test_compaction_keeps_rows_and_splits_large_buckets(spark, tmp_path):
+    store = KnowledgeStore(spark, str(tmp_path / "s"), buckets=2, bucket_bytes=60_000, most_deltas=2)
+    expected = {}
+    for step, n in enumerate((600, 900, 50, 700)):
+        rows = numbered(spark, n, text=f"v{step}-")
+        store.upsert(rows)
+        expected |= {r.id: r.document for r in rows.collect()}
+        if step == 2:
+            gone = spark.createDataFrame([("a", i) for i in sorted(expected)[::7]] + [("a", "none"), ("zz", "1")], "collection string, id string")
+            store.delete_ids(gone)
+            expected = {k: v for k, v in expected.items() if k not in set(sorted(expected)[::7])}
+    state = lambda version=None: {r.id: r.document for r in store.read(version=version).collect()}
+    assert state() == expected
+    before = store.version()
+    store.compact()
+    assert state() == expected and state(before) == expected
+    entries = store._manifest()["entries"]
+    assert not any(e["delta"] for e in entries) and max(e["depth"] for e in entries) > 1
+    one = sorted(expected)[5]
+    assert [r.document for r in store.get("a", ids=[one]).collect()] == [expected[one]]
+    store.upsert(numbered(spark, 3, text="later"))  # deltas after a split
+    expected |= {r.id: r.document for r in numbered(spark, 3, text="later").collect()}
+    assert state() == expected
+    untouched = {p for p, e in ((e["path"], e) for e in store._manifest()["entries"]) if not e["delta"]}
+    store.compact(every=True)
+    assert state() == expected
+    now = {e["path"] for e in store._manifest()["entries"]}
+    assert len(untouched - now) <= 3  # only the buckets of those three rows are rewritten
+    assert store.vacuum(keep=1) > 0 and state() == expected and store.vacuum(keep=1) == 0
+
+
+def test_emptied_buckets_take_rows_again(spark, tmp_path):
+    store = KnowledgeStore(spark, str(tmp_path / "s"), buckets=4, bucket_bytes=4_000)
+    rows = numbered(spark, 60)
+    store.upsert(rows)
+    store.compact()
+    store.delete_where("a", source="s")
+    store.compact(every=True)
+    assert store.read().isEmpty()
+    store.upsert(rows)
+    store.upsert(numbered(spark, 5, text="x"))
+    store.compact(every=True)
+    assert store.read().count() == 60 and store.read().filter("document like 'x%'").count() == 5
+
+
+def test_batches_are_taken_once(spark, store):
+    first, second = rows_of(spark, [("a", "1", "one", "d1", "chunk", [1])]), rows_of(spark, [("a", "1", "two", "d1", "chunk", [1])])
+    assert store.upsert(first, batch=("events", 0)) == 1
+    assert store.upsert(second, batch=("events", 0)) == 1  # replayed: refused
+    assert [r.document for r in store.read().collect()] == ["one"]
+    store.upsert(second, batch=("other", 0))
+    store.upsert(first.limit(0), batch=("events", 1))  # an empty batch is a batch
+    assert store._manifest()["batches"] == {"events": 1, "other": 0}
+
+
+def test_a_stream_that_dies_between_writing_and_publishing(spark, tmp_path):
+    source, root = str(tmp_path / "in"), str(tmp_path / "s")
+    rows_of(spark, [("a", "1", "one", "d1", "chunk", [1]), ("a", "2", "two", "d2", "chunk", [1])]).write.parquet(source)
+    calls = []
+
+    class Dying(KnowledgeStore):
+        def _publish(self, version, manifest):
+            if len(calls) == 1:
+                raise OSError("lost")
+            super()._publish(version, manifest)
+
+    def run(store, after):
+        def take(batch, number):
+            calls.append(number)
+            store.upsert(batch, batch=("events", number))
+            if after:
+                raise OSError("lost after the commit")
+
+        query = spark.readStream.schema(ROW).parquet(source).writeStream.foreachBatch(take).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        query.awaitTermination()
+
+    with pytest.raises(Exception, match="lost"):
+        run(Dying(spark, root), False)
+    assert KnowledgeStore(spark, root).version() == 0  # written, not published
+    with pytest.raises(Exception, match="lost"):
+        run(KnowledgeStore(spark, root), True)
+    assert KnowledgeStore(spark, root).version() == 1  # published, not acknowledged
+    run(KnowledgeStore(spark, root), False)
+    assert calls == [0, 0, 0]  # the same batch three times, stored once
+    store = KnowledgeStore(spark, root)
+    assert store.version() == 1 and ids(store.read()) == ["1", "2"]
+
+
+def scanned_rows(df):
+    """Rows that the Parquet scans returned, row groups skipped by statistics and Bloom filters left out."""
+    df.collect()
+    plan, found = df._jdf.queryExecution().executedPlan(), []
+
+    def walk(node):
+        if node.nodeName() == "AdaptiveSparkPlan":
+            return walk(node.executedPlan())
+        if node.nodeName().startswith("Scan parquet"):
+            found.append(node.metrics().apply("numOutputRows").value())
+        for i in range(node.children().size()):
+            walk(node.children().apply(i))
+        if node.nodeName().endswith("QueryStage"):
+            walk(node.plan())
+
+    walk(plan)
+    return sum(found)
+
+
+def test_lookups_skip_row_groups(spark, tmp_path):
+    store = KnowledgeStore(spark, str(tmp_path / "s"), buckets=1, row_group_bytes=64_000)
+    store.upsert(numbered(spark, 20_000))
+    by_document = store.get("a", where={"documentId": "d00500"}, include=["metadata"])
+    assert 10 <= scanned_rows(by_document) < 6_000 and by_document.count() == 10
+    one = store.read().orderBy("id").first().id
+    by_id = store.get("a", ids=[one], include=["metadata"])
+    assert 1 <= scanned_rows(by_id) < 12_000 and by_id.count() == 1
+    assert scanned_rows(store.get("a", where={"documentId": "missing"}, include=[])) < 6_000
