@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lorebase.session import ship_package
 
-_PARTS = ("retrieval", "text", "incremental", "summary", "web", "control")
+_PARTS = ("retrieval", "text", "incremental", "state", "summary", "web", "control")
 
 
 def _entries() -> dict[str, tuple[Callable, str | None]]:

@@ -9,10 +9,11 @@ from lorebase import fixed
 from lorebase.functions.hashing import chunk_hash, storage_id
 from lorebase.operators import changes
 from lorebase.plans.corpus import (
-    EARLIER_SQL, LATER_SQL, chunks_sql, earlier_documents, hashed_chunks, later_documents, store_sql, stored_state, windows,
+    EARLIER_SQL, LATER_SQL, chunks_sql, content_vector, earlier_documents, hashed_chunks, knowledge_store, later_documents,
+    not_blank_sql, store_rows_with_vectors, store_sql, stored_state, vector_sum_sql, windows,
 )
-from lorebase.session import checkpoint, materialised
-from lorebase.sources.store import metadata_struct, upserted, without_documents, without_ids
+from lorebase.session import broadcast_measured, checkpoint, materialised
+from lorebase.sources.store import KnowledgeStore, metadata_struct
 
 
 def _later(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
@@ -112,18 +113,19 @@ WHERE n_chunks < {fixed.SUMMARY_MIN_CHUNKS} AND (collection, document_id) IN (SE
 
 
 def reused_embeddings(spark: SparkSession, folder: str) -> DataFrame:
-    """Unchanged chunks per document, as the embedding step skips them, and those left to embed."""
-    chunks, store = _later(spark, folder)[0], stored_state(earlier_documents(spark, folder))
-    held = store.withColumn("embedding", F.array(F.lit(1.0)))
-    marked = changes.reuse_embeddings(chunks, held)
+    """Chunks of a document that take over their stored vector, the sum of those vectors, and the chunks left to embed."""
+    chunks, store = _later(spark, folder)[0], knowledge_store(spark, store_rows_with_vectors(earlier_documents(spark, folder)))
+    marked = changes.reuse_embeddings(chunks, store.read())
+    total = F.aggregate("embedding", F.lit(0).cast("bigint"), lambda a, x: a + x.cast("bigint"))
     return marked.groupBy("collection", "document_id").agg(
-        F.count_if("unchanged").alias("reused"), F.count_if(F.col("embedding").isNull()).alias("to_embed")
+        F.count("embedding").alias("reused"), F.coalesce(F.sum(total), F.lit(0)).alias("vector_sum"), F.count_if(F.col("embedding").isNull()).alias("to_embed")
     )
 
 
-REUSED_SQL = f"""{_BASE_SQL}
-SELECT c.collection, c.document_id, count(s.id) AS reused, count(*) FILTER (WHERE s.id IS NULL) AS to_embed
-FROM chunks c LEFT JOIN store s ON s.collection = c.collection AND s.documentId = c.document_id AND s.id = c.content_hash
+REUSED_SQL = f"""{_BASE_SQL},
+held AS (SELECT collection, documentId, id, {vector_sum_sql('document')} AS v FROM store WHERE {not_blank_sql('document')})
+SELECT c.collection, c.document_id, count(s.id) AS reused, CAST(coalesce(sum(s.v), 0) AS BIGINT) AS vector_sum, count(*) FILTER (WHERE s.id IS NULL) AS to_embed
+FROM chunks c LEFT JOIN held s ON s.collection = c.collection AND s.documentId = c.document_id AND s.id = c.content_hash
 GROUP BY ALL"""
 
 
@@ -132,18 +134,27 @@ def _flat(store: DataFrame) -> DataFrame:
                         "metadata.embeddingType", "metadata.chunkIndex", "metadata.uri")
 
 
-def _upsert(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Store state after the upsert, the difference, and the later chunks."""
-    store = _state(spark, folder)
-    chunks, diff = _chunks_and_diff(spark, folder, store)
+def _upsert(spark: SparkSession, folder: str) -> tuple[KnowledgeStore, DataFrame, DataFrame]:
+    """The store after the upsert of what is new, the difference, and the later chunks.
+
+    New addresses and changed documents are narrow tables: written, measured, and met by the
+    documents' rows before any text is cut.
+    """
+    store = knowledge_store(spark, store_rows_with_vectors(earlier_documents(spark, folder)))
+    chunks, diff = _chunks_and_diff(spark, folder, store.read())
     diff = checkpoint(diff)  # narrow, and read several times
-    unchanged = diff.filter(F.col("status") == changes.UNCHANGED)
-    fresh = materialised(without_ids(stored_state(later_documents(spark, folder)), unchanged))
-    return upserted(store, fresh), diff, chunks
+    new = diff.filter(F.col("status") == changes.NEW)
+    documents = later_documents(spark, folder)
+    touched = documents.join(broadcast_measured(new.select("collection", "document_id").distinct(), 80), ["collection", "document_id"], "left_semi")
+    cut = store_rows_with_vectors(touched).filter(F.col("metadata.embeddingType") == "chunk")
+    fresh = cut.join(broadcast_measured(new.select("collection", "id"), 120), ["collection", "id"], "left_semi")
+    summaries = store_rows_with_vectors(documents).filter(F.col("metadata.embeddingType") == "summary")
+    store.upsert(fresh.unionByName(summaries))
+    return store, diff, chunks
 
 
 def store_upsert_state(spark: SparkSession, folder: str) -> DataFrame:
-    return _flat(_upsert(spark, folder)[0])
+    return _flat(_upsert(spark, folder)[0].read())
 
 
 _UPSERT_SQL = f"""{_BASE_SQL},
@@ -157,12 +168,14 @@ STORE_UPSERT_SQL = f"{_UPSERT_SQL} SELECT {_FLAT_SQL} FROM upserted"
 
 def orphan_cleanup_state(spark: SparkSession, folder: str) -> DataFrame:
     """The store after upsert and clean-up: orphans, stale summaries and removed documents are gone."""
-    state, diff, chunks = _upsert(spark, folder)
+    store, diff, chunks = _upsert(spark, folder)
     doomed = changes.orphan_ids(diff).select("collection", "id").unionByName(
         changes.stale_summaries(chunks, changes.changed_documents(diff)).select("collection", "id")
     )
-    cleaned = without_documents(without_ids(state, doomed), changes.removed_documents(diff))
-    return _flat(cleaned)
+    store.delete_ids(doomed)
+    store.delete_documents(changes.removed_documents(diff))
+    store.compact()
+    return _flat(store.read())
 
 
 ORPHAN_CLEANUP_SQL = f"""{_UPSERT_SQL},
@@ -191,10 +204,14 @@ SELECT content_hash AS id, document_id || '-' || chunk_index AS plain_id, docume
        chunk_index AS chunkIndex, nullif(uri, '') AS uri FROM chunks"""
 
 
+def _earlier_store(spark: SparkSession, folder: str) -> KnowledgeStore:
+    return knowledge_store(spark, store_rows_with_vectors(earlier_documents(spark, folder)))
+
+
 def store_get_where(spark: SparkSession, folder: str) -> DataFrame:
     """Rows by metadata equality: the stored summaries, with their metadata only."""
-    store = stored_state(earlier_documents(spark, folder))
-    return _flat(store.filter(F.col("metadata.embeddingType") == "summary")).drop("document")
+    found = _earlier_store(spark, folder).get(None, where={"embeddingType": "summary"}, include=["metadata"])
+    return _flat(found.withColumn("document", F.lit(None))).drop("document")
 
 
 _OLD_SQL = f"WITH {EARLIER_SQL}, {chunks_sql('old_chunks', 'earlier')}, {store_sql('store', 'earlier', 'old_chunks')}"
@@ -205,9 +222,8 @@ FROM store WHERE embeddingType = 'summary'"""
 
 def store_get_ids(spark: SparkSession, folder: str) -> DataFrame:
     """Rows by id: what the store still holds of the later state's addresses."""
-    chunks, store = _later(spark, folder)[0], stored_state(earlier_documents(spark, folder))
-    ids = chunks.select("collection", F.col("content_hash").alias("id")).distinct()
-    return store.join(ids, ["collection", "id"], "left_semi").select("collection", "id", "document")
+    chunks = _later(spark, folder)[0]
+    return _earlier_store(spark, folder).get_rows(chunks.select("collection", F.col("content_hash").alias("id")), include=["document"])
 
 
 STORE_GET_IDS_SQL = f"""{_BASE_SQL}
@@ -215,8 +231,9 @@ SELECT collection, id, document FROM store WHERE (collection, id) IN (SELECT (co
 
 
 def store_delete_where(spark: SparkSession, folder: str) -> DataFrame:
-    store = stored_state(earlier_documents(spark, folder))
-    return _flat(store.filter(~F.coalesce(F.col("metadata.source") == "src3", F.lit(False)))).select("collection", "id", "source")
+    store = _earlier_store(spark, folder)
+    store.delete_where(None, source="src3")
+    return store.read().select("collection", "id", "metadata.source")
 
 
 STORE_DELETE_WHERE_SQL = f"{_OLD_SQL} SELECT collection, id, source FROM store WHERE source IS DISTINCT FROM 'src3'"
@@ -243,8 +260,13 @@ SELECT collection, id FROM store UNION SELECT collection, id FROM incoming"""
 
 
 def ingest_summary(spark: SparkSession, folder: str) -> DataFrame:
-    """Result row of a re-ingest per collection: processed, stored, skipped, deleted, success."""
+    """Result row of a re-ingest per collection: processed, stored, skipped, deleted, errors, success.
+
+    A new chunk without a vector is an error of its collection, as in :func:`plans.ingest.ingest`.
+    """
     documents = later_documents(spark, folder)
+    bare = documents.select("collection", F.explode(windows(F.col("content"))).alias("_c")).filter(content_vector(F.col("_c")).isNull())
+    problems = bare.groupBy("collection").agg(F.count("*").alias("errors"))
     chunks, diff = _chunks_and_diff(spark, folder)
     diff = checkpoint(diff)
     changed = changes.changed_documents(diff)
@@ -256,12 +278,12 @@ def ingest_summary(spark: SparkSession, folder: str) -> DataFrame:
     )
     stale = changes.stale_summaries(chunks, changed).groupBy("collection").agg(F.count("*").alias("stale"))
     processed = documents.groupBy("collection").agg(F.count("*").alias("documents_processed"))
-    return processed.join(tallied, "collection", "left").join(stale, "collection", "left").select(
+    return processed.join(tallied, "collection", "left").join(stale, "collection", "left").join(problems, "collection", "left").select(
         "collection", "documents_processed",
         F.coalesce("chunks_stored", F.lit(0)).alias("chunks_stored"),
         F.coalesce("chunks_skipped", F.lit(0)).alias("chunks_skipped"),
         (F.coalesce("orphans", F.lit(0)) + F.coalesce("stale", F.lit(0)) + F.coalesce("removed", F.lit(0))).alias("chunks_deleted"),
-        F.lit(True).alias("success"),
+        F.coalesce("errors", F.lit(0)).alias("errors"), (F.coalesce("errors", F.lit(0)) == 0).alias("success"),
     )
 
 
@@ -272,10 +294,12 @@ t AS (
   FROM diff GROUP BY 1),
 s AS (SELECT collection, count(*) AS n FROM counts WHERE n_chunks < {fixed.SUMMARY_MIN_CHUNKS}
         AND (collection, document_id) IN (SELECT (collection, document_id) FROM changed) GROUP BY 1),
+e AS (SELECT collection, count(*) AS errors FROM chunks WHERE NOT {not_blank_sql('content')} GROUP BY 1),
 p AS (SELECT collection, count(*) AS documents_processed FROM later GROUP BY 1)
 SELECT collection, documents_processed, CAST(coalesce(st, 0) AS BIGINT) AS chunks_stored, CAST(coalesce(sk, 0) AS BIGINT) AS chunks_skipped,
-       CAST(coalesce(o, 0) + coalesce(n, 0) + coalesce(r, 0) AS BIGINT) AS chunks_deleted, true AS success
-FROM p LEFT JOIN t USING (collection) LEFT JOIN s USING (collection)"""
+       CAST(coalesce(o, 0) + coalesce(n, 0) + coalesce(r, 0) AS BIGINT) AS chunks_deleted,
+       coalesce(errors, 0) AS errors, coalesce(errors, 0) = 0 AS success
+FROM p LEFT JOIN t USING (collection) LEFT JOIN s USING (collection) LEFT JOIN e USING (collection)"""
 
 QUERIES = {
     "change_detection": (change_detection, CHANGE_DETECTION_SQL),

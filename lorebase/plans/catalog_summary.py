@@ -166,18 +166,6 @@ grouped AS (SELECT collection AS key, group_no AS ix, string_agg(text, {SEP} ORD
 SELECT key AS collection, text AS summary FROM o3"""
 
 
-def overview_exists(spark: SparkSession, folder: str) -> DataFrame:
-    """Which collections hold a summary row: the test before an overview is skipped."""
-    chunks = hashed_chunks(earlier_documents(spark, folder))
-    have = changes.summary_candidates(chunks, None).select("collection").distinct().withColumn("has_summary", F.lit(True))
-    every = chunks.select("collection").distinct()
-    return every.join(have, "collection", "left").select("collection", F.coalesce("has_summary", F.lit(False)).alias("has_summary"))
-
-
-OVERVIEW_EXISTS_SQL = f"""WITH {EARLIER_SQL}, {chunks_sql('chunks', 'earlier')},
-n AS (SELECT collection, document_id, count(*) AS n FROM chunks GROUP BY ALL)
-SELECT collection, bool_or(n >= {fixed.SUMMARY_MIN_CHUNKS}) AS has_summary FROM n GROUP BY 1"""
-
 QUERIES = {
     "map_reduce_digest": (map_reduce_digest, _DIGESTED + _SUMMARY_SELECT),
     "map_reduce_concat": (map_reduce_concat, _CONCATENATED + _SUMMARY_SELECT),
@@ -186,5 +174,4 @@ QUERIES = {
     "bok_packing": (bok_packing, BOK_PACKING_SQL),
     "bok_rounds_saved": (bok_rounds_saved, BOK_ROUNDS_SQL),
     "bok_overview": (bok_overview, BOK_OVERVIEW_SQL),
-    "overview_exists": (overview_exists, OVERVIEW_EXISTS_SQL),
 }

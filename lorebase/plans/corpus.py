@@ -15,9 +15,9 @@ from lorebase import fixed
 from lorebase.functions.hashing import chunk_hash
 from lorebase.functions.models import hashed_embedding
 from lorebase.functions.splitting import window_at, window_chunks, window_count
-from lorebase.functions.text import let, single_spaced
-from lorebase.session import materialised
-from lorebase.sources.store import metadata_struct
+from lorebase.functions.text import is_blank, let, single_spaced
+from lorebase.session import materialised, scratch_folder
+from lorebase.sources.store import ROW, KnowledgeStore, metadata_struct
 from lorebase.sources.tables import table
 
 CHUNK, OVERLAP = fixed.WEBSITE_CHUNK
@@ -118,6 +118,28 @@ def stored_state(documents: DataFrame) -> DataFrame:
     return rows.unionByName(summaries)
 
 
+def content_vector(content: Column) -> Column:
+    """Eight whole numbers from a text's hash, as floats: the vectors of the store queries, which SQL can check.
+
+    A blank text gets none, as from a model that has nothing to embed.
+    """
+    pair = lambda h, i: F.conv(F.substr(h, i * 2 + 1, F.lit(2)), 16, 10).cast("float")
+    return F.when(~is_blank(content), let(F.sha2(content, 256), lambda h: F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: pair(h, i))))
+
+
+def store_rows_with_vectors(documents: DataFrame) -> DataFrame:
+    """:func:`stored_state` with vectors, without rows that have none."""
+    rows = stored_state(documents).withColumn("embedding", content_vector(F.col("document")))
+    return rows.filter(F.col("embedding").isNotNull()).select(*ROW.names)
+
+
+def knowledge_store(spark: SparkSession, rows: DataFrame) -> KnowledgeStore:
+    """A new store in the shared folder that holds the rows."""
+    store = KnowledgeStore(spark, scratch_folder(spark, "store"))
+    store.upsert(rows)
+    return store
+
+
 def vector_store(spark: SparkSession, folder: str, single: bool = False) -> DataFrame:
     """Embedded chunks of all documents, one collection per language or a single one.
 
@@ -192,6 +214,17 @@ def store_sql(name: str, documents: str, chunks: str) -> str:
     (SELECT (collection, document_id) FROM {chunks} GROUP BY collection, document_id HAVING count(*) >= {fixed.SUMMARY_MIN_CHUNKS}))"""
 
 
+def vector_sum_sql(content: str) -> str:
+    """Sum of a content vector; null for a blank text."""
+    digit = "(instr('0123456789abcdef', substr(sha256({c}), {i}, 1)) - 1)"
+    parts = " + ".join(f"{digit.format(c=content, i=i)} * {16 if i % 2 else 1}" for i in range(1, 17))
+    return f"CASE WHEN {not_blank_sql(content)} THEN {parts} END"
+
+
+def not_blank_sql(column: str) -> str:
+    return f"regexp_replace({column}, '{fixed.WS_RE2}+', '', 'g') <> ''"
+
+
 def slots_sql(name: str, source: str, key: str, text: str) -> str:
     """Token counts per slot: the hashed embedding in long form."""
     nibble = "(instr('0123456789abcdef', substr(md5(token), {i}, 1)) - 1)"

@@ -75,13 +75,19 @@ def materialised(df: DataFrame) -> DataFrame:
     read by column and with pushed filters. The files go when the application ends.
     """
     spark = df.sparkSession
-    path = f"{_shared_folder(spark)}/table-{uuid.uuid4().hex}"
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    path = scratch_folder(spark, "table")
     df.write.parquet(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def scratch_folder(spark: SparkSession, purpose: str) -> str:
+    """A new path in the shared folder, for a table or store that a query builds; it goes when the application ends."""
+    path = f"{_shared_folder(spark)}/{purpose}-{uuid.uuid4().hex}"
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return path
+
+
 def broadcast_limit(spark: SparkSession) -> int:
     """Bytes up to which the session broadcasts; -1 for never."""
     return spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()

@@ -26,6 +26,7 @@ import json
 import uuid
 from urllib.parse import unquote
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -55,6 +56,7 @@ ROW = T.StructType([
 DELTA = T.StructType([*ROW, T.StructField("_deleted", T.BooleanType()), T.StructField("_commit", T.LongType())])
 #: Equality filters on this many values are pushed to the files.
 PUSHED_VALUES = 10
+NO_EMBEDDING = "precomputed embeddings are required"
 
 
 def metadata_struct() -> Column:
@@ -265,13 +267,17 @@ class KnowledgeStore:
         return version
 
     def upsert(self, rows: DataFrame, batch: tuple[str, int] | None = None) -> int:
-        """Insert or replace by id, one row an id; ``rows`` should be materialised, as they are read several times.
+        """Insert or replace by id, one row an id. A row without a vector fails the whole change.
 
         ``batch`` is a stream's name and batch number; a number not above the stream's last one is refused.
         """
-        if not rows.filter(F.col("embedding").isNull()).isEmpty():
-            raise ValueError("precomputed embeddings are required")
-        return self._commit(rows.select(*ROW.names, F.lit(False).alias("_deleted")), batch)
+        required = F.coalesce("embedding", F.raise_error(F.lit(NO_EMBEDDING)).cast("array<float>")).alias("embedding")
+        try:
+            return self._commit(rows.select(*[c for c in ROW.names if c != "embedding"], required, F.lit(False).alias("_deleted")), batch)
+        except PySparkException as error:
+            if NO_EMBEDDING in str(error):
+                raise ValueError(NO_EMBEDDING) from error
+            raise
 
     def _tombstones(self, doomed: DataFrame) -> int:
         empty = [F.lit(None).cast(f.dataType).alias(f.name) for f in ROW if f.name not in ("collection", "id")]
