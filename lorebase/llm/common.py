@@ -5,7 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -30,14 +31,45 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, purpose: str) -> DataFrame:
+#: Tables written by the steps at work, innermost last.
+_steps: list[list[DataFrame]] = []
+
+
+def written(df: DataFrame, purpose: str, outlasts: bool = False) -> DataFrame:
     """The table written as Parquet to the shared folder and read again.
 
-    It cuts the lineage, so that a lost executor costs a read and not the work before it.
+    It cuts the lineage, so that a lost executor costs a read and not the work before it. The
+    files go when the step ends that wrote them (:func:`step`; ``outlasts``: the step around
+    it), else when the application ends.
     """
-    path = shared_folder(df.sparkSession, purpose)
+    spark = df.sparkSession
+    path = shared_folder(spark, purpose)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.written_to = path
+    around = _steps[: len(_steps) - outlasts]
+    if around:
+        around[-1].append(table)
+    return table
+
+
+def discard(table: DataFrame) -> None:
+    """Delete the files of a written table whose successor is written."""
+    target = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table.written_to)
+    target.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@contextmanager
+def step() -> Iterator[None]:
+    """Tables written inside are deleted at the end, but for those that outlast it."""
+    _steps.append([])
+    try:
+        yield
+    finally:
+        for table in _steps.pop():
+            discard(table)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

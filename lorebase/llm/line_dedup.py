@@ -14,9 +14,8 @@ limit. Two lines of a leaf that agree in four fifths of their places are linked,
 other lines have there, and the lines that links connect have one template. A line of
 under ``MIN_TOKENS`` tokens has no room for a field; its template is the line itself.
 
-Links are found without a row for each pair (:func:`line_links`): where every line of a
-group agrees with its first, links to that one are enough; other large groups are cut by
-the blocks of places that two linked lines must share, and small ones compared in full.
+Links are found without a row for each pair (:func:`line_links`): lines gather around a few
+hubs, and only what lies around different hubs, or around none, is compared further.
 
 Line counts, leaves and templates are kept as hashes in one narrow table; the text of a
 line is read again only in leaves with different lines.
@@ -28,10 +27,12 @@ through unchanged, in :func:`drop_lines`. An empty table gives an empty result.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lorebase.llm.common import BLANKS, BROADCAST_BYTES, let, measured, text_of, written
+from lorebase.llm.common import BLANKS, BROADCAST_BYTES, let, measured, step, text_of, written
 from lorebase.llm.simhash import components
 
 DEPTH = 3
@@ -41,6 +42,10 @@ SHARE_FIXED = 0.8
 FIELD = "<*>"
 #: Lines compared with each other in one row.
 CELL = 32
+#: Lines of a leaf beyond which it is dealt by blocks of places.
+LARGE = 4096
+#: Lines that gather others around them, in a group and round.
+HUBS, ROUNDS = 8, 4
 
 
 def _tokens(line: Column) -> Column:
@@ -68,62 +73,106 @@ def _apart(a: Column, b: Column) -> Column:
     return F.size(F.filter(F.zip_with(a, b, lambda x, y: x != y), lambda differs: differs))
 
 
-def _cells(groups: DataFrame) -> DataFrame:
-    """a, b: all links of groups (_group, _whole, _h, _d, _slices), each pair of slices in a row of its own."""
-    own = F.pmod(F.xxhash64("_whole"), F.col("_slices")).cast("int")
-    other = F.when(F.col("_slices") > 1, F.sequence(F.lit(0), F.col("_slices") - 1)).otherwise(F.array(F.lit(0)))
-    dealt = groups.withColumn("_own", own).withColumn("_other", F.explode(other))
-    rows = dealt.groupBy("_group", F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"))
-    cells = rows.agg(F.sort_array(F.collect_list(F.struct("_whole", "_h"))).alias("_l"), F.first("_d").alias("_d")).filter(F.size("_l") > 1)
-    near = lambda x, i: F.filter(F.slice("_l", F.lit(1), i), lambda y: _apart(x["_h"], y["_h"]) <= F.col("_d"))
-    pairs = F.transform("_l", lambda x, i: F.transform(near(x, i), lambda y: F.struct(y["_whole"].alias("a"), x["_whole"].alias("b"))))
-    return cells.select(F.explode(F.flatten(pairs)).alias("e")).select("e.*")
+def _near(x: Column, y: Column) -> Column:
+    return _apart(x["_h"], y["_h"]) <= F.col("_d")
+
+
+def _forest(lines: Column) -> Column:
+    """Links (a, b) that connect the lines of one array as all their near pairs do: one for each line at most."""
+
+    def label(labels: Column, i: Column) -> Column:
+        line = F.get(lines, i)
+        near = F.transform(F.filter(F.arrays_zip(F.slice(lines, F.lit(1), i).alias("l"), labels.alias("n")), lambda e: _near(e["l"], line)), lambda e: e["n"])
+        joined = lambda found: F.concat(F.transform(labels, lambda n: F.when(F.array_contains(found, n), F.array_min(found)).otherwise(n)), F.array(F.array_min(found)))
+        return let(near, lambda found: F.when(F.size(found) == 0, F.concat(labels, F.array(i))).otherwise(joined(found)))
+
+    labels = F.aggregate(F.sequence(F.lit(0), F.size(lines) - 1), F.array().cast("array<int>"), label)
+    links = lambda every: F.transform(every, lambda n, i: F.struct(F.get(lines, n)["_whole"].alias("a"), F.get(lines, i)["_whole"].alias("b")))
+    return F.filter(let(labels, links), lambda e: e["a"] != e["b"])
+
 
+def _dealt(lines: DataFrame) -> DataFrame:
+    """Lines of very large groups by blocks of places: two near lines agree in one of ``_d`` + 1 blocks."""
+    places = F.sequence(F.lit(DEPTH), F.size("_h") - 1)
+    blocks = F.transform(F.sequence(F.lit(0), F.col("_d")), lambda b: F.filter(places, lambda p: F.pmod(p, F.col("_d") + 1) == b))
+    rows = lines.select("*", F.posexplode(blocks).alias("_block", "_places"))
+    shared = F.transform("_places", lambda p: F.get("_h", p))
+    return rows.select(F.xxhash64("_group", "_block", shared).alias("_group"), "_whole", "_h", "_d")
 
-def line_links(distinct: DataFrame, cell: int = CELL) -> DataFrame:
+
+def _starred(wide: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Lines (_group, _whole, _h, _d, _n) with the hub that took them (_star, null for the rest), and the links (a, b) to hubs.
+
+    In a round some HUBS lines of each group, picked by their hash, take the lines near them.
+    """
+    rest, stars = wide, []
+    for turn in range(ROUNDS):
+        picked = rest.filter(F.pmod(F.xxhash64("_whole", F.lit(turn)), F.col("_n")) < HUBS)
+        hubs = picked.groupBy("_group").agg(F.sort_array(F.collect_list(F.struct("_whole", "_h"))).alias("_hubs"))
+        met = rest.join(measured(written(hubs, "line-hubs"), 4096), "_group", "left")
+        near = F.transform(F.filter(F.coalesce("_hubs", F.array()), lambda hub: _near(hub, F.struct("_h"))), lambda hub: hub["_whole"])
+        marked = written(met.withColumn("_near", near).drop("_hubs"), "line-stars")
+        stars.append(marked.filter(F.size("_near") > 0))
+        rest = marked.filter(F.size("_near") == 0).drop("_near")
+        if rest.isEmpty():
+            break
+    taken = reduce(DataFrame.union, stars)
+    links = taken.select(F.explode("_near").alias("a"), F.col("_whole").alias("b")).filter("a <> b")
+    labelled = taken.withColumn("_star", F.get("_near", F.lit(0))).drop("_near").union(rest.withColumn("_star", F.lit(None).cast("bigint")))
+    return labelled, links
+
+
+def _across(labelled: DataFrame, cell: int) -> DataFrame:
+    """a, b: links between lines of one group and different stars, and inside the rest.
+
+    Slices of ``cell`` lines meet in pairs. A star's lines are connected already, so a pair of
+    slices of stars gives one link at most, a slice of the rest one for each of its lines.
+    """
+    counts = measured(written(labelled.groupBy("_group", "_star").agg(F.count("*").alias("_m")), "line-sizes"), 32)
+    same = (labelled["_group"] == counts["_group"]) & labelled["_star"].eqNullSafe(counts["_star"])
+    sized = labelled.join(counts, same).select(labelled["_group"], labelled["_star"], "_whole", "_h", "_d", "_m")
+    part = F.pmod(F.xxhash64("_whole", F.lit("slice")), F.ceil(F.col("_m") / cell)).cast("int")
+    slices = sized.groupBy("_group", "_star", part.alias("_part")).agg(F.collect_list(F.struct("_whole", "_h")).alias("_l"), F.first("_d").alias("_d"))
+    several = counts.groupBy("_group").agg(F.count("*").alias("k"), F.count_if(F.col("_star").isNull()).alias("r")).filter("k > 1 OR r > 0").select("_group")
+    slices = written(slices.join(measured(several, 8), "_group", "left_semi"), "line-slices")
+    inside = slices.filter("_star IS NULL").select(F.explode(_forest(F.col("_l"))).alias("e")).select("e.*")
+    one = slices.select("_group", F.col("_star").alias("_s"), "_part", "_l", "_d")
+    two = slices.select("_group", F.col("_star").alias("_t"), F.col("_part").alias("_q"), F.col("_l").alias("_k"))
+    # The rest comes first, so that it is on the left of every pair that has any.
+    pairs = one.join(two, "_group").filter("(_s IS NULL AND (_t IS NOT NULL OR _part < _q)) OR (_s < _t)")
+    hit = F.filter(F.transform("_l", lambda x: F.struct(x["_whole"].alias("b"), F.get(F.filter("_k", lambda y: _near(x, y)), F.lit(0))["_whole"].alias("a"))), lambda e: e["a"].isNotNull())
+    found = F.when(F.col("_t").isNull(), F.transform(_forest(F.concat("_l", "_k")), lambda e: F.struct(e["b"].alias("b"), e["a"].alias("a"))))
+    found = found.otherwise(F.when(F.col("_s").isNull(), hit).otherwise(F.slice(hit, 1, 1)))
+    return inside.union(pairs.select(F.explode(found).alias("e")).select("e.a", "e.b"))
+
+
+def line_links(distinct: DataFrame, cell: int = CELL, large: int = LARGE) -> DataFrame:
     """a, b: links between the lines (_leaf, _whole, _tokens) whose components are those of all linked pairs of a leaf.
 
-    Lines link if at most ``_d`` places differ. A group of more than ``cell`` lines is first
-    compared with its line of smallest hash. Lines within ``_d`` of that one are done if no
-    line is from ``_d`` to twice ``_d`` away, as all others are too far from them. The rest
-    is compared in slices, or, where that takes more copies of a line, dealt by ``_d`` + 1
-    blocks of the open places: two linked lines agree in one of them. In time at most
-    ``_d`` places are open, and then all of a group link to its first line.
+    Lines link if at most ``_d`` places differ. A group of ``cell`` lines is compared in one
+    row. In a larger one lines gather around hubs first, then slices of different stars and
+    of the rest are compared; lines of one star never are. A group of over ``large`` lines is
+    dealt once, by the blocks of places that two near lines must share.
     """
-    places = F.sequence(F.lit(DEPTH), F.size("_tokens") - 1)
     groups = distinct.filter(F.size("_tokens") >= MIN_TOKENS).select(
         F.col("_leaf").alias("_group"), "_whole", F.transform("_tokens", lambda t: F.xxhash64(t)).alias("_h"),
-        F.floor(F.size("_tokens") * F.lit(1 - SHARE_FIXED) + F.lit(1e-9)).cast("int").alias("_d"), places.alias("_open"),
+        F.floor(F.size("_tokens") * F.lit(1 - SHARE_FIXED) + F.lit(1e-9)).cast("int").alias("_d"),
     )
-    groups = written(groups, "line-groups")
-    sizes = measured(written(groups.groupBy("_group").agg(F.count("*").alias("_n")).filter("_n > 1"), "line-sizes"), 16)
-    sized = groups.join(sizes, "_group")
-    found = _cells(sized.filter(F.col("_n") <= cell).withColumn("_slices", F.lit(1)))
-    large = written(sized.filter(F.col("_n") > cell).drop("_n"), "line-groups")
-    while not large.isEmpty():
-        first = large.groupBy("_group").agg(F.min(F.struct("_whole", "_h")).alias("_first"))
-        far = large.join(first, "_group").withColumn("_apart", _apart(F.col("_h"), F.col("_first._h")))
-        far = written(far.withColumn("_hub", F.col("_first._whole")).drop("_first"), "line-groups")
-        found = found.union(far.filter("_apart <= _d AND _whole <> _hub").select(F.col("_hub").alias("a"), F.col("_whole").alias("b")))
-        over, middle = F.col("_apart") > F.col("_d"), F.col("_apart").between(F.col("_d") + 1, 2 * F.col("_d"))
-        state = far.groupBy("_group").agg(F.count("*").alias("_all"), F.count_if(over).alias("_over"), F.count_if(middle).alias("_middle")).filter("_over > 0")
-        state = measured(written(state, "line-sizes"), 40)
-        rest = far.join(state, "_group").filter(over | (F.col("_middle") > 0)).drop("_apart", "_hub")
-        n = F.when(F.col("_middle") > 0, F.col("_all")).otherwise(F.col("_over"))
-        rest = written(rest.withColumn("_slices", F.ceil(n / cell).cast("int")).drop("_all", "_over", "_middle"), "line-groups")
-        found = found.union(_cells(rest.filter("_slices <= _d + 1")))
-        blocks = F.transform(F.sequence(F.lit(0), F.col("_d")), lambda b: F.filter("_open", lambda p, i: F.pmod(i, F.col("_d") + 1) == b))
-        dealt = rest.filter("_slices > _d + 1").select("*", F.posexplode(blocks).alias("_block", "_places"))
-        shared = F.transform("_places", lambda p: F.get("_h", p))
-        dealt = dealt.select(
-            F.xxhash64("_group", "_block", shared).alias("_group"), "_whole", "_h", "_d", F.array_except("_open", "_places").alias("_open")
-        )
-        dealt = written(dealt, "line-groups")
-        sizes = measured(written(dealt.groupBy("_group").agg(F.count("*").alias("_n")).filter("_n > 1"), "line-sizes"), 16)
-        sized = dealt.join(sizes, "_group")
-        found = found.union(_cells(sized.filter(F.col("_n") <= cell).withColumn("_slices", F.lit(1))))
-        large = written(sized.filter(F.col("_n") > cell).drop("_n"), "line-groups")
-    return found
+
+    def sized(lines: DataFrame) -> DataFrame:
+        sizes = written(lines.groupBy("_group").agg(F.count("*").alias("_n")).filter("_n > 1"), "line-sizes")
+        return lines.join(measured(sizes, 16), "_group")
+
+    groups = written(sized(groups), "line-groups")
+    again = written(sized(_dealt(groups.filter(F.col("_n") > large))), "line-groups")
+    groups = groups.filter(F.col("_n") <= large).unionByName(again)
+    rows = groups.filter(F.col("_n") <= cell).groupBy("_group").agg(F.collect_list(F.struct("_whole", "_h")).alias("_l"), F.first("_d").alias("_d"))
+    found = rows.select(F.explode(_forest(F.col("_l"))).alias("e")).select("e.*")
+    wide = groups.filter(F.col("_n") > cell)
+    if wide.isEmpty():
+        return found
+    labelled, links = _starred(wide)
+    return found.union(links).union(_across(labelled, cell))
 
 
 def linked_templates(docs: DataFrame) -> DataFrame:
@@ -180,7 +229,8 @@ def drop_lines(docs: DataFrame, min_docs: int = MIN_DOCS, linked: bool = False)
 
     Columns of those names in the input are replaced.
     """
-    drops = written(recurring_lines(docs, min_docs, linked), "line-drops")
+    with step():
+        drops = written(recurring_lines(docs, min_docs, linked), "line-drops", outlasts=True)
     size = drops.agg(F.coalesce(F.sum(F.size("_drop") * 4 + 40), F.lit(0))).first()[0]
     drops = F.broadcast(drops) if size <= BROADCAST_BYTES else drops
     rows = docs.select(F.struct("*").alias("_row"), "text", F.xxhash64("doc_id", "text").alias("_doc")).join(drops, "_doc", "left")

@@ -7,9 +7,8 @@ about one in a million. Fingerprints at few differing bits alone find few such p
 
 Equal sets are one node. The nodes of a band, or of a component of fingerprints, make a
 candidate cluster; clusters that share a node are one. Sets are read again only for
-clusters of several nodes, once for each node. Within a cluster all nodes are compared
-until they are connected; a cluster of over ``CELL_BYTES`` is cut into slices, and every
-pair of slices is compared in its own task. A document's component is that of all links.
+clusters of several nodes, once for each node. Links inside a cluster are found without
+comparing all its pairs (:mod:`set_links`). A document's component is that of all links.
 
 Nulls: a null text counts as empty, and all texts without words are one node. A text of
 fewer words than a shingle is one shingle. Repeated rows give repeated results. Other
@@ -27,11 +26,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorebase.llm.common import measured, text_of, written
-from lorebase.llm.simhash import _BYTE_BITS, _LOWER, choose_code, components, near_links, partitions_for
+from lorebase.llm.common import measured, step, text_of, written
+from lorebase.llm.set_links import CELL_BYTES, verified
+from lorebase.llm.simhash import _BYTE_BITS, _LOWER, choose_code, components, near_links
 
 WIDTH, SIMILARITY, MISS, ROWS = 5, 0.8, 1e-6, 4
-CELL_BYTES = 16 << 20
 #: Shingles hashed together.
 STRETCH = 2048
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -122,67 +121,22 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("cluster", "node", "text").mapInArrow(run, "cluster bigint, node bigint, shingles binary")
 
 
-def linked(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
-    """A forest over the positions of ``sets`` whose components are those of all links."""
-    sizes = np.array([len(s) for s in sets])
-    rest = np.arange(len(sets))
-    found: list[tuple[int, int]] = []
-    every = np.concatenate(sets) if sets else np.empty(0, np.uint64)
-    owner = np.repeat(np.arange(len(sets)), sizes)
-    waiting: list[int] = []
-    while len(rest):
-        if not waiting:
-            waiting, rest = [int(rest[0])], rest[1:]
-            continue
-        x = waiting.pop()
-        own = sets[x]
-        if len(own):
-            at = np.minimum(np.searchsorted(own, every), len(own) - 1)
-            common = np.bincount(owner[own[at] == every], minlength=len(sets))[rest]
-        else:
-            common = np.zeros(len(rest), np.int64)
-        close = common >= similarity * (sizes[rest] + len(own) - common) - 1e-9
-        if close.any():
-            near = rest[close].tolist()
-            found += [(x, y) for y in near]
-            waiting += near
-            rest = rest[~close]
-            left = np.isin(owner, rest)
-            every, owner = every[left], owner[left]
-    return found
-
-
-def _verified(sets: DataFrame, similarity: float, cell_bytes: int) -> DataFrame:
-    """a, b: links whose components are those of all links of each cluster (cluster, node, shingles)."""
-    size = sets.groupBy("cluster").agg(F.sum(F.octet_length("shingles") + 32).alias("_bytes"), F.count("*").alias("_n")).filter("_n > 1")
-    size = measured(written(size.select("cluster", F.ceil(F.col("_bytes") / cell_bytes).cast("int").alias("_slices")), "set-clusters"), 16)
-    dealt = sets.join(size, "cluster").withColumn("_own", F.pmod(F.xxhash64("node"), F.col("_slices")).cast("int"))
-    # With several slices a cell is a pair of different ones; the pairs of equal ones are within them.
-    other = F.when(F.col("_slices") > 1, F.array_remove(F.sequence(F.lit(0), F.col("_slices") - 1), F.col("_own"))).otherwise(F.array(F.lit(0)))
-    dealt = dealt.withColumn("_other", F.explode(other))
-    cell = F.xxhash64("cluster", F.least("_own", "_other"), F.greatest("_own", "_other"))
-    cells = dealt.select(cell.alias("_cell"), "node", "shingles").repartition(partitions_for(sets), "_cell").sortWithinPartitions("_cell", "node")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, nodes, own = None, [], []
-
-        def out() -> pa.RecordBatch:
-            links = linked(own, similarity)
-            a, b = ([nodes[x[side]] for x in links] for side in (0, 1))
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-        for batch in batches:
-            for row in range(batch.num_rows):
-                if (now := batch.column(0)[row].as_py()) != key:
-                    if len(nodes) > 1:
-                        yield out()
-                    key, nodes, own = now, [], []
-                nodes.append(batch.column(1)[row].as_py())
-                own.append(np.frombuffer(batch.column(2)[row].as_py(), np.uint64))
-        if len(nodes) > 1:
-            yield out()
-
-    return cells.mapInArrow(run, "a bigint, b bigint")
+def _links(docs: DataFrame, nodes: DataFrame, width: int, similarity: float, cell_bytes: int) -> DataFrame:
+    """node, root: the components of all links between nodes."""
+    with step():
+        prints = written(nodes.select("fp").distinct(), "prints")
+        rooted = components(near_links(prints, choose_code(prints.count())))
+        grouped = nodes.select("node", "fp").join(rooted, nodes["fp"] == rooted["node"], "left").select(nodes["node"], F.lit(-1).alias("_band"), F.coalesce("root", "fp").alias("_key"))
+        banded = nodes.select("node", F.posexplode("bands").alias("_band", "_key"))
+        keyed = written(banded.union(grouped), "bands")
+        hubs = written(keyed.groupBy("_band", "_key").agg(F.min("node").alias("a"), F.max("node").alias("_last")).filter("a < _last").drop("_last"), "hubs")
+        found = keyed.join(measured(hubs, 24), ["_band", "_key"]).filter("a <> node").select("a", F.col("node").alias("b"))
+        clusters = written(components(found), "clusters")
+        both = clusters.select("node", F.col("root").alias("cluster")).union(clusters.select(F.col("root").alias("node"), F.col("root").alias("cluster")).distinct())
+        wanted = written(both.join(nodes.select("node", "_text"), "node"), "wanted")
+        texts = docs.select(F.xxhash64("text").alias("_text"), text_of().alias("text")).join(measured(wanted, 32), "_text")
+        sets = written(_sets(texts, width).groupBy("cluster", "node").agg(F.first("shingles").alias("shingles")), "sets")
+        return written(components(verified(sets, round(100 * similarity), cell_bytes)), "components", outlasts=True)
 
 
 def near_sets(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY, cell_bytes: int = CELL_BYTES) -> DataFrame:
@@ -192,19 +146,7 @@ def near_sets(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARIT
         marked.groupBy("node").agg(F.min("_text").alias("_text"), F.min("doc_id").alias("least"), F.count("*").alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands")),
         "nodes",
     )
-    prints = written(nodes.select("fp").distinct(), "prints")
-    rooted = components(near_links(prints, choose_code(prints.count())))
-    grouped = nodes.select("node", "fp").join(rooted, nodes["fp"] == rooted["node"], "left").select(nodes["node"], F.lit(-1).alias("_band"), F.coalesce("root", "fp").alias("_key"))
-    banded = nodes.select("node", F.posexplode("bands").alias("_band", "_key"))
-    keyed = written(banded.union(grouped), "bands")
-    hubs = written(keyed.groupBy("_band", "_key").agg(F.min("node").alias("a"), F.max("node").alias("_last")).filter("a < _last").drop("_last"), "hubs")
-    found = keyed.join(measured(hubs, 24), ["_band", "_key"]).filter("a <> node").select("a", F.col("node").alias("b"))
-    clusters = written(components(found), "clusters")
-    both = clusters.select("node", F.col("root").alias("cluster")).union(clusters.select(F.col("root").alias("node"), F.col("root").alias("cluster")).distinct())
-    wanted = written(both.join(nodes.select("node", "_text"), "node"), "wanted")
-    texts = docs.select(F.xxhash64("text").alias("_text"), text_of().alias("text")).join(measured(wanted, 32), "_text")
-    sets = written(_sets(texts, width).groupBy("cluster", "node").agg(F.first("shingles").alias("shingles")), "sets")
-    links = measured(written(components(_verified(sets, similarity, cell_bytes)), "components"), 16)
+    links = measured(_links(docs, nodes, width, similarity, cell_bytes), 16)
     rooted = nodes.select(F.col("node").alias("_node"), "least", "n").join(links, F.col("_node") == F.col("node"), "left")
     rooted = rooted.select("_node", "least", "n", F.coalesce("root", "_node").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("n").alias("component_size"))

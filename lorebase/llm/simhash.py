@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorebase.llm.common import hot_slices, measured, written
+from lorebase.llm.common import discard, hot_slices, measured, written
 
 LIMIT = 4
 SHINGLE = 4
@@ -270,7 +270,8 @@ def components(edges: DataFrame) -> DataFrame:
         down = large.select(F.col("b").alias("u"), F.col("a").alias("v"))
         least = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(least, "u").select(F.explode(F.array(F.struct(F.col("m").alias("a"), F.col("v").alias("b")), F.struct(F.col("m").alias("a"), F.col("u").alias("b")))).alias("e"))
-        edges = written(small.select("e.*").filter("a <> b").distinct(), "links")
+        before, edges = edges, written(small.select("e.*").filter("a <> b").distinct(), "links")
+        discard(before)
         now = mark(edges)
         if now == seen:
             break
