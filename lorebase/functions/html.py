@@ -134,3 +134,69 @@ def extract_text(pages: pd.Series) -> pd.Series:
 @arrow_function(T.StringType())
 def extract_title(pages: pd.Series) -> pd.Series:
     return pages.map(page_title, na_action="ignore")
+
+
+class _Numbers(HTMLParser):
+    """Numbers the starts and the ends of elements in one pass, and where the text pieces lie between them."""
+
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.elements: list[list] = []  # pre, post, tag, removed by itself
+        self.pieces: list[dict] = []
+        self.open: list[list] = []
+        self.ends, self.raw = 0, False
+
+    def _close(self, depth: int) -> None:
+        while len(self.open) > depth:
+            self.ends += 1
+            self.open.pop()[1] = self.ends
+
+    def handle_starttag(self, tag, attrs):
+        if tag in _UNSEEN:
+            self.raw = tag != "template"
+        elif tag not in _VOID:
+            marked = any(name in ("class", "id") and value and _ATTR.search(value) for name, value in attrs)
+            self.elements.append([len(self.elements) + 1, 0, tag, bool(marked or tag in _STRIPPED)])
+            self.open.append(self.elements[-1])
+
+    def handle_startendtag(self, tag, attrs):
+        pass
+
+    def handle_endtag(self, tag):
+        self.raw = False
+        for depth in range(len(self.open) - 1, -1, -1):
+            if self.open[depth][2] == tag:
+                return self._close(depth)
+
+    def handle_data(self, data):
+        piece = data.strip()
+        if piece and not self.raw:
+            self.pieces.append({"starts": len(self.elements), "ends": self.ends, "text": piece})
+
+    def close(self) -> None:
+        super().close()
+        self._close(0)
+
+
+OUTLINE = T.StructType([
+    T.StructField("elements", T.ArrayType(T.StructType([
+        T.StructField("pre", T.IntegerType()), T.StructField("post", T.IntegerType()), T.StructField("tag", T.StringType()), T.StructField("own", T.BooleanType()),
+    ]))),
+    T.StructField("pieces", T.ArrayType(T.StructType([
+        T.StructField("starts", T.IntegerType()), T.StructField("ends", T.IntegerType()), T.StructField("text", T.StringType()),
+    ]))),
+])
+
+
+def page_outline(html: str | None) -> dict:
+    parser = _Numbers()
+    parser.feed(html or "")
+    parser.close()
+    names = ("pre", "post", "tag", "own")
+    return {"elements": [dict(zip(names, e, strict=True)) for e in parser.elements], "pieces": parser.pieces}
+
+
+@arrow_function(OUTLINE)
+def outline(pages: pd.Series) -> pd.DataFrame:
+    found = [page_outline(page) for page in pages]
+    return pd.DataFrame({"elements": [f["elements"] for f in found], "pieces": [f["pieces"] for f in found]})

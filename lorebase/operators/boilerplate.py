@@ -53,7 +53,8 @@ def without_boilerplate(
     The keys are written and measured. While they are small, the list of a site's keys
     meets the page rows as a broadcast and the paragraphs are filtered inside the row, so
     that no text is shuffled. Beyond the session's broadcast limit, paragraphs become rows
-    and an anti-join drops the recurring ones.
+    with a key of their page's row, and an anti-join drops the recurring ones. Both ways give
+    a row for every row, also where rows share site and page_id or are repeated.
     """
     keys = checkpoint(boilerplate_keys(pages, threshold, min_pages, separator).select("site", "key"))
     size = keys.agg(F.coalesce(F.sum(F.octet_length("site") + F.octet_length("key") + 64), F.lit(0))).first()[0]
@@ -66,8 +67,14 @@ def without_boilerplate(
         # a generator: a filter is not pushed through it, which would compute the text twice
         once = marked.select("site", "page_id", F.explode(F.array(whole)).alias("content"))
         return once.filter(~is_blank(F.col("content")))
-    kept = paragraphs(pages, separator).join(keys, ["site", "key"], "left_anti")
-    cleaned = kept.groupBy("site", "page_id").agg(
-        ordered_lines(F.col("pos"), F.col("paragraph"), separator).alias("content")
+    row = F.xxhash64("site", "page_id", "content")
+    parts = F.posexplode(F.split("content", separator.replace("\n", r"\n"), -1)).alias("pos", "paragraph")
+    rows = pages.select("site", "page_id", row.alias("_row"), parts).withColumn("key", folded(F.col("paragraph")))
+    kept = rows.join(keys, ["site", "key"], "left_anti").groupBy("site", "page_id", "_row", "pos").agg(
+        F.first("paragraph").alias("paragraph"), F.count("*").alias("_copies")
     )
-    return cleaned.filter(~is_blank(F.col("content")))
+    cleaned = kept.groupBy("site", "page_id", "_row").agg(
+        ordered_lines(F.col("pos"), F.col("paragraph"), separator).alias("content"), F.max("_copies").cast("int").alias("_copies")
+    )
+    each = cleaned.filter(~is_blank(F.col("content"))).select("site", "page_id", "content", F.explode(F.sequence(F.lit(1), "_copies")))
+    return each.select("site", "page_id", "content")

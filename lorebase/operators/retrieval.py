@@ -7,14 +7,22 @@ from pyspark.sql import functions as F
 
 from lorebase import fixed
 from lorebase.functions.text import ordered_lines
+from lorebase.session import broadcast_limit, broadcast_measured, materialised
 
 
 def with_documents(neighbours: DataFrame, store: DataFrame) -> DataFrame:
-    """Fetch text and metadata for the winners only, on their ids."""
-    payload = store.select(
-        F.col("collection"), F.col("id"), "document", "metadata"
-    )
-    return neighbours.join(payload, ["collection", "id"])
+    """Fetch text and metadata for the winners only, on their ids.
+
+    The winners are written first and their ids measured. Within the broadcast limit the ids
+    meet the store's scan, and the few texts they find, measured too, meet the winners: no
+    text of another row leaves its task.
+    """
+    winners = materialised(neighbours)
+    asked = broadcast_measured(winners.select("collection", "id").distinct(), 120)
+    payload = materialised(store.select("collection", "id", "document", "metadata").join(asked, ["collection", "id"], "left_semi"))
+    size = payload.agg(F.coalesce(F.sum(F.octet_length("document") + 300), F.lit(0))).first()[0]
+    payload = F.broadcast(payload) if size <= broadcast_limit(store.sparkSession) else payload
+    return winners.join(payload, ["collection", "id"])
 
 
 def score(distance: Column) -> Column:

@@ -14,7 +14,7 @@ from lorebase.operators.retrieval import (
     expert_results, first_per_source, guidance_results, numbered, with_documents,
 )
 from lorebase.plans.corpus import (
-    EARLIER_SQL, chunks_sql, conversation_questions, slots_sql, vector_store,
+    EARLIER_SQL, chunks_sql, conversation_questions, earlier_documents, slots_sql, vector_store,
 )
 from lorebase.sources.tables import table
 
@@ -56,19 +56,20 @@ def knn_sql(metric: str) -> str:
 
 
 def collection_order() -> Column:
+    """The named collections in their order, then any others by name."""
     order = F.lit(len(GUIDANCE_COLLECTIONS))
     for i, name in enumerate(GUIDANCE_COLLECTIONS):
         order = F.when(F.col("collection") == name, i).otherwise(order)
-    return order
+    return F.struct(order.alias("named"), F.col("collection").alias("name"))
 
 
 def guidance(spark: SparkSession, folder: str) -> DataFrame:
-    """Ranked context rows of every question over the language collections."""
-    store = vector_store(spark, folder).filter(F.col("collection").isin(*GUIDANCE_COLLECTIONS))
-    questions = conversation_questions(spark, folder).select(
-        "query_id", hashed_embedding("question").alias("embedding")
-    ).withColumn("collection", F.explode(F.array(*[F.lit(c) for c in GUIDANCE_COLLECTIONS])))
-    found = with_documents(nearest(store, questions, fixed.N_RESULTS), store.drop("embedding"))
+    """Ranked context rows of every question over all language collections that the corpus has."""
+    store = vector_store(spark, folder)
+    names = earlier_documents(spark, folder).filter(F.length("content") > 0).groupBy().agg(F.collect_set("collection").alias("names"))  # one a language
+    questions = conversation_questions(spark, folder).select("query_id", hashed_embedding("question").alias("embedding"))
+    questions = questions.withColumn("collection", F.explode(F.lit(names.first()["names"]).cast("array<string>")))
+    found = with_documents(nearest(store, questions, fixed.N_RESULTS), store)
     return guidance_results(found, collection_order(), budget=GUIDANCE_BUDGET)
 
 
@@ -101,18 +102,18 @@ ranked AS (
 
 RETRIEVE_GUIDANCE_FIT = f"""
 WITH {EARLIER_SQL}, {chunks_sql('chunks', 'earlier')}, {_QUESTIONS_SQL},
-members AS (SELECT DISTINCT collection, content_hash AS id FROM chunks WHERE collection IN {GUIDANCE_COLLECTIONS}),
+members AS (SELECT DISTINCT collection, content_hash AS id FROM chunks),
 payload AS (SELECT content_hash AS id, any_value(content) AS document, any_value(source) AS source FROM chunks GROUP BY content_hash),
 {slots_sql('q', 'questions', 'query_id', 'question')},
 {slots_sql('s', 'payload', 'id', 'document')},
 {_ranked_sql(', collection', 'true')},
 kept AS (
   SELECT ranked.*, 1.0 - distance AS score, document, source,
-         list_position(['{"', '".join(GUIDANCE_COLLECTIONS)}'], collection) AS co
+         coalesce(list_position(['{"', '".join(GUIDANCE_COLLECTIONS)}'], collection), 99) AS co
   FROM ranked JOIN payload USING (id) WHERE 1.0 - distance >= {fixed.MIN_SCORE}),
 best AS (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, co, rank) - 1 AS position FROM (
-    SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY score DESC, co, rank) AS b FROM kept) WHERE b = 1),
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, co, collection, rank) - 1 AS position FROM (
+    SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY score DESC, co, collection, rank) AS b FROM kept) WHERE b = 1),
 fit AS (
   SELECT *, sum(length(document)) OVER (PARTITION BY query_id ORDER BY position) AS upto
   FROM best WHERE position < {fixed.N_RESULTS})"""
@@ -129,7 +130,7 @@ def expert(spark: SparkSession, folder: str) -> DataFrame:
         F.lit("default-knowledge").alias("collection"), F.col("item_id").cast("string").alias("query_id"),
         hashed_embedding("text").alias("embedding"),
     )
-    found = with_documents(nearest(store, questions, fixed.N_RESULTS), store.drop("embedding"))
+    found = with_documents(nearest(store, questions, fixed.N_RESULTS), store)
     return expert_results(found, budget=EXPERT_BUDGET)
 
 

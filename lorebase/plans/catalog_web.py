@@ -10,9 +10,11 @@ from lorebase.functions import formats, html, urls
 from lorebase.functions.text import is_blank
 from lorebase.operators import crawl as crawling
 from lorebase.operators.boilerplate import without_boilerplate
+from lorebase.operators.markup import page_blocks
 from lorebase.operators.tree import link_counts, tree_documents
 from lorebase.plans.catalog_text import _strip_sql, _unescape_sql, strip_html_sql
 from lorebase.plans.corpus import single_spaced_sql
+from lorebase.plans.html_sql import HTML_BLOCKS_SQL, HTML_EXTRACT_SQL, WEBSITE_DOCUMENTS_SQL
 from lorebase.session import checkpoint
 from lorebase.sources.tables import broadcast_if_small, table
 
@@ -36,6 +38,11 @@ def html_extract(spark: SparkSession, folder: str) -> DataFrame:
     return _pages(spark, folder).select("page_id", html.extract_text("html").alias("content"))
 
 
+def html_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    """Every element of every page with its pre and post numbers, depth and text."""
+    return page_blocks(_pages(spark, folder).select("page_id", "html"))
+
+
 def website_documents(spark: SparkSession, folder: str) -> DataFrame:
     """Pages as a site ingest sees them: text, no blank pages, no recurring paragraphs."""
     pages = _pages(spark, folder).select(
@@ -289,8 +296,9 @@ FROM co WHERE kind = 'link' AND p_size % 2 = 1 GROUP BY collection"""
 
 QUERIES = {
     "html_title": (html_title, HTML_TITLE_SQL),
-    "html_extract": (html_extract, None),
-    "website_documents": (website_documents, None),
+    "html_blocks": (html_blocks, HTML_BLOCKS_SQL),
+    "html_extract": (html_extract, HTML_EXTRACT_SQL),
+    "website_documents": (website_documents, WEBSITE_DOCUMENTS_SQL),
     "link_kind": (link_kind, LINK_KIND_SQL),
     "link_text": (link_text, None),
     "url_normalize": (url_normalize, URL_NORMALIZE_SQL),

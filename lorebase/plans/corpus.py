@@ -143,14 +143,15 @@ def knowledge_store(spark: SparkSession, rows: DataFrame) -> KnowledgeStore:
 def vector_store(spark: SparkSession, folder: str, single: bool = False) -> DataFrame:
     """Embedded chunks of all documents, one collection per language or a single one.
 
-    Written once, as a store is: the search reads ids and vectors of it, the fetch ids and texts.
+    A plan, not a table: the search reads ids and vectors of it in one pass over the corpus,
+    the fetch ids and texts of the winners in another, without vectors.
     """
     chunks = hashed_chunks(earlier_documents(spark, folder))
     collection = F.lit("default-knowledge") if single else F.col("collection")
-    return materialised(chunks.select(
+    return chunks.select(
         collection.alias("collection"), F.col("content_hash").alias("id"), F.col("content").alias("document"),
         metadata_struct().alias("metadata"), hashed_embedding("content").alias("embedding"),
-    ))
+    )
 
 
 def conversation_questions(spark: SparkSession, folder: str) -> DataFrame:
