@@ -21,6 +21,12 @@ BLOCK_TAGS = r"</?(br|p|div|li|tr|h[1-6]|hr|blockquote|pre)(\s[^>]*)?/?>"
 ANY_TAG = r"<[^>]+>"
 BLANKS = r"[ \t]+"
 EXCESS_NEWLINES = r"\n[ \t]*\n[ \t]*\n+"
+# Patterns of answers and labels.
+FENCED_BLOCK = r"```(?:json)?\s*\n(.*?)\n\s*```"
+CITATION = "【[^】]*】"
+UNSAFE_IN_LABEL = "[^A-Za-z0-9._-]+"
+OUTER_DASHES = "^-+|-+$"
+
 BOILERPLATE_ATTR = (
     r"cookie|consent|banner|popup|modal|gdpr|newsletter|subscribe|"
     r"sign-?up|opt-?in|privacy-?notice|bottom-?bar|snackbar"

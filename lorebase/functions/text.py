@@ -78,12 +78,12 @@ def ellipsis(col: Column, limit: int) -> Column:
 
 
 def strip_citations(col: Column) -> Column:
-    return strip(F.regexp_replace(col, "【[^】]*】", ""))
+    return strip(F.regexp_replace(col, fixed.CITATION, ""))
 
 
 def safe_label(col: Column) -> Column:
-    dashed = F.regexp_replace(col, "[^A-Za-z0-9._-]+", "-")
-    return F.regexp_replace(dashed, "^-+|-+$", "")
+    dashed = F.regexp_replace(col, fixed.UNSAFE_IN_LABEL, "-")
+    return F.regexp_replace(dashed, fixed.OUTER_DASHES, "")
 
 
 def run_id(ts: Column, label: Column) -> Column:
