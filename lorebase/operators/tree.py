@@ -111,25 +111,37 @@ def _contributions_of(rows: DataFrame, kind: str, body: Column, uri: Column) ->
 
 
 def space_paths(spaces: DataFrame) -> DataFrame:
-    """Adds ``depth`` and the pre-order ``path``: one equi-join per level, until a level is empty.
+    """Adds ``depth`` and the pre-order ``path`` of every space below a top, by pointer jumping.
 
-    A space that is its own ancestor is not entered again, so a cycle ends.
+    A node knows an ancestor and its path from there; in a round it takes over what that
+    ancestor knows, so the distance doubles, and a tree of depth d takes about log2(d) rounds
+    over narrow rows. A space that is its own ancestor is not entered again, so a cycle ends;
+    spaces that reach no top get no path.
     """
-    top = spaces.filter(F.col("parent_id").isNull()).withColumn("path", _padded(F.col("pos")))
-    level = checkpoint(top.withColumns({"depth": F.lit(0), "_line": F.array("id")}))
-    found = []
-    while not level.isEmpty() or not found:
-        found.append(level)
-        parents = level.select("collection", F.col("id").alias("parent_id"), F.col("path").alias("_above"), "depth", "_line")
-        below = spaces.join(parents, ["collection", "parent_id"]).filter(~F.array_contains("_line", F.col("id")))
-        level = checkpoint(
-            below.withColumns({
-                "path": F.concat("_above", F.lit("/s"), _padded(F.col("pos"))),
-                "depth": F.col("depth") + 1,
-                "_line": F.array_append("_line", F.col("id")),
-            }).select(*spaces.columns, "path", "depth", "_line")
+    key = ["collection", "id", "parent_id", "pos"]
+    step = F.when(F.col("parent_id").isNull(), _padded(F.col("pos"))).otherwise(F.concat(F.lit("/s"), _padded(F.col("pos"))))
+    depth = F.col("parent_id").isNotNull().cast("int")
+    nodes = spaces.select(*key).distinct().select(
+        *key, F.col("parent_id").alias("_top"), step.alias("path"), depth.alias("depth"), F.array("id").alias("_line")
+    )
+    waiting = checkpoint(nodes)
+    placed = [waiting.filter("_top IS NULL")]
+    while True:
+        waiting = waiting.filter("_top IS NOT NULL")
+        known = reduce(DataFrame.unionByName, [*placed, waiting]).select(
+            "collection", F.col("id").alias("_top"), F.col("_top").alias("_above"), F.col("path").alias("_p"), F.col("depth").alias("_d"), F.col("_line").alias("_l")
         )
-    return reduce(DataFrame.unionByName, found).drop("_line")
+        jumped = waiting.join(known, ["collection", "_top"]).filter(~F.arrays_overlap("_l", "_line"))
+        waiting = checkpoint(jumped.select(
+            *key, F.col("_above").alias("_top"), F.concat("_p", "path").alias("path"), (F.col("_d") + F.col("depth")).alias("depth"),
+            F.concat("_l", "_line").alias("_line"),
+        ))
+        if waiting.isEmpty():
+            break
+        placed.append(waiting.filter("_top IS NULL"))
+    found = reduce(DataFrame.unionByName, placed).select(*[F.col(c).alias(f"_{c}") for c in key], "path", "depth")
+    same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in key])
+    return spaces.join(found, same).select(*spaces.columns, "path", "depth")
 
 
 def callout_context(name: Column, description: Column) -> Column:

@@ -472,3 +472,28 @@ def test_comparison_with_zero_baseline_and_missing_metrics(spark):
     got = {r.metric: (round(r.absolute_delta, 6), round(r.percentage_change, 6)) for r in deltas.collect()}
     assert got == {"a": (-0.1, -20.0), "z": (0.3, 0.0)}
     assert tuple(evaluation.verdict(deltas).first()) == (2, 1, 1)
+
+
+def _chain(spark, depth, collection="c"):
+    return spark.range(depth).select(
+        F.lit(collection).alias("collection"), F.when(F.col("id") > 0, F.concat(F.lit("n"), F.col("id") - 1)).alias("parent_id"),
+        (F.col("id") % 3).cast("int").alias("pos"), F.concat(F.lit("n"), "id").alias("id"))
+
+
+def test_deep_trees_take_few_rounds(spark, monkeypatch):
+    from lorebase.operators import tree
+
+    rounds = []
+    monkeypatch.setattr(tree, "checkpoint", lambda df, own=tree.checkpoint: rounds.append(1) or own(df))
+    got = {r.id: (r.depth, r.path) for r in tree.space_paths(_chain(spark, 1000)).collect()}
+    assert len(got) == 1000 and len(rounds) <= 12
+    assert all(got[f"n{i}"][0] == i and got[f"n{i}"][1] == "/s".join(str(k % 3).zfill(20) for k in range(i + 1)) for i in (0, 1, 2, 7, 500, 999))
+
+
+def test_paths_of_odd_trees(spark):
+    from lorebase.operators.tree import space_paths
+
+    rows = [("c", None, 0, "a"), ("c", "a", 1, "b"), ("c", "b", 0, "a"), ("c", "x", 0, "y"), ("c", "y", 0, "x"), ("c", "gone", 0, "orphan"), ("d", None, 2, "a"), ("d", "a", 0, "b")]
+    got = sorted((r.collection, r.id, r.depth) for r in space_paths(spark.createDataFrame(rows, "collection string, parent_id string, pos int, id string")).collect())
+    assert got == [("c", "a", 0), ("c", "b", 1), ("d", "a", 0), ("d", "b", 1)]
+    assert space_paths(spark.createDataFrame([], "collection string, parent_id string, pos int, id string")).isEmpty()
