@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lorebase import fixed
 from lorebase.functions.models import hashed_embedding
 from lorebase.functions.text import ordered_lines
+from lorebase.operators.balls import BallIndex
 from lorebase.operators.knn import nearest
 from lorebase.operators.ordering import running_sum
 from lorebase.operators.retrieval import (
@@ -24,12 +25,16 @@ EXPERT_BUDGET = 6000
 DOCUMENT_BUDGET = 20_000
 
 
-def knn(metric: str):
+def knn(metric: str, indexed: bool = False):
     def query(spark: SparkSession, folder: str) -> DataFrame:
         vectors = table(spark, folder, "embeddings").select(
             F.col("label").cast("string").alias("collection"), F.col("vec_id").cast("string").alias("id"), "embedding"
         )
-        found = nearest(vectors, vectors.withColumnRenamed("id", "query_id"), fixed.N_RESULTS, metric)
+        questions = vectors.withColumnRenamed("id", "query_id")
+        if indexed:
+            found = BallIndex.build(vectors, metric).nearest(questions, fixed.N_RESULTS)
+        else:
+            found = nearest(vectors, questions, fixed.N_RESULTS, metric)
         return found.select(
             F.col("query_id").cast("long").alias("query_id"), F.col("collection").cast("int").alias("collection"),
             F.col("rank").cast("int").alias("rank"), F.col("id").cast("long").alias("id"),
@@ -233,4 +238,5 @@ QUERIES = {
     "retrieved_contexts": (retrieved_contexts, RETRIEVED_CONTEXTS_SQL),
     "context_budget": (context_budget, CONTEXT_BUDGET_SQL),
     **{f"knn_{m}": (knn(m), knn_sql(m)) for m in ("cosine", "l2", "ip")},
+    **{f"knn_index_{m}": (knn(m, indexed=True), knn_sql(m)) for m in ("cosine", "l2")},
 }

@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lorebase.functions.hashing import storage_id
+from lorebase.operators.balls import BallIndex
 from lorebase.operators.dedup import keep_last
 from lorebase.operators.knn import nearest
 from lorebase.operators.retrieval import with_documents
@@ -210,12 +211,22 @@ class KnowledgeStore:
         """Rows by a table of (collection, id) of any size."""
         return self.read().join(ids.select("collection", "id").distinct(), ["collection", "id"], "left_semi").select("collection", "id", *include)
 
+    def build_index(self) -> int:
+        """Write the ball index of this version beside the rows; returns the version."""
+        version = self.version()
+        BallIndex.build(self.read(version=version), self.metric, f"{self.root}/index/{version:010d}")
+        return version
+
     def query(self, questions: DataFrame, n: int = 10) -> DataFrame:
         """Nearest rows of every (collection, query_id, embedding) question, with text and metadata.
 
-        Only the folders of the collections asked for are opened: at most as many names as
-        the manifest has.
+        A version with an index is searched through it. Otherwise only the folders of the
+        collections asked for are opened: at most as many names as the manifest has.
         """
+        version = self.version()
+        if self._children(f"{self.root}/index/{version:010d}/centres"):
+            index = BallIndex(self.spark, f"{self.root}/index/{version:010d}", self.metric)
+            return with_documents(index.nearest(questions, n), self.read(version=version))
         held = {e["collection"] for e in self._manifest()["entries"]}
         rows = self.read([r[0] for r in questions.select("collection").distinct().collect() if r[0] in held])
         return with_documents(nearest(rows, questions, n, self.metric), rows)
