@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lorebase import fixed
@@ -19,6 +19,7 @@ from lorebase.session import checkpoint
 from lorebase.sources.tables import broadcast_if_small, table
 
 PLATFORM_DOMAIN = "platform.example"
+CRAWL_LIMIT = 6
 INTERNAL_BASE = "https://store.example:8443/graphql"
 
 
@@ -175,6 +176,50 @@ FROM first f JOIN known k ON k.url = f.url JOIN pages p ON p.page_id = k.page_id
 WHERE (SELECT count(*) FROM second) = 0"""
 
 
+def _linked_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """The given pages with links added to the next two pages of their site, in the order of page_id, and from the last to the first."""
+    pages = _pages(spark, folder).select("page_id", "url", "html", urls.netloc(F.col("url")).alias("site"))
+    order = Window.partitionBy("site").orderBy("page_id")  # a site's pages; the largest of the given sites has some tens
+    ahead = [F.lead("url", k).over(order) for k in (1, 2)]
+    first = F.first("url").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    links = F.concat(*[F.concat(F.lit('<a href="'), F.coalesce(u, first), F.lit('">more</a>')) for u in ahead])
+    return pages.withColumn("html", F.concat("html", links))
+
+
+def crawl_hops(spark: SparkSession, folder: str) -> DataFrame:
+    """Crawl of sites whose pages link to each other, seeded with every page: many hops, and a page limit that binds."""
+    pages = _linked_pages(spark, folder)
+    found = crawling.crawl(pages.select("url", "html", F.col("page_id").alias("position")), pages.select(F.col("url").alias("base_url")), CRAWL_LIMIT)
+    return found.select("base_url", "url", "rank")
+
+
+# One queue a seed: in a step its first address is taken, fetched if it is known, and its new targets are appended.
+CRAWL_HOPS_SQL = f"""
+WITH RECURSIVE n AS (SELECT page_id, url, html, {_NORMAL} AS address, regexp_extract(url, '^[^:]+://([^/?#]*)', 1) AS site FROM pages),
+ahead AS (
+  SELECT *, coalesce(lead(url, 1) OVER w, first_value(url) OVER w) AS one, coalesce(lead(url, 2) OVER w, first_value(url) OVER w) AS two
+  FROM n WINDOW w AS (PARTITION BY site ORDER BY page_id)),
+given AS (
+  SELECT page_id, address, site, regexp_extract(url, '^([^:]+)://', 1) AS scheme,
+         list_concat(regexp_extract_all(html, '<a href="([^"]*)"', 1), [one, two]) AS hrefs FROM ahead),
+spread AS (SELECT page_id, address, site, scheme, generate_subscripts(hrefs, 1) AS pos, unnest(hrefs) AS href FROM given),
+whole AS (SELECT page_id, site, pos, CASE WHEN regexp_matches(href, '^https?://') THEN href ELSE lower(scheme) || '://' || site || href END AS url FROM spread),
+targets AS (
+  SELECT page_id, list(address ORDER BY pos) AS targets FROM (SELECT page_id, pos, site, {_NORMAL} AS address FROM whole) t
+  WHERE regexp_extract(address, '^[^:]+://([^/?#]*)', 1) = site AND NOT regexp_matches(lower(address), '\\.({"|".join(fixed.SKIP_EXTENSIONS)})$') GROUP BY page_id),
+known AS (SELECT address, arg_min(coalesce(targets, []), page_id) AS targets FROM n LEFT JOIN targets USING (page_id) GROUP BY 1),
+walk AS (
+  SELECT url AS base_url, [address] AS queue, [address] AS seen, CAST([] AS VARCHAR[]) AS done FROM n
+  UNION ALL
+  SELECT base_url, list_concat(queue[2:], fresh), list_concat(seen, fresh), CASE WHEN found THEN list_append(done, queue[1]) ELSE done END
+  FROM (
+    SELECT w.*, k.address IS NOT NULL AS found,
+           list_filter(coalesce(k.targets, []), lambda x, i: NOT list_contains(w.seen, x) AND list_position(k.targets, x) = i) AS fresh
+    FROM walk w LEFT JOIN known k ON k.address = w.queue[1] WHERE len(queue) > 0 AND len(done) < {CRAWL_LIMIT}) s),
+last AS (SELECT base_url, arg_max(done, len(done)) AS done FROM walk GROUP BY 1)
+SELECT base_url, unnest(done) AS url, CAST(generate_subscripts(done, 1) AS INTEGER) AS rank FROM last"""
+
+
 # -- trees ----------------------------------------------------------------------------
 # A region is a body of knowledge, its nations are spaces and their customers subspaces;
 # suppliers are callouts of a nation and the parts they have shipped the contributions.
@@ -306,6 +351,7 @@ QUERIES = {
     "uri_rewrite": (uri_rewrite, URI_REWRITE_SQL),
     "page_links": (page_links, PAGE_LINKS_SQL),
     "crawl_frontier": (crawl_frontier, CRAWL_FRONTIER_SQL),
+    "crawl_hops": (crawl_hops, CRAWL_HOPS_SQL),
     "crawl_sites": (crawl_sites, CRAWL_SITES_SQL),
     "tree_flatten": (tree_flatten, TREE_FLATTEN_SQL),
     "tree_order": (tree_order, TREE_ORDER_SQL),
