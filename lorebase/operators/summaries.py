@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +14,7 @@ from lorebase.functions.models import ModelPorts
 from lorebase.functions.text import is_blank, ordered_lines
 from lorebase.operators.ordering import positions
 from lorebase.operators.packing import pack_sections
+from lorebase.session import broadcast_measured, checkpoint
 
 
 def map_budget(n: Column, max_length: int) -> Column:
@@ -119,22 +120,39 @@ def refine(
 ) -> DataFrame:
     """Sequential fold over the chunks of one document: ``step(summary so far, chunk, budget)``.
 
-    A failing step ends the fold with what there is; a failing first step fails the job.
+    A failing step ends the fold with what there is; a failing first step fails the job. The
+    chunks of a document come to its task sorted and in batches, so the fold holds a batch
+    and one summary, however long the document.
     """
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        texts = pdf.sort_values(index)[text].tolist()
-        summary = ""
-        for i, chunk in enumerate(texts):
-            try:
-                summary = step(summary, chunk, refine_budget(i, len(texts), max_length))
-            except Exception:
-                if not summary:
-                    raise
-                break
-        return pd.DataFrame({key: [pdf[key].iloc[0]], "summary": [summary]})
-
-    return chunks.select(key, index, text).groupBy(key).applyInPandas(fold, f"{key} string, summary string")
+    sizes = chunks.groupBy(key).agg(F.count("*").alias("_n"))
+    counted = chunks.select(key, index, text).join(broadcast_measured(checkpoint(sizes), 80), key)
+    ordered = counted.select(F.col(key).cast("string"), "_n", index, text).repartition(key).sortWithinPartitions(key, index)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, summary, position, ended = None, "", 0, False
+
+        def folded() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.string()), pa.array([summary], pa.string())], [key, "summary"])
+
+        for batch in batches:
+            for row in range(batch.num_rows):
+                own = batch.column(0)[row].as_py()
+                if own != now or not position:
+                    if position:
+                        yield folded()
+                    now, summary, position, ended = own, "", 0, False
+                if not ended:
+                    try:
+                        summary = step(summary, batch.column(3)[row].as_py(), refine_budget(position, batch.column(1)[row].as_py(), max_length))
+                    except Exception:
+                        if not summary:
+                            raise
+                        ended = True
+                position += 1
+        if position:
+            yield folded()
+
+    return ordered.mapInArrow(fold, f"{key} string, summary string")
 
 
 def document_summaries(chunks: DataFrame, wanted: DataFrame, ports: ModelPorts, **options) -> DataFrame:

@@ -9,7 +9,7 @@ from lorebase import fixed
 from lorebase.functions.models import ModelPorts
 from lorebase.operators import changes
 from lorebase.operators.packing import assign_groups
-from lorebase.operators.summaries import call_plan, document_summaries, join_only, overview, sections
+from lorebase.operators.summaries import call_plan, document_summaries, join_only, overview, refine, sections
 from lorebase.plans.corpus import EARLIER_SQL, chunks_sql, earlier_documents, hashed_chunks
 from lorebase.session import checkpoint, materialised
 
@@ -81,6 +81,27 @@ _SUMMARY_SELECT = """
 SELECT e.collection, e.document_id, s.text AS summary FROM summary s JOIN earlier e ON e.document_id = s.key"""
 
 
+REFINE_LENGTH = 200
+
+
+def refine_fold(spark: SparkSession, folder: str) -> DataFrame:
+    """A running summary over the chunks of every document, in order: the last characters that fit the growing budget."""
+    chunks = hashed_chunks(earlier_documents(spark, folder))
+    return refine(chunks, "document_id", "chunk_index", "content", lambda summary, chunk, budget: f"{summary}|{chunk[:50]}"[-budget:], REFINE_LENGTH)
+
+
+REFINE_FOLD_SQL = f"""
+WITH RECURSIVE {EARLIER_SQL}, {chunks_sql('chunks', 'earlier')},
+c AS (SELECT document_id, chunk_index AS ix, content, count(*) OVER (PARTITION BY document_id) AS n FROM chunks),
+budgeted AS (
+  SELECT *, CAST(trunc({REFINE_LENGTH} * (0.4::DOUBLE + 0.6::DOUBLE * CASE WHEN n = 1 THEN 1.0::DOUBLE ELSE ix::DOUBLE / (n - 1)::DOUBLE END)) AS BIGINT) AS budget FROM c),
+fold AS (
+  SELECT document_id, ix, n, right('|' || left(content, 50), budget) AS summary FROM budgeted WHERE ix = 0
+  UNION ALL
+  SELECT f.document_id, b.ix, f.n, right(f.summary || '|' || left(b.content, 50), b.budget) FROM fold f JOIN budgeted b ON b.document_id = f.document_id AND b.ix = f.ix + 1)
+SELECT document_id, summary FROM fold WHERE ix = n - 1"""
+
+
 def map_reduce_plan(spark: SparkSession, folder: str) -> DataFrame:
     """Reduce calls per level and document, for the fan-in of 3 that small documents show levels with."""
     return call_plan(hashed_chunks(earlier_documents(spark, folder)), ["collection", "document_id"], 3)
@@ -169,6 +190,7 @@ SELECT key AS collection, text AS summary FROM o3"""
 QUERIES = {
     "map_reduce_digest": (map_reduce_digest, _DIGESTED + _SUMMARY_SELECT),
     "map_reduce_concat": (map_reduce_concat, _CONCATENATED + _SUMMARY_SELECT),
+    "refine_fold": (refine_fold, REFINE_FOLD_SQL),
     "map_reduce_plan": (map_reduce_plan, MAP_REDUCE_PLAN_SQL),
     "bok_sections": (bok_sections, BOK_SECTIONS_SQL),
     "bok_packing": (bok_packing, BOK_PACKING_SQL),

@@ -359,6 +359,24 @@ def test_refine(spark):
         fold("boom", "a")
 
 
+def test_refine_holds_one_batch_of_a_huge_document(spark):
+    def step(so_far, chunk, budget):
+        import resource
+
+        peak = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024
+        first, n, _ = (so_far or f"{peak},0,0").split(",")
+        return f"{first},{int(n) + 1},{peak}"
+
+    chunks = spark.range(3000).select(F.lit("d").alias("document_id"), F.col("id").alias("chunk_index"), F.repeat(F.lit("x"), F.lit(200_000)).alias("content"))
+    kept = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
+        first, n, last = map(int, summaries.refine(chunks, "document_id", "chunk_index", "content", step).first()["summary"].split(","))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", kept)
+    assert n == 3000 and last - first < 200  # MB, of 600
+
+
 @given(st.text(alphabet="ab c\n", max_size=80), st.integers(1, 40))
 def test_digest_fits_and_keeps_short_texts(text, budget):
     out = digest(text, budget)
