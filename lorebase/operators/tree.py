@@ -11,7 +11,6 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lorebase import fixed
 from lorebase.functions.hashing import content_key
@@ -19,28 +18,13 @@ from lorebase.functions.text import heading, join_present, present, strip_html
 from lorebase.operators.dedup import keep_first
 from lorebase.session import checkpoint
 
-_PROFILE = "displayName string, description string, url string"
+_PROFILE = "struct<displayName: string, description: string, url: string>"
 _CALLOUT = (
-    f"id string, framing struct<profile: struct<{_PROFILE.replace(' string', ': string')}>>, "
-    "contributions array<struct<"
-    f"post: struct<id: string, profile: struct<{_PROFILE.replace(' string', ': string')}>>, "
-    f"whiteboard: struct<id: string, profile: struct<{_PROFILE.replace(' string', ': string')}>, content: string>, "
-    f"link: struct<id: string, profile: struct<{_PROFILE.replace(' string', ': string')}>, uri: string>>>"
+    f"id: string, framing: struct<profile: {_PROFILE}>, contributions: array<struct<post: struct<id: string, profile: {_PROFILE}>, "
+    f"whiteboard: struct<id: string, profile: {_PROFILE}, content: string>, link: struct<id: string, profile: {_PROFILE}, uri: string>>>"
 )
 
 
-def _space_type() -> T.StructType:
-    """A space whose subspaces stay JSON text, so that the depth of a tree is not part of the schema."""
-    inner = T.StructType([T.StructField("calloutsSet", T.StructType([T.StructField("callouts", T.ArrayType(T.StructType.fromDDL(_CALLOUT)))]))])
-    return T.StructType([
-        T.StructField("id", T.StringType()),
-        T.StructField("profile", T.StructType.fromDDL(_PROFILE)),
-        T.StructField("collaboration", inner),
-        T.StructField("calloutsSet", inner["calloutsSet"].dataType),
-        T.StructField("subspaces", T.ArrayType(T.StringType())),
-    ])
-
-
 def is_flat(bok_type: Column, flat_type: str = fixed.FLAT_TREE_TYPE) -> Column:
     """Knowledge bases are flat; every other type is a tree of spaces."""
     return F.coalesce(bok_type == flat_type, F.lit(False))
@@ -53,23 +37,25 @@ def _padded(pos: Column) -> Column:
 def read_answers(answers: DataFrame, flat_type: str = fixed.FLAT_TREE_TYPE) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(collection, bok_type, body JSON) -> spaces, callouts, contributions.
 
-    The type picks the flat or the tree reading; unknown types read as trees. A tree is
-    read level by level until no space has subspaces.
+    The type picks the flat or the tree reading; unknown types read as trees. The text is
+    parsed once, to a variant; a tree is walked level by level over parts of it, until no
+    space has subspaces. A body that is no JSON gives nothing.
     """
     flat = is_flat(F.col("bok_type"), flat_type)
-    parsed = answers.withColumn("_d", F.from_json("body", "lookup struct<space: string, knowledgeBase: string>"))
+    parsed = answers.withColumn("_v", F.try_parse_json("body"))
+    top = lambda path: F.try_variant_get("_v", path, "variant")
     current = parsed.select(
         "collection", F.lit(0).alias("pos"), F.lit(None).cast("string").alias("parent_id"), F.when(flat, "knowledge").alias("top_type"),
-        F.when(flat, F.col("_d.lookup.knowledgeBase")).otherwise(F.col("_d.lookup.space")).alias("_json"),
+        F.when(flat, top("$.lookup.knowledgeBase")).otherwise(top("$.lookup.space")).alias("_s"),
     )
     levels = []
     while True:
-        level = checkpoint(current.filter("_json is not null").withColumn("s", F.from_json("_json", _space_type())).drop("_json"))
+        level = checkpoint(current.filter(F.try_variant_get("_s", "$", "map<string, variant>").isNotNull()))
         if level.isEmpty() and levels:
             break
         levels.append(_spaces_of(level))
-        inner = F.when(F.col("top_type") == "knowledge", F.lit(None)).otherwise(F.col("s.subspaces"))
-        current = level.select("collection", F.col("s.id").alias("parent_id"), "top_type", F.posexplode(inner).alias("pos", "_json"))
+        inner = F.when(F.col("top_type") == "knowledge", F.lit(None)).otherwise(F.try_variant_get("_s", "$.subspaces", "array<variant>"))
+        current = level.select("collection", F.try_variant_get("_s", "$.id", "string").alias("parent_id"), "top_type", F.posexplode(inner).alias("pos", "_s"))
     spaces = reduce(DataFrame.unionByName, levels)
     callouts = spaces.select("collection", F.col("id").alias("space_id"), F.posexplode("callouts").alias("pos", "c"))
     contributions = callouts.select("collection", F.col("c.id").alias("callout_id"), F.posexplode("c.contributions").alias("pos", "x"))
@@ -88,13 +74,15 @@ def read_answers(answers: DataFrame, flat_type: str = fixed.FLAT_TREE_TYPE) -> t
 
 
 def _spaces_of(level: DataFrame) -> DataFrame:
+    text = lambda path: F.try_variant_get("_s", path, "string")
+    callouts = [F.try_variant_get("_s", f"$.{path}", f"array<struct<{_CALLOUT}>>") for path in ("collaboration.calloutsSet.callouts", "calloutsSet.callouts")]
     return level.select(
         "collection", "parent_id", "pos", "top_type",
-        F.col("s.id").alias("id"),
-        F.col("s.profile.displayName").alias("name"),
-        F.col("s.profile.description").alias("description"),
-        F.col("s.profile.url").alias("url"),
-        F.coalesce("s.collaboration.calloutsSet.callouts", "s.calloutsSet.callouts").alias("callouts"),
+        text("$.id").alias("id"),
+        text("$.profile.displayName").alias("name"),
+        text("$.profile.description").alias("description"),
+        text("$.profile.url").alias("url"),
+        F.coalesce(*callouts).alias("callouts"),
     )
 
 

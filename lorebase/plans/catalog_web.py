@@ -11,7 +11,7 @@ from lorebase.functions.text import is_blank
 from lorebase.operators import crawl as crawling
 from lorebase.operators.boilerplate import without_boilerplate
 from lorebase.operators.markup import page_blocks
-from lorebase.operators.tree import link_counts, tree_documents
+from lorebase.operators.tree import link_counts, read_answers, space_paths, tree_documents
 from lorebase.plans.catalog_text import _strip_sql, _unescape_sql, strip_html_sql
 from lorebase.plans.corpus import single_spaced_sql
 from lorebase.plans.html_sql import HTML_BLOCKS_SQL, HTML_EXTRACT_SQL, WEBSITE_DOCUMENTS_SQL
@@ -278,6 +278,46 @@ def _tree(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataF
     return spaces, callouts, contributions, fetched
 
 
+def tree_from_json(spark: SparkSession, folder: str) -> DataFrame:
+    """Spaces and callouts read from one nested answer a region: nations inside, customers inside these, suppliers as callouts."""
+    region, nation, customer, supplier = (table(spark, folder, t) for t in ("region", "nation", "customer", "supplier"))
+    profile = lambda name, text: F.struct(F.col(name).alias("displayName"), text.alias("description")).alias("profile")
+    inner = customer.groupBy("c_nationkey").agg(F.array_sort(F.collect_list(F.struct(
+        F.concat(F.lit("c"), F.lpad(F.col("c_custkey").cast("string"), 12, "0")).alias("id"), profile("c_name", F.col("c_mktsegment")),
+    ))).alias("subspaces"))
+    called = supplier.groupBy("s_nationkey").agg(F.array_sort(F.collect_list(F.struct(
+        F.concat(F.lit("s"), F.lpad(F.col("s_suppkey").cast("string"), 12, "0")).alias("id"), F.struct(profile("s_name", F.lit("of a nation"))).alias("framing"),
+    ))).alias("callouts"))
+    nations = nation.join(inner, F.col("n_nationkey") == F.col("c_nationkey"), "left").join(called, F.col("n_nationkey") == F.col("s_nationkey"), "left")
+    middle = nations.groupBy("n_regionkey").agg(F.array_sort(F.collect_list(F.struct(
+        F.concat(F.lit("n"), F.lpad(F.col("n_nationkey").cast("string"), 12, "0")).alias("id"), profile("n_name", F.lit("a nation")),
+        F.struct(F.struct("callouts").alias("calloutsSet")).alias("collaboration"), "subspaces",
+    ))).alias("subspaces"))
+    answers = region.join(middle, F.col("r_regionkey") == F.col("n_regionkey"), "left").select(
+        F.concat(F.lit("region-"), "r_regionkey").alias("collection"), F.lit("platform-space").alias("bok_type"),
+        F.to_json(F.struct(F.struct(F.struct(F.concat(F.lit("r"), "r_regionkey").alias("id"), profile("r_name", F.lit("a region")), "subspaces").alias("space")).alias("lookup"))).alias("body"),
+    )
+    spaces, callouts, _ = read_answers(answers)
+    placed = space_paths(spaces)
+    above = placed.select("collection", F.col("id").alias("space_id"), F.col("depth").alias("_depth"))
+    return placed.select("collection", "parent_id", "id", F.col("pos").cast("int").alias("pos"), "depth", "name", "description", F.lit("space").alias("kind")).unionByName(
+        callouts.join(above, ["collection", "space_id"]).select(
+            "collection", F.col("space_id").alias("parent_id"), "id", F.col("pos").cast("int").alias("pos"), F.col("_depth").alias("depth"), "name", "description", F.lit("callout").alias("kind")))
+
+
+TREE_FROM_JSON_SQL = """
+WITH n AS (SELECT 'region-' || n_regionkey AS collection, 'r' || n_regionkey AS parent_id, 'n' || lpad(n_nationkey::VARCHAR, 12, '0') AS id, * FROM nation)
+SELECT 'region-' || r_regionkey AS collection, NULL AS parent_id, 'r' || r_regionkey AS id, 0 AS pos, 0 AS depth, r_name AS name, 'a region' AS description, 'space' AS kind FROM region
+UNION ALL
+SELECT collection, parent_id, id, CAST(row_number() OVER (PARTITION BY n_regionkey ORDER BY id) - 1 AS INTEGER), 1, n_name, 'a nation', 'space' FROM n
+UNION ALL
+SELECT collection, n.id, 'c' || lpad(c_custkey::VARCHAR, 12, '0'), CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS INTEGER), 2, c_name, c_mktsegment, 'space'
+FROM customer JOIN n ON c_nationkey = n_nationkey
+UNION ALL
+SELECT collection, n.id, 's' || lpad(s_suppkey::VARCHAR, 12, '0'), CAST(row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS INTEGER), 1, s_name, 'of a nation', 'callout'
+FROM supplier JOIN n ON s_nationkey = n_nationkey"""
+
+
 def tree_flatten(spark: SparkSession, folder: str) -> DataFrame:
     documents = tree_documents(*_tree(spark, folder))
     return documents.select("collection", "document_id", "source", "type", "title", "uri", "content")
@@ -353,6 +393,7 @@ QUERIES = {
     "crawl_frontier": (crawl_frontier, CRAWL_FRONTIER_SQL),
     "crawl_hops": (crawl_hops, CRAWL_HOPS_SQL),
     "crawl_sites": (crawl_sites, CRAWL_SITES_SQL),
+    "tree_from_json": (tree_from_json, TREE_FROM_JSON_SQL),
     "tree_flatten": (tree_flatten, TREE_FLATTEN_SQL),
     "tree_order": (tree_order, TREE_ORDER_SQL),
     "tree_link_counts": (tree_link_counts, TREE_LINK_COUNTS_SQL),
