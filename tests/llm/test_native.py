@@ -217,7 +217,8 @@ def test_linked_lines_with_recurring_field_values(spark, size):
     assert sum("Dear reader" in t for t in kept) == 1 and all("number" in t for t in kept)
 
 
-def test_links_of_large_groups(spark):
+@pytest.mark.parametrize("large", [line_dedup.LARGE, 60])
+def test_links_of_large_groups(spark, large):
     rng = random.Random(3)
     texts = set()
     for family in range(3):
@@ -230,7 +231,7 @@ def test_links_of_large_groups(spark):
     texts |= {("m", "m", "m", *rng.choices("uv", k=k)) for k in (2, 7, 12) for _ in range(200)}
     texts = [*texts]
     lines = spark.createDataFrame([(i, list(t)) for i, t in enumerate(texts)], "_whole bigint, _tokens array<string>").withColumn("_leaf", line_dedup._leaf())
-    found = {r["node"]: r["root"] for r in line_dedup.components(line_dedup.line_links(lines, cell=4)).collect()}
+    found = {r["node"]: r["root"] for r in line_dedup.components(line_dedup.line_links(lines, cell=4, large=large)).collect()}
     root = list(range(len(texts)))
     for i, a in enumerate(texts):
         for j in range(i):
@@ -255,3 +256,18 @@ def test_linked_lines_of_few_tokens(spark):
     got = {r["doc_id"]: r["text"] for r in line_dedup.drop_lines(docs, linked=True).collect()}
     assert got == {1: rows[0][1], 2: "4\nPage 5\n\n \nother words", 3: "All rights"}
     assert {d: len(p) for d, p in _linked_drops(rows).items()} == {2: 2, 3: 2}
+
+
+def test_links_grow_with_the_lines_of_a_leaf(spark):
+    counts = []
+    for n in (300, 600, 1200):
+        rng, texts = random.Random(n), set()
+        while len(texts) < n:
+            own = [f"t{i}" for i in range(20)]
+            for p in rng.sample(range(3, 20), rng.randrange(7)):
+                own[p] = f"w{rng.randrange(50)}"
+            texts.add(tuple(own))
+        lines = spark.createDataFrame([(i, list(t)) for i, t in enumerate(texts)], "_whole bigint, _tokens array<string>").withColumn("_leaf", line_dedup._leaf())
+        counts.append(line_dedup.line_links(lines).count())
+    # Hubs of a round link to all their lines; beyond that a line brings few links, whatever its leaf holds.
+    assert all(c <= 40 * n for c, n in zip(counts, (300, 600, 1200), strict=True)) and counts[2] < 6 * counts[0]

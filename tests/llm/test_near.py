@@ -282,3 +282,35 @@ def test_short_notices(spark):
     assert {(r["doc_id"], r["license"]) for r in licenses.scan_licenses(docs, {"one": "after"}).collect()} == {(2, "one")}
     with pytest.raises(ValueError):
         licenses.scan_licenses(docs, {"none": " .,; "})
+
+
+@pytest.mark.parametrize("cell_bytes", [near_sets.CELL_BYTES, 30_000])
+def test_near_sets_find_the_links_of_the_given_documents(spark, cell_bytes):
+    """Components at 0.8 of five-word shingles over all documents, by an inverted index: recall and precision are 1."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    sets, holders, edges = [], defaultdict(list), []
+    for i, (_, text) in enumerate(rows):
+        words = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").encode().split()
+        own = {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+        common = Counter(j for x in own for j in holders[x])
+        edges += [(i, j) for j, c in common.items() if 5 * c >= 4 * (len(own) + len(sets[j]) - c)]
+        for x in own:
+            holders[x].append(i)
+        sets.append(own)
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        root[max(find(a), find(b))] = min(find(a), find(b))
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        least[find(i)] = min(least.get(find(i), d), d)
+    want = {d: least[find(i)] for i, (d, _) in enumerate(rows) if sets[i]}
+    got = {r["doc_id"]: r["component_id"] for r in near_sets.near_sets(docs, cell_bytes=cell_bytes).collect()}
+    assert {d: got[d] for d in want} == want
+    assert len(edges) > 100
