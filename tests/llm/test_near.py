@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 import random
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -159,13 +161,47 @@ def test_long_text_in_stretches(monkeypatch):
         assert scanner.scan(text)["GPL-notice"][0] == 1.0
 
 
+def share_out(budget, caps, weights):
+    """Parts of a budget by weight, none above its cap; rounded down.
+
+    The level to which all parts are filled is the largest of (budget - caps of the
+    smaller ones) / (weights of the rest), in the order of cap / weight.
+    """
+    order = sorted(caps, key=lambda k: (Fraction(caps[k], weights[k]), k))
+    rest, level, taken = sum(weights.values()), 0.0, 0
+    for k in order:
+        level = max(level, (budget - taken) / rest)
+        taken, rest = taken + caps[k], rest - weights[k]
+    return {k: min(caps[k], math.floor(weights[k] * level)) for k in caps}
+
+
+def leaf_budgets(leaves, budget, weights):
+    """Budgets of the leaves; ``leaves`` has what each can use, ``weights`` each level's weights (1 if not named)."""
+    depth = len(weights)
+    caps: list[dict[tuple, int]] = [defaultdict(int) for _ in range(depth + 1)]
+    for leaf, cap in leaves.items():
+        for level in range(depth + 1):
+            caps[level][leaf[:level]] += cap
+    given = {(): min(budget, caps[0][()])}
+    for level in range(1, depth + 1):
+        children: dict[tuple, dict[str, int]] = defaultdict(dict)
+        for node, cap in caps[level].items():
+            children[node[:-1]][node[-1]] = cap
+        given = {
+            (*parent, name): part
+            for parent, own in children.items()
+            for name, part in share_out(given[parent], own, {k: weights[level - 1].get(k, 1) for k in own}).items()
+        }
+    return given
+
+
 def test_shares():
-    assert mixing.share_out(10, {"a": 100, "b": 100}, {"a": 1, "b": 4}) == {"a": 2, "b": 8}
-    assert mixing.share_out(10, {"a": 1, "b": 100, "c": 100}, {"a": 2, "b": 1, "c": 2}) == {"a": 1, "b": 3, "c": 6}
-    assert mixing.share_out(10, {"a": 1, "b": 2}, {"a": 1, "b": 1}) == {"a": 1, "b": 2}
+    assert share_out(10, {"a": 100, "b": 100}, {"a": 1, "b": 4}) == {"a": 2, "b": 8}
+    assert share_out(10, {"a": 1, "b": 100, "c": 100}, {"a": 2, "b": 1, "c": 2}) == {"a": 1, "b": 3, "c": 6}
+    assert share_out(10, {"a": 1, "b": 2}, {"a": 1, "b": 1}) == {"a": 1, "b": 2}
     leaves = {("x", "p"): 10, ("x", "q"): 1000, ("y", "p"): 30}
     # What p lacks goes to q first; y's shortage only then goes to x.
-    assert mixing.leaf_budgets(leaves, 200, [{}, {}]) == {("x", "p"): 10, ("x", "q"): 160, ("y", "p"): 30}
+    assert leaf_budgets(leaves, 200, [{}, {}]) == {("x", "p"): 10, ("x", "q"): 160, ("y", "p"): 30}
 
 
 def test_mix(spark, odd, nothing):
@@ -174,7 +210,7 @@ def test_mix(spark, odd, nothing):
     got = mixing.mix(docs, levels, [{"d": 3}], 0.5, 2, seed=1)
     taken = got.groupBy("_leaf.source").agg(F.sum("_tokens").alias("n")).collect()
     have = {r["source"] or "": r["n"] for r in docs.select("source", F.size(F.array_remove(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), "")).alias("n")).groupBy("source").agg(F.sum("n").alias("n")).collect()}
-    budget = mixing.leaf_budgets({(k,): 2 * v for k, v in have.items()}, sum(have.values()) // 2, [{"d": 3}])
+    budget = leaf_budgets({(k,): 2 * v for k, v in have.items()}, sum(have.values()) // 2, [{"d": 3}])
     for r in taken:
         assert r["n"] <= budget[r["source"],]
     assert got.columns[:4] == docs.columns
@@ -314,3 +350,24 @@ def test_near_sets_find_the_links_of_the_given_documents(spark, cell_bytes):
     got = {r["doc_id"]: r["component_id"] for r in near_sets.near_sets(docs, cell_bytes=cell_bytes).collect()}
     assert {d: got[d] for d in want} == want
     assert len(edges) > 100
+
+
+def test_budgets_of_many_leaves(spark):
+    rng = random.Random(8)
+    rows = [(f"a{rng.randrange(5)}", f"b{i % 4000}", rng.choice([0, 1, 5, 5, 30, 1000])) for i in range(9000)]
+    rows = [(x, y, n) for (x, y), n in {(x, y): n for x, y, n in rows}.items()]
+    weights = [{"a1": 3, "a2": 7}, {"b5": 2, "b6": 9}]
+    total = sum(n for _, _, n in rows)
+    for budget in (0, total // 3, total):
+        want = leaf_budgets({(x, y): n for x, y, n in rows}, budget, weights)
+        got = mixing.leaf_budgets(spark.createDataFrame(rows, "x string, y string, cap bigint"), ["x", "y"], budget, weights)
+        assert {(r["x"], r["y"]): r["budget"] for r in got.collect()} == want
+
+
+def test_mix_with_a_leaf_for_each_of_many_documents(spark):
+    n = 120_000  # more leaves than any driver-side limit of before
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.lit("one two three four").alias("text"), F.lit(1).alias("_epoch"), F.lit("x").alias("_leaf"), F.lit(None).cast("int").alias("_tokens"))
+    got = mixing.mix(docs, {"source": F.col("doc_id").cast("string")}, [{}], 0.5, 2)
+    assert sorted(got.columns) == ["_epoch", "_leaf", "_tokens", "doc_id", "text"]
+    assert got.count() == 0  # half of each document's tokens fits no document
+    assert mixing.mix(docs, {"source": F.col("doc_id").cast("string")}, [{}], 1.0, 2).agg(F.count("*"), F.countDistinct("doc_id")).first()[:] == (n, n)
