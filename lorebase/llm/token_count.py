@@ -7,6 +7,10 @@ pair left leaves the arrays with its number of symbols. Merging all occurrences
 is what one at a time gives, because a pair that contains a merged symbol ranks higher
 than the pair that made it.
 
+A sequence of over ``LONG`` bytes takes as many rounds as ranks occur in it, so its rounds
+touch only what changes: the places of every rank are kept, a round takes those of the
+lowest, and looks up the pairs beside what it has merged.
+
 Special strings inside a text are one token each, as the tokenizers library has it by
 default. Nulls: a null text is empty and has no tokens. Rows without doc_id are counted
 too. Repeated rows give repeated results. Other columns are not read.
@@ -17,6 +21,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +32,8 @@ from lorebase.llm.pretokens import MEMORY, chunks, splitter
 
 TOKEN_LIMIT = 512
 NONE = np.int64(1) << 40
+#: Bytes of a pre-token from which its rounds keep the places of each rank.
+LONG = 1024
 
 
 def byte_letters() -> list[str]:
@@ -53,8 +60,69 @@ class Merger:
         self.special = [t["content"] for t in file.get("added_tokens", []) if not t.get("normalized")]
         self.memory: dict[str, int] = {}
 
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank of each pair, NONE where there is none, and the symbol it makes."""
+        key = (left << 20) | right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.ranks[at], NONE), self.made[at]
+
+    def long_symbols(self, token: bytes) -> int:
+        """:meth:`symbols` of one long token."""
+        symbol = self.of_byte[np.frombuffer(token, np.uint8)]
+        n = len(symbol)
+        right, left = np.arange(1, n + 1), np.arange(-1, n - 1)  # neighbours that are left; n and -1: none
+        rank, made = (np.append(x, NONE) for x in self._ranks(symbol[:-1], symbol[1:]))
+        places: dict[int, list[np.ndarray]] = {}
+        heap: list[int] = []
+
+        def note(at: np.ndarray) -> None:
+            at = at[rank[at] < NONE]
+            if not len(at):
+                return
+            at = at[np.argsort(rank[at], kind="stable")]
+            own, first = np.unique(rank[at], return_index=True)
+            for r, part in zip(own.tolist(), np.split(at, first[1:]), strict=True):
+                if r not in places:
+                    places[r] = []
+                    heappush(heap, r)
+                places[r].append(part)
+
+        if n > 1:
+            note(np.arange(n))
+        alive = n
+        while heap:
+            lowest = heappop(heap)
+            at = np.unique(np.concatenate(places.pop(lowest)))
+            at = at[rank[at] == lowest]
+            if not len(at):
+                continue
+            # Of pairs side by side (one symbol repeated) every second one merges.
+            run = np.append(True, right[at[:-1]] != at[1:])
+            begins = np.flatnonzero(run)
+            nth = np.arange(len(at)) - np.repeat(begins, np.diff(np.append(begins, len(at))))
+            at = at[nth % 2 == 0]
+            gone = right[at]
+            symbol[at] = made[at]
+            rank[gone] = NONE
+            right[at] = right[gone]
+            left[right[at][right[at] < n]] = at[right[at] < n]
+            alive -= len(at)
+            changed = np.unique(np.concatenate((at, left[at][left[at] >= 0])))
+            paired = changed[right[changed] < n]
+            rank[changed] = NONE
+            rank[paired], made[paired] = self._ranks(symbol[paired], symbol[right[paired]])
+            note(paired)
+        return alive
+
     def symbols(self, tokens: Sequence[bytes]) -> np.ndarray:
         """Number of symbols left of each token when no pair can merge."""
+        long = [i for i, t in enumerate(tokens) if len(t) > LONG]
+        if long:
+            result = np.empty(len(tokens), np.int64)
+            rest = np.setdiff1d(np.arange(len(tokens)), long)
+            result[rest] = self.symbols([tokens[i] for i in rest])
+            result[long] = [self.long_symbols(tokens[i]) for i in long]
+            return result
         result = np.fromiter(map(len, tokens), np.int64, len(tokens))
         symbol = self.of_byte[np.frombuffer(b"".join(tokens), np.uint8)]
         owner = np.repeat(np.arange(len(tokens)), result)

@@ -124,3 +124,27 @@ def test_damage_is_noticed(spark, odd):
 def test_checksums_are_of_the_bytes(spark):
     row = spark.sql("SELECT crc32(X'01000000') AS c, sha2('1 2', 256) AS s").first()
     assert row["c"] == zlib.crc32(np.array([1], "<u4").tobytes()) and row["s"] == hashlib.sha256(b"1 2").hexdigest()
+
+
+def test_long_tokens_match_the_library_in_time():
+    import random
+    import time
+
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    merger, library, rng = token_count.Merger(path), Tokenizer.from_file(path), random.Random(2)
+    words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz"[:k], k=n)) for k in (1, 2, 4, 26) for n in (1, 2, 3, 50, 1023, 1025, 3000)]
+    words += ["é" * 900, "日本" * 700, "ab" * 2000 + "a"]
+    for word in words:
+        want = len(library.encode(word, add_special_tokens=False).ids)
+        assert merger.long_symbols(word.encode()) == merger.symbols([word.encode(), b"x"])[0] == want
+    long = "".join(rng.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", k=1_000_000))
+    began = time.process_time()
+    found = merger.long_symbols(long.encode())
+    assert time.process_time() - began < 10  # about 1.4 s on an idle core; rounds over the whole sequence take minutes
+    assert found == len(library.encode(long, add_special_tokens=False).ids)
+
+
+def test_counts_of_nothing(nothing):
+    assert token_count.count_tokens(nothing, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN).isEmpty()
