@@ -29,20 +29,34 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected documents go."""
+    """Rejected documents go.
+
+    A null text has no words and is rejected; repeated rows share their verdict. Other columns
+    pass through. An empty table stays empty.
+    """
     columns = docs.columns
     judged = quality.judge(docs, table(spark, sf_dir, "labels"), keep=columns)
     return judged.filter("kept").select(*[F.col(f"row.`{c}`") for c in columns])
 
 
 def drop_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines of recurring templates go; n_chars follows the text."""
+    """Lines of recurring templates go; n_chars, if there is such a column, follows the text.
+
+    No row goes: a document of which every line recurs keeps an empty text, a null text stays null.
+    Of lines in several documents those of the smallest doc_id stay; rows without one come last.
+    """
     kept = line_dedup.drop_lines(docs, linked=True)
-    return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    if "n_chars" in docs.columns:
+        kept = kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return kept.select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest doc_id (and, between those, of smallest text hash) of each component of five-word shingle sets at a similarity of 0.8 or more stays."""
+    """The document of smallest doc_id (and, between those, of smallest text hash) of each component of five-word shingle sets at a similarity of 0.8 or more stays.
+
+    Texts without words, nulls among them, are one group. Rows that agree in doc_id and text
+    stay or go together.
+    """
     ship_package(spark)
     found = near_sets.near_sets(_keyed(docs))
     gone = found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id._id", "doc_id._hash")
@@ -50,12 +64,16 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents by the mixture's budgets; one that two epochs take comes twice."""
+    """Documents by the mixture's budgets; one that two epochs take comes twice.
+
+    Null levels are a leaf of their own, texts without words cost nothing, repeated rows come or
+    stay together.
+    """
     return mixing.mix(docs, queries.mix_levels(), **queries.MIX).select(*docs.columns)
 
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of every text, and whether they decode to it."""
+    """Ids of every text, and whether they decode to it. A null text counts as empty, with no ids; rows stay as they are."""
     import public_tokenizers
 
     ship_package(spark)
