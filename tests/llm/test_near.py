@@ -371,3 +371,17 @@ def test_mix_with_a_leaf_for_each_of_many_documents(spark):
     assert sorted(got.columns) == ["_epoch", "_leaf", "_tokens", "doc_id", "text"]
     assert got.count() == 0  # half of each document's tokens fits no document
     assert mixing.mix(docs, {"source": F.col("doc_id").cast("string")}, [{}], 1.0, 2).agg(F.count("*"), F.countDistinct("doc_id")).first()[:] == (n, n)
+
+
+def test_pipeline_stages_on_odd_and_empty_tables(spark, odd, nothing):
+    """Every stage takes nulls, repeats, a very long text and clashing columns, and leaves an empty table empty."""
+    clashing = odd.select("doc_id", "text", F.lit("en").alias("lang"), "source", F.lit(None).cast("int").alias("n_lines"), "kept")
+    stages = dict(corpus_pipeline.STAGES)
+    for name in ("line dedup", "SimHash near-dedup", "mixing"):
+        got = stages[name](spark, clashing, "/root/testdata/sf0.001")
+        assert got.columns == clashing.columns and 0 < got.count() <= 2 * clashing.count()
+        assert stages[name](spark, clashing.limit(0), "/root/testdata/sf0.001").isEmpty()
+    assert stages["line dedup"](spark, clashing, "").count() == clashing.count()
+    judged = stages["quality rules"](spark, clashing, "/root/testdata/sf0.001")
+    assert judged.columns == clashing.columns and judged.count() <= clashing.count()
+    assert stages["byte-level BPE"](spark, clashing, "").filter("round_trip").count() == clashing.count()
