@@ -11,7 +11,8 @@ radius, lies beyond that bound cannot hold a better row and is not read. Balls a
 points of Euclidean space; for cosine these are the unit vectors, whose squared distance is twice
 the cosine distance. An inner product has no such bound, so it has no index.
 
-Questions reach a ball in slices of bounded size, a ball's vectors are met once a slice, and the
+Few questions ask ball by ball, in slices of bounded size. Many meet the balls in the grid of the
+full scan, and a ball is scored only for the questions of a block that it may serve. The
 results are those of :func:`knn.nearest`, ties by id included.
 """
 
@@ -24,8 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lorebase.operators.knn import _BLOCK, BLOCK_ROWS, _packer, _scorer
-from lorebase.session import broadcast_limit, checkpoint, scratch_folder
+from lorebase.operators.knn import _BLOCK, BLOCK_ROWS, _grid, _packer, _scorer, hot_collections
+from lorebase.session import broadcast_limit, checkpoint, materialised, scratch_folder
 
 BALL_ROWS = 512
 #: Questions that meet a ball at once.
@@ -49,6 +50,11 @@ def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(square, 0.0))
 
 
+def _bound(limit, metric: str):
+    """How far a point may lie from a question whose n-th distance is ``limit``."""
+    return np.sqrt((1 if metric == "l2" else 2) * (limit + ROUNDING)) + 1e-9
+
+
 def _vectors(column: pa.Array, row: int, width: int) -> np.ndarray:
     return column[row].values.to_numpy(zero_copy_only=False).reshape(-1, width)
 
@@ -131,37 +137,51 @@ class BallIndex:
         ).write.parquet(f"{index.path}/centres")
         return index
 
+    def _blocks(self, questions: DataFrame) -> DataFrame:
+        """Blocks of questions (collection, query_id, vector, limit); a vector's last value is its limit, infinite for none."""
+        bounded = F.concat("vector", F.array(F.coalesce("limit", F.lit(float("inf")))))
+        return questions.select(F.col("collection").cast("string"), F.col("query_id").cast("string"), bounded).mapInArrow(_packer("q", SLICE), _BLOCK.format(p="q"))
+
+    def _centres(self) -> DataFrame:
+        return self.spark.read.schema(_CENTRES).parquet(f"{self.path}/centres")
+
     def asked(self, questions: DataFrame, n: int) -> DataFrame:
         """s_collection, s_ball, query_id, vector: the balls that each question (collection, query_id, vector, limit) asks.
 
         Without a limit, the balls that hold n rows by their far sides; with one, all others
-        whose near sides are within it.
+        whose near sides are within it. Questions meet the centres in blocks, not one by one.
         """
         metric = self.metric
-        packed = questions.select("collection", "query_id", "vector", "limit").join(self.spark.read.schema(_CENTRES).parquet(f"{self.path}/centres"), "collection")
+        packed = self._blocks(questions).join(self._centres(), F.col("q_collection") == F.col("collection"))
 
         def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                found: dict[str, list] = {"s_collection": [], "s_ball": [], "query_id": [], "vector": []}
                 for row in range(batch.num_rows):
-                    question = batch.column("vector")[row].values.to_numpy(zero_copy_only=False)
-                    centres = _vectors(batch.column("centres"), row, len(question))
+                    width = batch.column("q_width")[row].as_py()
+                    block = _vectors(batch.column("q_values"), row, width)
+                    asked, limits = np.ascontiguousarray(block[:, :-1]), block[:, -1]
+                    centres = _vectors(batch.column("centres"), row, width - 1)
                     radii, counts = (batch.column(c)[row].values.to_numpy(zero_copy_only=False) for c in ("radii", "counts"))
-                    away = _apart(_points(question[None, :], metric), centres)[0]
-                    order = np.argsort(away + radii, kind="stable")
-                    enough = int(np.searchsorted(np.cumsum(counts[order]), n)) + 1
-                    first, limit = order[:enough], batch.column("limit")[row].as_py()
-                    if limit is None:
-                        wanted = first
-                    else:
-                        bound = np.sqrt((1 if metric == "l2" else 2) * (limit + ROUNDING)) + 1e-9
-                        wanted = np.setdiff1d(np.flatnonzero(away - radii <= bound), first)
-                    names = batch.column("balls")[row].values
-                    found["s_ball"] += names.take(pa.array(wanted)).to_pylist()
-                    found["s_collection"] += [batch.column("collection")[row].as_py()] * len(wanted)
-                    found["query_id"] += [batch.column("query_id")[row].as_py()] * len(wanted)
-                    found["vector"] += [question] * len(wanted)
-                yield pa.RecordBatch.from_pydict(found, schema=_ASKED)
+                    away = _apart(_points(asked, metric), centres)
+                    wanted = []
+                    for question, limit in enumerate(limits):
+                        order = np.argsort(away[question] + radii, kind="stable")
+                        first = order[: int(np.searchsorted(np.cumsum(counts[order]), n)) + 1]
+                        near = first if np.isinf(limit) else np.setdiff1d(np.flatnonzero(away[question] - radii <= _bound(limit, metric)), first)
+                        wanted.append(near)
+                    times = np.array([len(w) for w in wanted])
+                    which = np.repeat(np.arange(len(asked)), times)
+                    for start in range(0, len(which), SLICE):
+                        part = which[start : start + SLICE]
+                        vectors = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1, dtype=np.int32) * (width - 1)), pa.array(asked[part].ravel()))
+                        yield pa.RecordBatch.from_arrays(
+                            [
+                                pa.array([batch.column("collection")[row].as_py()] * len(part), pa.string()),
+                                batch.column("balls")[row].values.take(pa.array(np.concatenate(wanted)[start : start + SLICE])),
+                                batch.column("q_ids")[row].values.take(pa.array(part)), vectors,
+                            ],
+                            schema=_ASKED,
+                        )
 
         return packed.mapInArrow(chosen, "s_collection string, s_ball string, query_id string, vector array<double>")
 
@@ -172,8 +192,30 @@ class BallIndex:
         pairs = self.spark.read.schema(_ROWS).parquet(f"{self.path}/rows").join(met, ["s_collection", "s_ball"])
         return pairs.mapInArrow(_scorer(n, self.metric), "query_id string, collection string, id string, distance double")
 
+    def _met(self, questions: DataFrame, n: int) -> DataFrame:
+        """Candidates for questions with limits, from a grid in which blocks of questions meet the balls of their collection.
+
+        What is shuffled are the index and the questions, times the sides of the grid, however
+        many balls a question asks. In its cell, a ball is scored for the questions that it may serve.
+        """
+        metric = self.metric
+        rows = self.spark.read.schema(f"{_ROWS}, centre array<double>, radius double").parquet(f"{self.path}/rows")
+
+        def within(columns: dict, row: int, asked: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+            centre = columns["centre"][row].values.to_numpy(zero_copy_only=False)
+            away = _apart(_points(asked, metric), centre[None, :])[:, 0]
+            return np.flatnonzero(away - columns["radius"][row].as_py() <= _bound(bounds, metric))
+
+        hot = hot_collections(rows.select(F.col("s_collection").alias("collection")))
+        pairs = _grid(rows, materialised(self._blocks(questions)), hot, F.col("s_collection") == F.col("q_collection"))
+        return pairs.mapInArrow(_scorer(n, metric, within), "query_id string, collection string, id string, distance double")
+
     def nearest(self, questions: DataFrame, n: int) -> DataFrame:
-        """(query_id, collection, id, distance, rank) as :func:`knn.nearest` gives them."""
+        """(query_id, collection, id, distance, rank) as :func:`knn.nearest` gives them.
+
+        Questions that could ask no more pairs of question and ball than the index has rows ask
+        ball by ball, and read only these; more of them meet the balls in a grid.
+        """
         given = checkpoint(questions.select(
             F.col("collection").cast("string"), F.col("query_id").cast("string"), F.col("embedding").cast("array<double>").alias("vector")
         ).filter("vector IS NOT NULL"))
@@ -182,8 +224,15 @@ class BallIndex:
         near = Window.partitionBy("query_id", "collection").orderBy("distance", "id")
         best = lambda found: found.withColumn("rank", F.row_number().over(near)).filter(F.col("rank") <= n)
         first = checkpoint(best(self._scored(self.asked(given.select("*", limit), n), n, slices)))
-        again = self.asked(given.join(self.limits(first, n), ["collection", "query_id"]), n)
-        return best(first.drop("rank").unionByName(self._scored(again, n, slices)))
+        bounded = given.join(self.limits(first, n), ["collection", "query_id"])
+        held = self._centres().select("collection", F.size("balls").alias("_balls"), F.aggregate("counts", F.lit(0).cast("long"), lambda a, c: a + c).alias("_rows"))
+        most, rows = given.groupBy("collection").agg(F.count("*").alias("_n")).join(held, "collection").agg(
+            F.coalesce(F.sum(F.col("_n") * F.col("_balls")), F.lit(0)), F.coalesce(F.sum("_rows"), F.lit(0))
+        ).first()
+        if most <= rows:
+            return best(first.drop("rank").unionByName(self._scored(self.asked(bounded, n), n, slices)))
+        whole = first.join(self.limits(first, n).select("collection", "query_id"), ["collection", "query_id"], "left_anti")
+        return best(whole.drop("rank").unionByName(self._met(bounded, n)))
 
     @staticmethod
     def limits(first: DataFrame, n: int) -> DataFrame:

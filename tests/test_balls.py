@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from lorebase.operators import knn
 from lorebase.operators.balls import BallIndex
 from lorebase.operators.knn import nearest
 from lorebase.sources.store import ROW, KnowledgeStore
@@ -51,6 +53,33 @@ def test_far_balls_are_not_asked(spark, metric):
     assert balls > 80 and first + again < 60 * balls / 4
 
 
+def test_many_questions_move_no_row_for_every_ball_asked(spark, monkeypatch):
+    """All rows ask all rows, and no bound helps: the second round must not ship a vector a question and ball."""
+    matrix = np.random.default_rng(7).normal(size=(1200, 8))
+    store, asked = (_frame(spark, matrix, ["a"] * 1200, name) for name in ("id", "query_id"))
+    index = BallIndex.build(store, "l2", ball_rows=16)
+    rounds, plain = [], BallIndex.asked
+    monkeypatch.setattr(BallIndex, "asked", lambda self, questions, n: rounds.append(plain(self, questions, n)) or rounds[-1])
+    assert _rows(index.nearest(asked, 5)) == _rows(nearest(store, asked, 5, "l2"))
+    assert sum(r.count() for r in rounds) < 10 * 1200
+
+
+@pytest.mark.parametrize("metric", ["l2", "cosine", "ip"])
+def test_bounds_keep_what_is_near(spark, metric):
+    """Blocks met under a bound, in tiles and after a hand-out, against one exact matrix."""
+    rng = np.random.default_rng(11)
+    stored = np.vstack([rng.normal(size=(2500, 5)) * 10.0 ** rng.integers(-3, 9, (2500, 1)), np.zeros((2, 5)), np.full((1, 5), np.nan), np.ones((40, 5))])
+    asked = np.vstack([rng.normal(size=(1100, 5)), np.zeros((1, 5)), np.ones((2, 5))])
+    best = knn._Best(pa.array([str(i) for i in range(len(asked))]), 6, np.full(len(asked), np.inf))
+    names = [f"{i:05d}" for i in range(len(stored))]
+    for start in range(0, len(stored), 700):
+        best.meet(asked, stored[start : start + 700], pa.array(names[start : start + 700]), metric, np.arange(len(asked)))
+    exact = knn.distance_matrix(asked, np.delete(stored, 2502, axis=0), metric)
+    want = np.sort(exact, axis=1)[:, :6]
+    assert np.allclose(best.distances, want, rtol=1e-9, atol=2e-10)
+    assert best.ids[-1].tolist()[:6] == names[2503:2509] or metric == "ip" or metric == "cosine"
+
+
 def test_inner_products_have_no_bound(spark):
     with pytest.raises(ValueError):
         BallIndex.build(_frame(spark, np.eye(2), ["a", "a"], "id"), "ip")
