@@ -6,8 +6,12 @@ import html as stdlib_html
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from lorebase.functions.arrow import SLICE_ROWS, arrow_function
+from lorebase.functions.html import outline
 from lorebase.functions import hashing, html, urls
 from lorebase.functions import text as tx
 from lorebase.functions.splitting import recursive_chunks, split_text, window_chunks
@@ -194,3 +198,19 @@ def test_collection_names(spark):
 def test_entities_match_the_standard_library(spark):
     raw = "&amp;lt; &copy &#233; &#x1F600; &notit; &unknown; &middot;"
     assert one(spark, tx.unescape("s"), s=raw) == stdlib_html.unescape(raw)
+
+
+def test_python_functions_hold_a_slice_of_a_batch(spark):
+    """A full batch is not turned into Python objects at once, and large rows make shorter slices."""
+    @arrow_function(T.IntegerType())
+    def together(texts: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else len(texts) for t in texts], dtype="object")
+
+    small = spark.range(3000, numPartitions=1).select("id", F.when(F.col("id") % 7 != 0, F.col("id").cast("string")).alias("t"))
+    found = small.select("id", together("t").alias("n")).collect()
+    assert all((r.n is None) == (r.id % 7 == 0) for r in found) and max(r.n or 0 for r in found) == SLICE_ROWS
+    large = spark.range(100, numPartitions=1).select(together(F.repeat(F.lit("x"), 200_000)).alias("n"))
+    assert max(r.n for r in large.collect()) <= 5
+    both = spark.range(600, numPartitions=1).select("id", outline(F.concat(F.lit("<p>"), "id", F.lit("</p>"))).alias("o")).collect()
+    assert [r.o["pieces"][0]["text"] for r in both] == [str(r.id) for r in both]
+    assert small.filter("id < 0").select(together("t")).collect() == []
