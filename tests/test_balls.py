@@ -80,6 +80,25 @@ def test_bounds_keep_what_is_near(spark, metric):
     assert best.ids[-1].tolist()[:6] == names[2503:2509] or metric == "ip" or metric == "cosine"
 
 
+@pytest.mark.parametrize("metric", ["l2", "cosine", "ip"])
+def test_scorer_starts_and_ties_without_a_double_matrix(monkeypatch, metric):
+    """Nothing is known of any question at first; copies, some around the n-th place, are settled by id."""
+    rng = np.random.default_rng(13)
+    stored = rng.integers(0, 4, (3000, 16)).astype(float)
+    stored[500:2900:3] = stored[rng.integers(0, 40, 800)]
+    asked = np.vstack([stored[:1500], rng.integers(0, 4, (40, 16))]).astype(float)
+    names = np.array([f"{i:05d}" for i in rng.permutation(len(stored))])
+    exact = np.vstack([knn.pair_distances(np.repeat(a[None, :], len(stored), axis=0), stored, metric) for a in asked])
+    monkeypatch.setattr(knn, "distance_matrix", None)
+    monkeypatch.setattr(knn, "MEASURED_PAIRS", 5000, raising=False)
+    best = knn._Best(pa.array([str(i) for i in range(len(asked))]), 6, np.full(len(asked), np.inf))
+    for start in range(0, len(stored), 1300):
+        best.meet(asked, stored[start : start + 1300], pa.array(names[start : start + 1300]), metric, np.arange(len(asked)))
+    for row in range(len(asked)):
+        order = np.lexsort((names, exact[row]))[:6]
+        assert sorted(zip(best.distances[row], best.ids[row])) == list(zip(exact[row][order], names[order]))
+
+
 def test_inner_products_have_no_bound(spark):
     with pytest.raises(ValueError):
         BallIndex.build(_frame(spark, np.eye(2), ["a", "a"], "id"), "ip")
