@@ -18,6 +18,8 @@ from lorebase.functions.text import heading, join_present, present, strip_html
 from lorebase.operators.dedup import keep_first
 from lorebase.session import checkpoint
 
+#: Bytes of a text's SHA-256 that its row carries through the shuffle; digits would be 64, and nothing compresses them.
+KEY_BYTES = 16
 _PROFILE = "struct<displayName: string, description: string, url: string>"
 _CALLOUT = (
     f"id: string, framing: struct<profile: {_PROFILE}>, contributions: array<struct<post: struct<id: string, profile: {_PROFILE}>, "
@@ -205,15 +207,19 @@ def tree_documents(
     if fetched is None:
         contributed = contributed.withColumn("fetched_text", F.lit(None).cast("string"))
     else:
-        contributed = contributed.join(fetched.select("uri", "fetched_text"), "uri", "left")
+        # what has no address meets no body and stays where it is; as null keys, all of it would go to one task
+        linked = contributed.filter(F.col("uri").isNotNull()).join(fetched.select("uri", "fetched_text"), "uri", "left")
+        plain = contributed.filter(F.col("uri").isNull()).withColumn("fetched_text", F.lit(None).cast("string"))
+        contributed = linked.unionByName(plain)
     raw = reduce(DataFrame.unionByName, [
         _space_documents(placed), _callout_documents(called), _contribution_documents(contributed)
     ])
     cleaned = raw.withColumn("content", strip_html(F.col("content")))
     plain_title = strip_html(F.col("title"))
+    key = F.substring(F.unhex(content_key(F.col("content"))), 1, KEY_BYTES)
     # blanks share one key; dropping them after the choice keeps the clean-up from running twice
     return (
-        keep_first(cleaned.withColumn("_key", content_key(F.col("content"))), ["collection", "_key"], "path")
+        keep_first(cleaned.withColumn("_key", key), ["collection", "_key"], "path")
         .filter(F.col("content") != "")
         .drop("_key")
         .withColumn("title", F.when(plain_title != "", plain_title).otherwise(F.col("title")))

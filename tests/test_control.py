@@ -501,3 +501,28 @@ def test_timeout_counts_as_failure(spark, routes):
     got = published(spark, routes.results)
     assert set(got) == {"a"} and "timed out after 0.5s" in got["a"]["response"]["result"]
     assert [(r.message_id, r.retry_count) for r in queue.read_batch(spark, routes.inbox).collect()] == [("b", 1)]
+
+
+def test_contributions_without_address_stay_out_of_the_shuffle_by_address(spark):
+    """Only rows with a uri meet fetched bodies, and a row's key is bytes; the texts are those of one join over all rows."""
+    space = "collection string, id string, parent_id string, pos long, name string, description string, url string, top_type string"
+    spaces = spark.createDataFrame([("c", "s", None, 0, "S", "space", None, None)], space)
+    callouts = spark.createDataFrame([("c", "s", 0, "k", "K", "callout", None)], "collection string, space_id string, pos long, id string, name string, description string, url string")
+    made = "collection string, callout_id string, pos long, kind string, id string, name string, body string, uri string, url string"
+    rows = [
+        ("c", "k", 0, "post", "p0", "Post", "text", None, "u"), ("c", "k", 1, "link", "p1", "Found", "body", "https://a", "u"),
+        ("c", "k", 2, "link", "p2", "Lost", "body", "https://b", "u"), ("c", "k", 3, "link", "p3", "None", "body", None, "u"),
+        ("c", "k", 4, "post", "p4", "Post too", "text", "https://a", "u"), ("c", "k", 5, "link", "p5", "found", "BODY", "https://a", "u"),
+    ]
+    fetched = spark.createDataFrame([("https://a", "whole text"), (None, "of no address")], "uri string, fetched_text string")
+    docs = tree_documents(spaces, callouts, spark.createDataFrame(rows, made), fetched)
+    found = {r.document_id: r.content for r in docs.collect()}
+    assert found == {
+        "s": "S\n\nspace", "k": "K\n\ncallout", "p0": "K\n\ncallout\n\n# Post\n\ntext", "p1": "# Found\n\nbody\n\nwhole text",
+        "p2": "K\n\ncallout\n\n# Lost\n\nbody\n\nURL: https://b", "p3": "K\n\ncallout\n\n# None\n\nbody", "p4": "K\n\ncallout\n\n# Post too\n\ntext",
+    }
+    plan = docs._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    at = next(i for i, line in enumerate(plan) if "Join LeftOuter" in line)
+    depth = len(plan[at]) - len(plan[at].lstrip(" :+-"))
+    below = [line for line in plan[at + 1 :] if len(line) - len(line.lstrip(" :+-")) > depth]
+    assert any("isnotnull(uri" in line for line in below) and any("unhex(sha2(" in line for line in plan)
